@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.rules import address as R
 
 
-def expand_abbreviations(c: Column | str, whole_words: bool = True) -> Column:
-    """Abbreviations written out, with one blank appended.
+def _street(c: Column, whole_words: bool) -> Column:
+    c = F.concat(T.trim_edges(T.squeeze_once(c)), F.lit(" "))
+    c = T.fold_literals(c, list(R.SHORTENED.items()))
+    return T.fold_literals(T.fold(c, R.street_rules(whole_words)), R.NUMBER_MARKS)
+
+
+def _dotted_compass(c: Column, whole_words: bool) -> Column:
+    if not whole_words:
+        return T.fold_literals(c, R.dotted_compass())
+    return T.fold(c, [(rf"\b{letter}\. ", f"{word} ") for letter, word in R.COMPASS.items()])
+
+
+def clean_address(df: DataFrame, c: str, target: str | None = None, whole_words: bool = True) -> DataFrame:
+    """Abbreviations written out, punctuation and spacing settled.
 
     ``whole_words=False`` also expands inside longer words (PROSPECT -> PROSPECourt), which
-    is what plain substring replacement does.
+    is what plain substring replacement does. Steps that few addresses need are behind one
+    cheap test each, and each step reads a column, not a copy of the expression before it.
     """
-    c = F.concat(T.trim_edges(T.squeeze_once(F.col(c) if isinstance(c, str) else c)), F.lit(" "))
-    c = T.fold(c, R.street_rules(whole_words))
-    if whole_words:
-        c = T.fold(c, [(rf"\b{letter}\. ", f"{word} ") for letter, word in R.COMPASS.items()])
-        c = T.fold_literals(c, R.compass_rules()[len(R.COMPASS):])
-    else:
-        c = T.fold_literals(c, R.compass_rules())
-    return T.fold(c, R.ordinal_rules(whole_words))
-
-
-def clean_address(c: Column | str, whole_words: bool = True) -> Column:
-    c = T.address_spacing(expand_abbreviations(c, whole_words))
-    return T.address_spacing(T.address_punctuation(c))
+    target = target or c
+    at = F.col(target)
+    return (
+        df.withColumn(target, _street(F.col(c), whole_words))
+        .withColumn(target, F.when(F.contains(at, F.lit(". ")), _dotted_compass(at, whole_words)).otherwise(at))
+        .withColumn(target, T.fold_literals(at, R.lone_compass()))
+        .withColumn(target, F.when(at.rlike(R.ORDINAL_HINT), T.fold(at, R.ordinal_rules(whole_words))).otherwise(at))
+        .withColumn(target, T.address_spacing(T.address_punctuation(T.address_spacing(at))))
+    )

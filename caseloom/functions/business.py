@@ -17,17 +17,11 @@ def quote(phrase: str) -> str:
     return "".join("\\" + ch if ch in _SPECIAL else ch for ch in phrase)
 
 
-def _ends(phrase: str) -> str:
-    """Whole-word form: a boundary on each side that is a word character."""
-    bare = phrase.strip()
-    left = r"\b" if bare[0].isalnum() else ""
-    right = r"\b" if bare[-1].isalnum() else ""
-    return left + quote(bare) + right
-
-
 def whole_words(phrases: tuple[str, ...]) -> str:
-    """One alternation, longest phrase first, so a phrase wins over its own parts."""
-    return "(?:" + "|".join(_ends(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + ")"
+    """One alternation between word boundaries, longest phrase first, so that a phrase wins over
+    its own parts. The leading boundary stands outside: within a word no phrase is even tried."""
+    ordered = sorted((p.strip() for p in phrases), key=lambda p: (-len(p), p))
+    return r"\b(?:" + "|".join(quote(p) + (r"\b" if p[-1].isalnum() else "") for p in ordered) + ")"
 
 
 def marked(c: Column, rule: FormRule, loose: bool) -> Column:
@@ -42,15 +36,30 @@ def stripped(c: Column, rule: FormRule, loose: bool) -> Column:
 
 def _apply(df: DataFrame, rules: tuple[FormRule, ...], names: list[str], target: str,
            loose: bool) -> DataFrame:
+    """Rules in order, each reading the names the one before it has left."""
     for rule in rules:
-        hit = any_of([marked(F.col(n), rule, loose) for n in names])
+        stems = "(?:" + "|".join(rule.stems) + ")"
+        df = df.withColumns({f"_has_{n}": T.has_any(n, stems) for n in names})
+        hit = any_of([F.col(f"_has_{n}") & marked(F.col(n), rule, loose) for n in names])
         df = df.withColumns({
             target: F.when(hit, rule.label).otherwise(F.col(target)),
-            **{n: stripped(F.col(n), rule, loose) for n in names},
-        })
+            **{n: F.when(F.col(f"_has_{n}"), stripped(F.col(n), rule, loose)).otherwise(F.col(n)) for n in names},
+        }).drop(*[f"_has_{n}" for n in names])
     return df
 
 
+def _apply_if_any(df: DataFrame, rules: tuple[FormRule, ...], names: list[str], target: str, loose: bool) -> DataFrame:
+    """As above for rules that seldom apply: one search decides whether any of them is run."""
+    stems = "(?:" + "|".join(dict.fromkeys(s for r in rules for s in r.stems)) + ")"
+    df = df.withColumn("_any", any_of([T.has_any(n, stems) for n in names]))
+    for rule in rules:
+        hit = F.col("_any") & any_of([marked(F.col(n), rule, loose) for n in names])
+        df = df.withColumns({
+            target: F.when(hit, rule.label).otherwise(F.col(target)),
+            **{n: F.when(F.col("_any"), stripped(F.col(n), rule, loose)).otherwise(F.col(n)) for n in names}})
+    return df.drop("_any")
+
+
 def business_type(df: DataFrame, names: list[str], target: str = "Businesstype",
                   loose: bool = False) -> DataFrame:
     """A later form overwrites an earlier one: corporation, partnership, company, individual."""
@@ -61,7 +70,7 @@ def business_type(df: DataFrame, names: list[str], target: str = "Businesstype",
 
 def liability_home(df: DataFrame, names: list[str], target: str = "Liabilitytype",
                    loose: bool = False) -> DataFrame:
-    return _apply(df.withColumn(target, F.lit("")), HOMES, names, target, loose)
+    return _apply_if_any(df.withColumn(target, F.lit("")), HOMES, names, target, loose)
 
 
 def clean_names(df: DataFrame, names: list[str], loose: bool = False) -> DataFrame:

@@ -58,7 +58,7 @@ def clean_list(listed: DataFrame, name: str = "legal_nm", address: str = "street
     out = listed.withColumns({c: F.upper(c) for c in (name, address, "cty_nm", "st_cd") if c in listed.columns})
     out = clean_names(out, [name], loose=loose)
     if address in out.columns:
-        out = out.withColumn(address, clean_address(address, whole_words=not loose))
+        out = clean_address(out, address, whole_words=not loose)
     return out.withColumn(zip_col, F.substring(zip_col, 1, 5)) if zip_col in out.columns else out
 
 

@@ -49,8 +49,8 @@ def one_line_texts(df: DataFrame) -> DataFrame:
 
 def clean_texts(df: DataFrame, loose: bool = False) -> DataFrame:
     """Address, city, then names with their legal forms."""
-    df = df.withColumns({"street_addr": clean_address("street_addr", whole_words=not loose),
-                         "cty_nm": T.city_punctuation("cty_nm")})
+    df = clean_address(df, "street_addr", whole_words=not loose)
+    df = df.withColumn("cty_nm", T.city_punctuation("cty_nm"))
     return clean_names(df, NAMES, loose=loose)
 
 

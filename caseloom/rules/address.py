@@ -38,18 +38,22 @@ def street_rules(whole_words: bool) -> list[tuple[str, str]]:
     edge = r"\b" if whole_words else ""
     ending = r"(?:[.,]|(?= ))"
     rules = [(edge + _spellings(short) + ending, word) for short, word in STREET_WORDS.items()]
-    rules += [(word, short) for word, short in SHORTENED.items()]
     rules.append((f"{edge}(?:{'|'.join(SUITE_WORDS)})" + r"(?:\.|(?= ))", "Suite"))
     rules.append((edge + "Unit" + (r"\b" if whole_words else ""), "Suite"))
-    rules.append(("# ?", "Suite "))
     return rules
 
 
-def compass_rules() -> list[tuple[str, str]]:
-    """Literal pairs: a letter with a full stop first, then a letter on its own."""
-    dotted = [(f"{letter}. ", f"{word} ") for letter, word in COMPASS.items()]
-    alone = [(f" {letter} ", f" {word} ") for letter, word in COMPASS.items()]
-    return dotted + alone
+# what every ordinal contains, and marks for a number within a building
+ORDINAL_HINT = "(?i)[1-5](?:ST|ND|RD|TH) "
+NUMBER_MARKS = [("# ", "Suite "), ("#", "Suite ")]
+
+
+def dotted_compass() -> list[tuple[str, str]]:
+    return [(f"{letter}. ", f"{word} ") for letter, word in COMPASS.items()]
+
+
+def lone_compass() -> list[tuple[str, str]]:
+    return [(f" {letter} ", f" {word} ") for letter, word in COMPASS.items()]
 
 
 def ordinal_rules(whole_words: bool) -> list[tuple[str, str]]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.operators.spread import widen
+
 # column: (tables besides lineitem it is drawn from, expression both engines read)
 COLUMNS: dict[str, tuple[str, str]] = {
     "ord1": ("", "l_orderkey"),
@@ -58,8 +60,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf: str, columns: list[str] | None = None,
-          extra: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """The case table with the given columns; ``extra`` adds or replaces some, written the same way."""
+          extra: dict[str, tuple[str, str]] | None = None, wide: bool = False) -> DataFrame:
+    """The case table with the given columns; ``extra`` adds or replaces some, written the same way.
+
+    ``wide`` is for text-heavy queries: every core takes part even if the file is one row group.
+    """
     defined = {**COLUMNS, **(extra or {})}
     columns = [*(columns or list(COLUMNS)), *[c for c in (extra or {}) if c not in (columns or COLUMNS)]]
     needed: list[str] = []
@@ -73,6 +78,9 @@ def cases(spark: SparkSession, sf: str, columns: list[str] | None = None,
         for name in defined[c][0].split():
             need(name)
     joined = table(spark, sf, "lineitem")
+    if wide:
+        used = " ".join(defined[c][1] for c in columns) + " l_orderkey l_suppkey l_partkey"
+        joined = widen(joined.select(*[c for c in joined.columns if c in used]))
     for name in needed:
         own, reached_by, _ = _JOINS[name]
         joined = joined.join(table(spark, sf, name), F.col(reached_by) == F.col(own))

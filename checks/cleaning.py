@@ -99,14 +99,14 @@ def _address_sql(c: str, whole: bool) -> str:
 
 @query("clean_address", f"WITH {cases_sql(RAW_ADDRESS)} SELECT case_id_1, ord3, {_address_sql('raw_addr', True)} AS addr FROM cases")
 def clean_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS)
-    return df.select("case_id_1", "ord3", clean_address("raw_addr").alias("addr"))
+    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS, wide=True)
+    return clean_address(df, "raw_addr", "addr").drop("raw_addr")
 
 
 @query("clean_address_loose", f"WITH {cases_sql(RAW_ADDRESS)} SELECT case_id_1, ord3, {_address_sql('raw_addr', False)} AS addr FROM cases")
 def clean_addresses_loose(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS)
-    return df.select("case_id_1", "ord3", clean_address("raw_addr", whole_words=False).alias("addr"))
+    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS, wide=True)
+    return clean_address(df, "raw_addr", "addr", whole_words=False).drop("raw_addr")
 
 
 RAW_CITY = {"raw_city": ("part nation", "concat(case l_returnflag when 'A' then ' San, ' when 'N' then 'St. ' else '(Old) ' end, "
@@ -145,7 +145,7 @@ def _name_spacing(c: str) -> str:
 SELECT case_id_1, ord3, {_name_spacing(_name_punctuation('legal'))} AS legal,
   {_name_spacing(_name_punctuation('trade'))} AS trade FROM cases""")
 def clean_name_texts(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES)
+    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True)
     return df.withColumns({n: T.name_spacing(T.name_punctuation(n)) for n in ("legal", "trade")})
 
 
@@ -185,13 +185,13 @@ def _names_sql(loose: bool) -> str:
 
 @query("business_type", _names_sql(loose=False))
 def business_types(spark: SparkSession, sf: str) -> DataFrame:
-    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES), ["legal", "trade"])
+    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True), ["legal", "trade"])
     return df.select("case_id_1", "ord3", "Businesstype", "Liabilitytype", "legal", "trade")
 
 
 @query("business_type_loose", _names_sql(loose=True))
 def business_types_loose(spark: SparkSession, sf: str) -> DataFrame:
-    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES), ["legal", "trade"], loose=True)
+    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True), ["legal", "trade"], loose=True)
     return df.select("case_id_1", "ord3", "Businesstype", "Liabilitytype", "legal", "trade")
 
 
@@ -204,7 +204,7 @@ def _raw_form_sql() -> str:
 @query("business_type_counts", _raw_form_sql())
 def business_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     names = ["legal", "trade"]
-    df = liability_home(business_type(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES), names), names)
+    df = liability_home(business_type(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True), names), names)
     return df.groupBy("Businesstype", "Liabilitytype").agg(F.count(F.lit(1)).alias("cases"))
 
 
