@@ -25,15 +25,8 @@ def clean_address(df: DataFrame, c: str, target: str | None = None, whole_words:
     """Abbreviations written out, punctuation and spacing settled.
 
     ``whole_words=False`` also expands inside longer words (PROSPECT -> PROSPECourt), which
-    is what plain substring replacement does. Steps that few addresses need are behind one
-    cheap test each, and each step reads a column, not a copy of the expression before it.
+    is what plain substring replacement does.
     """
-    target = target or c
-    at = F.col(target)
-    return (
-        df.withColumn(target, _street(F.col(c), whole_words))
-        .withColumn(target, F.when(F.contains(at, F.lit(". ")), _dotted_compass(at, whole_words)).otherwise(at))
-        .withColumn(target, T.fold_literals(at, R.lone_compass()))
-        .withColumn(target, F.when(at.rlike(R.ORDINAL_HINT), T.fold(at, R.ordinal_rules(whole_words))).otherwise(at))
-        .withColumn(target, T.address_spacing(T.address_punctuation(T.address_spacing(at))))
-    )
+    at = _dotted_compass(_street(F.col(c), whole_words), whole_words)
+    at = T.fold(T.fold_literals(at, R.lone_compass()), R.ordinal_rules(whole_words))
+    return df.withColumn(target or c, T.address_spacing(T.address_punctuation(T.address_spacing(at))))

@@ -31,46 +31,45 @@ def marked(c: Column, rule: FormRule, loose: bool) -> Column:
 def stripped(c: Column, rule: FormRule, loose: bool) -> Column:
     if not loose:
         return F.regexp_replace(c, "(?i)" + whole_words(rule.removed), "")
-    return T.fold(c, [("(?i)" + p, "") for p in (rule.loose_removed or rule.removed)])
-
-
-def _apply(df: DataFrame, rules: tuple[FormRule, ...], names: list[str], target: str,
-           loose: bool) -> DataFrame:
-    """Rules in order, each reading the names the one before it has left."""
-    for rule in rules:
-        stems = "(?:" + "|".join(rule.stems) + ")"
-        df = df.withColumns({f"_has_{n}": T.has_any(n, stems) for n in names})
-        hit = any_of([F.col(f"_has_{n}") & marked(F.col(n), rule, loose) for n in names])
-        df = df.withColumns({
-            target: F.when(hit, rule.label).otherwise(F.col(target)),
-            **{n: F.when(F.col(f"_has_{n}"), stripped(F.col(n), rule, loose)).otherwise(F.col(n)) for n in names},
-        }).drop(*[f"_has_{n}" for n in names])
-    return df
-
-
-def _apply_if_any(df: DataFrame, rules: tuple[FormRule, ...], names: list[str], target: str, loose: bool) -> DataFrame:
-    """As above for rules that seldom apply: one search decides whether any of them is run."""
-    stems = "(?:" + "|".join(dict.fromkeys(s for r in rules for s in r.stems)) + ")"
-    df = df.withColumn("_any", any_of([T.has_any(n, stems) for n in names]))
-    for rule in rules:
-        hit = F.col("_any") & any_of([marked(F.col(n), rule, loose) for n in names])
-        df = df.withColumns({
-            target: F.when(hit, rule.label).otherwise(F.col(target)),
-            **{n: F.when(F.col("_any"), stripped(F.col(n), rule, loose)).otherwise(F.col(n)) for n in names}})
-    return df.drop("_any")
+    done = T.fold(c, [("(?i)" + p, "") for p in (rule.loose_removed or rule.removed)])
+    # many patterns that seldom apply: one search decides whether they are run
+    return F.when(T.has_any(c, rule.stem), done).otherwise(c) if rule.stem else done
 
 
 def business_type(df: DataFrame, names: list[str], target: str = "Businesstype",
                   loose: bool = False) -> DataFrame:
-    """A later form overwrites an earlier one: corporation, partnership, company, individual."""
+    """A later form overwrites an earlier one: corporation, partnership, company, individual.
+
+    Forms are taken in order, each reading the names the one before it has left. A name's
+    expression mentions the name before it once, so a filter that Spark moves below the
+    cleaning stays as long as the chain and does not double at every form.
+    """
     if target not in df.columns:
         df = df.withColumn(target, F.lit(""))
-    return _apply(df, FORMS, names, target, loose)
+    for rule in FORMS:
+        hit = any_of([marked(F.col(n), rule, loose) for n in names])
+        df = df.withColumns({
+            target: F.when(hit, rule.label).otherwise(F.col(target)),
+            **{n: stripped(F.col(n), rule, loose) for n in names},
+        })
+    return df
 
 
 def liability_home(df: DataFrame, names: list[str], target: str = "Liabilitytype",
                    loose: bool = False) -> DataFrame:
-    return _apply_if_any(df.withColumn(target, F.lit("")), HOMES, names, target, loose)
+    """Where a company is liable. The phrases cannot overlap, so one search finds whether there is
+    any, the last home that is marked wins, and one replacement takes all of them out."""
+    def hit(rules: tuple[FormRule, ...]) -> Column:
+        every = FormRule("", tuple(m for r in rules for m in r.marks), ())
+        return any_of([marked(F.col(n), every, loose) for n in names])
+
+    home = F.coalesce(*[F.when(hit((r,)), r.label) for r in reversed(HOMES)])
+    phrases = FormRule("", (), tuple(dict.fromkeys(p for r in HOMES for p in r.removed)))
+    pattern = "(?:" + "|".join(phrases.removed) + ")" if loose else whole_words(phrases.removed)
+    return df.withColumns({
+        target: F.when(hit(HOMES), home).otherwise(""),
+        **{n: F.regexp_replace(F.col(n), "(?i)" + pattern, "") for n in names},
+    })
 
 
 def clean_names(df: DataFrame, names: list[str], loose: bool = False) -> DataFrame:

@@ -43,8 +43,7 @@ def street_rules(whole_words: bool) -> list[tuple[str, str]]:
     return rules
 
 
-# what every ordinal contains, and marks for a number within a building
-ORDINAL_HINT = "(?i)[1-5](?:ST|ND|RD|TH) "
+# fixed values: marks for a number within a building
 NUMBER_MARKS = [("# ", "Suite "), ("#", "Suite ")]
 
 

@@ -11,15 +11,14 @@ class FormRule:
 
     In the loose reading the entries are regular expressions tried in the order given, so a
     full stop stands for any character and a match may start inside a word. In the whole-word
-    reading they are phrases. Every entry contains one of the ``stems``, so a name without
-    any of them is passed over after a single search.
+    reading they are phrases. Every removed entry contains the ``stem``, if one is given.
     """
 
     label: str
     marks: tuple[str, ...]
     removed: tuple[str, ...]
-    stems: tuple[str, ...]
     loose_removed: tuple[str, ...] | None = None
+    stem: str = ""
 
 
 # fixed values: corporations
@@ -29,7 +28,6 @@ CORPORATION = FormRule(
            "non-profit corporation", "nonprofit", "non-profit"),
     removed=("a corporation", "non-profit corporation", "corporation", "incorporated",
              "corp.", "corp", "inc.", "inc", "nonprofit", "non-profit"),
-    stems=("inc", "corp", "profit"),
     loose_removed=("a corporation", "Corporation", "Incorporated", "Corp ", "Inc ", "Inc.", "inc",
                    "Corp.", "non-profit corporation", "nonprofit", "non-profit"),
 )
@@ -52,7 +50,7 @@ PARTNERSHIP = FormRule(
              "each severally and as joint", "severally and as joint", "a general partnership",
              "general partnership", "a limited partnership", "limited partnership",
              "a partnership", "partnership", "each severally and as"),
-    stems=("partner", "joint", "several", "LLP"),
+    stem="(?:partner|joint|several)",
 )
 
 # fixed values: limited-liability companies
@@ -64,7 +62,6 @@ COMPANY = FormRule(
     removed=("L.L.C.", "LLC", "a limited liability company", "limited liability company",
              "a limited liability comapany", "limited liability comapany",
              "a limited liability", "limited liability", "company", "comapany", "Co.", "Co"),
-    stems=("LLC", "L.L.C.", "co", "limited liability"),
     loose_removed=(r"\bLLC$", r"\bL.L.C.$", "L.L.C., ", "LLC, ", "L.L.C. ", "LLC ", "company",
                    "comapany", "a limited liability", "limited liability", r"\bCo$", r"Co\. ",
                    "Co ", "CO "),
@@ -75,7 +72,6 @@ INDIVIDUAL = FormRule(
     "Individual",
     marks=("an individual", "individual "),
     removed=("an individual", "individual "),
-    stems=("individual",),
 )
 
 FORMS = (CORPORATION, PARTNERSHIP, COMPANY, INDIVIDUAL)
@@ -83,12 +79,11 @@ FORMS = (CORPORATION, PARTNERSHIP, COMPANY, INDIVIDUAL)
 # fixed values: homes of liability; the last one keeps its phrase in the name
 HOMES = (
     FormRule("California", ("a California", "a Californi", "a Californ"),
-             ("a California", "a Californi"), ("a Californ",)),
-    FormRule("Delaware", ("a Delaware",), ("a Delaware",), ("a Delaware",)),
-    FormRule("Nevada", ("a Nevada",), ("a Nevada",), ("a Nevada",)),
-    FormRule("Nebraska", ("a Nebraska",), ("a Nebraska",), ("a Nebraska",)),
-    FormRule("Foreign", ("a foreign",), ("a foreign",), ("a foreign",)),
+             ("a California", "a Californi")),
+    FormRule("Delaware", ("a Delaware",), ("a Delaware",)),
+    FormRule("Nevada", ("a Nevada",), ("a Nevada",)),
+    FormRule("Nebraska", ("a Nebraska",), ("a Nebraska",)),
+    FormRule("Foreign", ("a foreign",), ("a foreign",)),
     FormRule("California", ("Which Will Be Doing Business In California",
-                            "Which Will Be Doing Business In California As"), ("a foreign",),
-             ("Doing Business In California", "a foreign")),
+                            "Which Will Be Doing Business In California As"), ("a foreign",)),
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import cleaning, filtering  # noqa: F401
+from checks import classifying, cleaning, filtering  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
