@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.blanks import is_blank
 from caseloom.functions.numbers import money
-from caseloom.operators.spread import attach_by_key
+from caseloom.operators.spread import attach_by_key, row_total
 
 
 def distinct_rows(df: DataFrame, ignoring: list[str] | None = None, order: list[str] | None = None,
@@ -76,13 +76,16 @@ def keep_first_by_each(df: DataFrame, key_sets: list[list[str]], order: list[str
 
 
 def flag_repeats(df: DataFrame, flags: dict[str, list[str]], order: list[str]) -> DataFrame:
-    """Per flag, true on every member of a group that has more than one row."""
-    columns = df.columns
+    """Per flag, true on every member of a group that has more than one row.
+
+    All counts are taken from the table as given, not from the output of the flag before.
+    """
+    flagged, everything = df, row_total(df)
     for name, keys in flags.items():
         repeated = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
                     .where("_weight > 1").withColumn(name, F.lit(True)))
-        df = attach_by_key(df, repeated, keys, "_weight", order)
-    return df.select(*columns, *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags])
+        flagged = attach_by_key(flagged, repeated, keys, "_weight", order, everything)
+    return flagged.select(*df.columns, *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags])
 
 
 def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
@@ -95,9 +98,9 @@ def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str,
                     *[F.col(c) for c in order])
     winners = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"), F.min(rank).alias("_best"))
     # rows that are alone under their key are their own winners and need no partner
-    df = attach_by_key(df, winners.where("_weight > 1"), keys, "_weight", order)
-    beaten = F.struct(*[F.col("_best")[c] for c in order]) != F.struct(*order)
-    return df.select(*columns, F.coalesce(beaten, F.lit(False)).alias(name))
+    df = attach_by_key(df, winners.where("_weight > 1"), keys, "_weight", order, row_total(df))
+    beaten = F.col("_best").isNotNull() & (F.struct(*[F.col("_best")[c] for c in order]) != F.struct(*order))
+    return df.select(*columns, beaten.alias(name))
 
 
 def drop_duplicates(df: DataFrame, id_col: str, violation: str, amounts: list[str], form: str,

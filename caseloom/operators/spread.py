@@ -20,26 +20,33 @@ HOT_SHARE = 0.001
 SALTS = 64
 
 
+def row_total(rows: DataFrame) -> Column:
+    """Number of rows, as a scalar subquery that reads no column it does not need."""
+    return rows.agg(F.count(F.lit(1))).scalar()
+
+
 def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
-                  spread_by: list[str], hot_share: float = HOT_SHARE,
+                  spread_by: list[str], total: Column, hot_share: float = HOT_SHARE,
                   salts: int = SALTS) -> DataFrame:
     """Left-join ``per_key`` (one row per key) to ``rows``; null keys equal null keys.
 
-    ``weight`` is the number of rows behind a key, ``spread_by`` the columns that tell rows
-    of one key apart. Every column of ``per_key`` but the keys and the weight is attached.
+    ``weight`` is the number of rows behind a key, ``total`` the number of all rows, and
+    ``spread_by`` the columns that tell rows of one key apart. Every column of ``per_key``
+    but the keys and the weight is attached.
     """
     values = [c for c in per_key.columns if c not in keys and c != weight]
-    limit = per_key.agg(F.sum(weight) * F.lit(hot_share)).scalar()
+    limit = total * F.lit(hot_share)
 
-    def renamed(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*[F.col(k).alias(f"_{tag}_{k}") for k in keys],
-                         F.struct(*values).alias(f"_{tag}"))
+    def renamed(df: DataFrame, tag: str, *more: Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"_{tag}_{k}") for k in keys], F.struct(*values).alias(f"_{tag}"), *more)
 
     def same_key(tag: str) -> Column:
         return all_of([F.col(k).eqNullSafe(F.col(f"_{tag}_{k}")) for k in keys])
 
     hot = renamed(per_key.where(F.col(weight) > limit), "hot")
-    cold = renamed(per_key.where(F.col(weight) <= limit), "cold").withColumn("_cold_salt", F.lit(0))
+    # always 0, yet not a literal: a literal would be folded into a filter and leave the join key
+    zero = F.least(F.col(weight), F.lit(0)).cast("int").alias("_cold_salt")
+    cold = renamed(per_key.where(F.col(weight) <= limit), "cold", zero)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)) + 1
     return (
         rows.join(F.broadcast(hot), same_key("hot"), "left")
@@ -65,7 +72,7 @@ def group_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column],
     """Each row with the totals of its group, without gathering the group."""
     per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"),
                                       *[c.alias(name) for name, c in totals.items()])
-    return attach_by_key(rows, per_key, keys, "_weight", spread_by)
+    return attach_by_key(rows, per_key, keys, "_weight", spread_by, row_total(rows))
 
 
 def on_distinct(rows: DataFrame, texts: list[str], step: Callable[[DataFrame], DataFrame],
@@ -76,4 +83,4 @@ def on_distinct(rows: DataFrame, texts: list[str], step: Callable[[DataFrame], D
     otherwise apply the step to the rows themselves, which needs no shuffle at all.
     """
     distinct = rows.groupBy(*texts).agg(F.count(F.lit(1)).alias("_weight"))
-    return attach_by_key(rows, step(distinct), texts, "_weight", spread_by)
+    return attach_by_key(rows, step(distinct), texts, "_weight", spread_by, row_total(rows))
