@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import classifying, cleaning, duplicates, filtering, grouping  # noqa: F401
+from checks import classifying, cleaning, duplicates, filtering, grouping, money, reporting  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
