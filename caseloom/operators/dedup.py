@@ -41,8 +41,14 @@ def _summed(amounts: list[str]) -> Column:
     return first
 
 
+def keys_usable(df: DataFrame, keys: list[str]) -> Column:
+    """Whether every key column holds a value somewhere; reads the key columns only."""
+    return F.coalesce(df.agg(F.least(*[F.max(~is_blank(k, ("",))) for k in keys])).scalar(), F.lit(False))
+
+
 def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
-              fallback_keys: list[str] | None = None) -> DataFrame:
+              fallback_keys: list[str] | None = None, usable: Column | None = None,
+              within: list[str] | None = None) -> DataFrame:
     """Per key the row with the highest amount, then the last form in the alphabet, then the first row.
 
     A key column that is blank on every row identifies nothing: then only ``fallback_keys``
@@ -50,13 +56,12 @@ def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, ord
     forms rank last.
     """
     fallback_keys = fallback_keys or order
-    usable = F.coalesce(df.agg(F.least(*[F.max(~is_blank(k, ("",))) for k in keys])).scalar(),
-                        F.lit(False))
+    usable = keys_usable(df, keys) if usable is None else usable
     guarded = df.withColumn("_guard", F.when(~usable, F.struct(*fallback_keys)))
     earliest = [(-F.col(c)).alias(c) for c in order]
     rank = F.struct(F.when(usable, F.struct(_summed(amounts).alias("amount"), F.col(form).alias("form")))
                     .alias("best"), *earliest)
-    return _pick(guarded, [*keys, "_guard"], rank, "last").drop("_guard")
+    return _pick(guarded, [*(within or []), *keys, "_guard"], rank, "last").drop("_guard")
 
 
 def keep_first_by_each(df: DataFrame, key_sets: list[list[str]], order: list[str],
@@ -104,14 +109,32 @@ def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str,
 
 
 def drop_duplicates(df: DataFrame, id_col: str, violation: str, amounts: list[str], form: str,
-                    order: list[str]) -> DataFrame:
-    """Trim ids, full-row distinct, then the best row per (id, violation).
+                    order: list[str], within: list[str] | None = None, usable: Column | None = None) -> DataFrame:
+    """Trim ids, full-row distinct, then the best row per (id, violation), per ``within`` if given.
 
     Wider keys (with amount, names or address added) can find nothing further once rows are
     unique per (id, violation); where ids or violations are blank throughout, (id, violation,
-    amount) decides and the other wider keys contain it. So the chain is two shuffles.
+    amount) decides and the other wider keys contain it. A full copy shares all keys, and the
+    best row of a group is one of its first copies, so the full-row pass is part of the same
+    aggregation: one shuffle in all.
     """
     df = df.withColumn(id_col, F.trim(id_col))
-    df = distinct_rows(df, ignoring=order, order=order)
     keys = [id_col, violation]
-    return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]])
+    return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]], usable=usable, within=within)
+
+
+def mark_shared(df: DataFrame, keys: list[str], order: list[str], name: str = "shared") -> DataFrame:
+    """True where a key occurs more than once, so that later passes can leave the rest alone."""
+    return flag_repeats(df, {name: keys}, order)
+
+
+def drop_shared_duplicates(df: DataFrame, shared: str, id_col: str, violation: str, amounts: list[str],
+                           form: str, order: list[str]) -> DataFrame:
+    """``drop_duplicates`` for a table marked with ``mark_shared`` on (id, violation).
+
+    Rows that share their key with no other row cannot be duplicates: they go straight
+    through, filters reach their scan, and only the marked remainder is shuffled.
+    """
+    usable = keys_usable(df, [id_col, violation])
+    rivals = drop_duplicates(df.where(F.col(shared)), id_col, violation, amounts, form, order, usable=usable)
+    return df.where(~F.col(shared)).unionByName(rivals.select(*df.columns))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.operators.places import Place
-from caseloom.plans.steps import clean_step, infer_step
+from caseloom.plans.steps import clean_step, infer_step, mark_cross_source
 from caseloom.rules.book import Rule
 from caseloom.rules.industries import all_industries
 from caseloom.sources import snapshot as S
@@ -30,14 +30,16 @@ def refresh_snapshot(spark: SparkSession, root: str, specs: list[SourceSpec], as
 
     Rows go to disk harmonised but uncleaned first. Cleaning starts from that copy, so row
     numbers are settled before any "first" row is chosen and a lost executor repeats no parsing.
+    The cleaned rows are written as well, since marking what sources share reads them twice.
     """
     current = S.latest(spark, root)
     if not S.is_stale(current, as_of, max_age_days, force):
         return current
     raw, cases = f"{root}/raw/{as_of.isoformat()}", f"{root}/cases/{as_of.isoformat()}"
     S.write_partitioned(stack([land(spark, s, rows) for s in specs if s.include]), raw, S.RAW_BY)
-    cleaned = clean_step(spark.read.parquet(raw), loose=loose)
-    labelled = infer_step(cleaned, places or [], industries or all_industries())
+    unique = f"{root}/unique/{as_of.isoformat()}"
+    S.write_partitioned(clean_step(spark.read.parquet(raw), loose=loose), unique, S.RAW_BY)
+    labelled = infer_step(mark_cross_source(spark.read.parquet(unique)), places or [], industries or all_industries())
     S.write_partitioned(S.with_start_year(labelled), cases, S.CASES_BY)
     S.register(spark, root, as_of, cases, raw)
     return S.Snapshot(as_of, cases, raw)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date
 
@@ -12,9 +13,9 @@ from caseloom.functions.blanks import is_blank
 from caseloom.operators import group as G
 from caseloom.operators import summary as S
 from caseloom.operators import topk as K
-from caseloom.operators.dedup import distinct_rows, drop_duplicates
+from caseloom.operators.dedup import distinct_rows
 from caseloom.operators.filters import in_state, masked, organisation, significant
-from caseloom.plans.steps import NAMES, ORDER, SORTED_BY, shape_step
+from caseloom.plans.steps import NAMES, ORDER, across_sources, fill_step, scope_step
 from caseloom.rules.book import Rule
 from caseloom.rules.industries import labels_for
 from caseloom.session import materialise
@@ -123,17 +124,21 @@ class Lookups:
     signatories: list[Rule] = field(default_factory=list)
 
 
-def report_rows(cases: DataFrame, options: ReportOptions, as_of: date, lookups: Lookups) -> DataFrame:
-    """The cases one report is about, amounts filled in."""
+def scoped_rows(cases: DataFrame, options: ReportOptions, lookups: Lookups) -> DataFrame:
+    """The cases one report is about."""
     o = options
     home = HOME_STATE if o.target_state == HOME else None
-    return shape_step(cases, lookups.zips, labels_for(o.target_industry), F.lit(o.year_start), F.lit(o.year_end),
-                      F.lit(as_of), lookups.signatories, home_state=home, with_generic=o.infer_zip,
-                      by_code_only=not o.infer_by_naics, assume=o.use_assumptions, open_only=o.open_cases_only)
+    return scope_step(cases, lookups.zips, labels_for(o.target_industry), F.lit(o.year_start), F.lit(o.year_end),
+                      lookups.signatories, home_state=home, with_generic=o.infer_zip, by_code_only=not o.infer_by_naics)
 
 
-def report_tables(rows: DataFrame, everything: DataFrame, o: ReportOptions) -> dict[str, DataFrame]:
-    """All tables in report order. ``rows`` is read many times and should be materialised."""
+def filled_rows(scoped: DataFrame, options: ReportOptions, as_of: date) -> DataFrame:
+    return fill_step(scoped, F.lit(as_of), options.use_assumptions, options.open_cases_only)
+
+
+def report_tables(rows: DataFrame, everything: DataFrame, o: ReportOptions,
+                  only: set[str] | None = None) -> dict[str, DataFrame]:
+    """The tables in report order, or ``only`` some of them. ``rows`` is read by each table."""
     def picked(df: DataFrame, header: list[str]) -> DataFrame:
         return df.select(*[f"`{c}`" for c in header if c in df.columns])
 
@@ -145,57 +150,65 @@ def report_tables(rows: DataFrame, everything: DataFrame, o: ReportOptions) -> d
         rows, chosen = masked(rows, "Signatory", IDENTIFYING), masked(chosen, "Signatory", IDENTIFYING)
     rows, chosen = (distinct_rows(d, ignoring=ORDER, order=ORDER, keep="last") for d in (rows, chosen))
 
-    employers = G.group_by_key(chosen, "legal_nm", ORDER)
-    all_employers = G.group_by_key(rows, "legal_nm", ORDER)
-    multi = G.multi_agency(chosen, "legal_nm", "juris_or_proj_nm", ORDER)
-    tables = {
-        "overview": S.overview(everything),
-        "coverage": S.coverage(everything),
-        "summary": S.report_summary(chosen, employers, multi),
-        "date_range": chosen.agg(F.min("findings_start_date").alias("first"), F.max("findings_start_date").alias("last")),
-        "totals": S.totals(chosen, {"ee_violtd_cnt": "employees", "bw_amt": "back_wages", "violtn_cnt": "violations"}),
-        "status": S.status_shares(chosen, "Case Status").orderBy(F.desc("cases"), "status"),
-        "cases": chosen,
+    def employers(of: DataFrame) -> DataFrame:
+        return G.group_by_key(of, "legal_nm", ORDER)
+
+    def agencies(of: DataFrame, **more: list[str]) -> DataFrame:
+        return G.multi_agency(of, "legal_nm", "juris_or_proj_nm", ORDER, **more)
+
+    def fine() -> DataFrame:
+        return G.sums_by(employers(chosen), ["cty_nm", "zip_cd", "industry", "legal_nm"], [*FIGURES, "backwage_owed"])
+
+    def cities() -> DataFrame:
+        per_city = S.city_summary(G.sums_by(fine(), ["cty_nm", "legal_nm"], [*FIGURES, "backwage_owed"]),
+                                  agencies(chosen, within=["cty_nm"]))
+        return per_city.where(significant("cases", "stolen")) if o.only_significant else per_city
+
+    def violators(flag: str) -> DataFrame:
+        return employers(rows).where(F.col(flag) == 1)
+
+    make: dict[str, Callable[[], DataFrame]] = {
+        "overview": lambda: S.overview(everything),
+        "coverage": lambda: S.coverage(everything),
+        "summary": lambda: S.report_summary(chosen, employers(chosen), agencies(chosen)),
+        "date_range": lambda: chosen.agg(F.min("findings_start_date").alias("first"), F.max("findings_start_date").alias("last")),
+        "totals": lambda: S.totals(chosen, {"ee_violtd_cnt": "employees", "bw_amt": "back_wages", "violtn_cnt": "violations"}),
+        "status": lambda: S.status_shares(chosen, "Case Status").orderBy(F.desc("cases"), "status"),
+        "cases": lambda: chosen,
     }
     if o.include_tables:
-        tables["by_industry_and_city"] = G.subtotals(employers, "industry", "cty_nm", FIGURES, "COUNTYWIDE")
-        tables["by_zip_and_industry"] = G.subtotals(employers, "zip_cd", "industry", FIGURES, "ZIPCODEWIDE")
+        make["by_industry_and_city"] = lambda: G.subtotals(employers(chosen), "industry", "cty_nm", FIGURES, "COUNTYWIDE")
+        make["by_zip_and_industry"] = lambda: G.subtotals(employers(chosen), "zip_cd", "industry", FIGURES, "ZIPCODEWIDE")
     if o.include_summaries:
-        fine = G.sums_by(employers, ["cty_nm", "zip_cd", "industry", "legal_nm"], [*FIGURES, "backwage_owed"])
-        city_multi = G.multi_agency(chosen, "legal_nm", "juris_or_proj_nm", ORDER, within=["cty_nm"])
-        by_employer = G.sums_by(fine, ["cty_nm", "legal_nm"], [*FIGURES, "backwage_owed"])
-        cities = S.city_summary(by_employer, city_multi)
-        tables["cities"] = cities.where(significant("cases", "stolen")) if o.only_significant else cities
-        tables["zips"] = S.zip_summary(fine, labels_for(o.target_industry) is None)
-        tables["by_city_and_industry"] = G.subtotals(fine, "cty_nm", "industry", FIGURES, "CITYWIDE")
+        make["cities"] = cities
+        make["zips"] = lambda: S.zip_summary(fine(), labels_for(o.target_industry) is None)
+        make["by_city_and_industry"] = lambda: G.subtotals(fine(), "cty_nm", "industry", FIGURES, "CITYWIDE")
     if o.include_top_tables:
-        tables["top_by_amount"] = ranked(all_employers, "bw_amt", "legal_nm", K.TOP_VIOLATORS, HEADER)
-        tables["top_by_employees"] = ranked(all_employers, "ee_violtd_cnt", "legal_nm", K.TOP_VIOLATORS, HEADER)
-        tables["top_by_records"] = ranked(all_employers, "records", "legal_nm", K.TOP_VIOLATORS, HEADER)
+        for name, by in (("top_by_amount", "bw_amt"), ("top_by_employees", "ee_violtd_cnt"), ("top_by_records", "records")):
+            make[name] = lambda by=by: ranked(employers(rows), by, "legal_nm", K.TOP_VIOLATORS, HEADER)
         for name, key, header in (
                 ("repeat_addresses", "street_addr", REPEAT_HEADER), ("repeat_legal_names", "legal_nm", REPEAT_HEADER),
                 ("repeat_trade_names", "trade_nm", REPEAT_HEADER), ("repeat_agencies", "juris_or_proj_nm", AGENCY_HEADER),
                 ("repeat_owners", "Jurisdiction_region_or_General_Contractor", OWNER_HEADER)):
-            tables[name] = ranked(G.repeat_groups(rows, key, ORDER), "records", key, K.TOP_REPEATS, header)
-        multi_rows = G.multi_agency(rows, "legal_nm", "juris_or_proj_nm", ORDER,
-                                    carry=["trade_nm", "cty_nm", "naics_desc", "street_addr"])
-        tables["multi_agency"] = ranked(multi_rows, "records", "legal_nm", K.TOP_REPEATS, MULTI_HEADER)
+            make[name] = lambda key=key, header=header: ranked(G.repeat_groups(rows, key, ORDER), "records", key,
+                                                               K.TOP_REPEATS, header)
+        make["multi_agency"] = lambda: ranked(agencies(rows, carry=["trade_nm", "cty_nm", "naics_desc", "street_addr"]),
+                                              "records", "legal_nm", K.TOP_REPEATS, MULTI_HEADER)
     for flag, wanted in (("Prevailing", o.prevailing_wage_report), ("Signatory", o.signatories_report)):
         if wanted:
-            violators = all_employers.where(F.col(flag) == 1)
-            tables[f"{flag.lower()}_headline"] = S.headline(violators)
-            tables[f"{flag.lower()}_violators"] = K.listing(picked(violators, [*PREVAILING_HEADER, flag]), "legal_nm")
-    return tables
+            make[f"{flag.lower()}_headline"] = lambda flag=flag: S.headline(violators(flag))
+            make[f"{flag.lower()}_violators"] = lambda flag=flag: K.listing(
+                picked(violators(flag), [*PREVAILING_HEADER, flag]), "legal_nm")
+    return {name: table() for name, table in make.items() if only is None or name in only}
 
 
 def build_report(cases: DataFrame, options: ReportOptions, as_of: date, lookups: Lookups | None = None,
-                 reliable: bool = False) -> dict[str, DataFrame]:
-    """Named tables of one report, in order. The shaped rows are kept once for all of them."""
+                 reliable: bool = False, only: set[str] | None = None) -> dict[str, DataFrame]:
+    """Named tables of one report, in order. The scoped rows are kept once for all of them."""
     o = options.normalise(as_of)
-    rows = materialise(report_rows(cases, o, as_of, lookups or Lookups()), reliable)
-    everything = drop_duplicates(cases.where(in_state("st_cd", HOME_STATE)), "case_id_1", "violation", SORTED_BY,
-                                 "Businesstype", ORDER)
-    return report_tables(rows, everything, o)
+    scoped = materialise(scoped_rows(cases, o, lookups or Lookups()), reliable)
+    everything = across_sources(cases.where(in_state("st_cd", HOME_STATE)))
+    return report_tables(filled_rows(scoped, o, as_of), everything, o, only)
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:

@@ -12,7 +12,7 @@ from caseloom.functions.money import wages_owed
 from caseloom.functions.numbers import clean_number
 from caseloom.operators.agency import infer_agency
 from caseloom.operators.classify import infer_industry
-from caseloom.operators.dedup import drop_duplicates, flag_repeats
+from caseloom.operators.dedup import drop_duplicates, drop_shared_duplicates, flag_repeats, mark_shared
 from caseloom.operators.filters import date_window, in_region, label_in, open_cases
 from caseloom.operators.flags import infer_signatories, prevailing_flag
 from caseloom.operators.impute import count_violations, fill_penalties, fill_wages, owed_amounts, wage_means
@@ -64,11 +64,30 @@ def typed(df: DataFrame, upper: list[str], zip_col: str = "zip_cd", numbers: dic
     })
 
 
+DEDUP = ("case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
+SHARED = "shared"
+
+
 def clean_step(df: DataFrame, loose: bool = False) -> DataFrame:
-    """Texts on one line and cleaned, types settled, duplicates within the source dropped."""
+    """Texts on one line and cleaned, types settled, duplicates within each source dropped.
+
+    Which cases several sources report is settled here as well, once per refresh: whether one
+    of them has to go depends on the sources a report uses, but which ones might does not.
+    """
     df = clean_texts(one_line_texts(df), loose=loose)
     df = typed(df, ["legal_nm", "trade_nm", "street_addr", "cty_nm", "st_cd"])
-    return drop_duplicates(df, "case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
+    return drop_duplicates(df, *DEDUP, within=[L.SOURCE])
+
+
+def mark_cross_source(df: DataFrame) -> DataFrame:
+    return mark_shared(df, ["case_id_1", "violation"], ORDER, SHARED)
+
+
+def across_sources(df: DataFrame) -> DataFrame:
+    """Duplicates across sources dropped; a marked snapshot shuffles only what several sources report."""
+    if SHARED in df.columns:
+        return drop_shared_duplicates(df, SHARED, *DEDUP)
+    return drop_duplicates(df, *DEDUP)
 
 
 def with_duplicate_flags(df: DataFrame) -> DataFrame:
@@ -87,20 +106,25 @@ def infer_step(df: DataFrame, places: list[Place], industries: list[Rule], with_
     return df.withColumn("wages_owed", wages_owed())
 
 
-def shape_step(df: DataFrame, zips: DataFrame | None, labels: list[str] | None, first: Column, last: Column,
-               as_of: Column, signatories: list[Rule], home_state: str | None = None, with_generic: bool = True,
-               by_code_only: bool = False, assume: bool = True, open_only: bool = False) -> DataFrame:
-    """From the snapshot to the rows of one report: duplicates across sources, filters, flags,
-    imputed amounts, and open cases if asked for."""
-    df = drop_duplicates(df, "case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
+def scope_step(df: DataFrame, zips: DataFrame | None, labels: list[str] | None, first: Column, last: Column,
+               signatories: list[Rule], home_state: str | None = None, with_generic: bool = True,
+               by_code_only: bool = False) -> DataFrame:
+    """The rows one report is about: duplicates across sources, date, region, industry, flags."""
+    df = across_sources(df)
     df = df.where(date_window("findings_start_date", "findings_end_date", first, last))
     df = in_region(df, zips, home_state=home_state, with_generic=with_generic)
     if labels:
         df = df.where(label_in("industry", labels, "naic_cd" if by_code_only else None))
-    df = infer_signatories(df, signatories, NAMES)
+    return infer_signatories(df, signatories, NAMES)
+
+
+def fill_step(df: DataFrame, as_of: Column, assume: bool = True, open_only: bool = False) -> DataFrame:
+    """Counts and amounts filled in from the scoped rows, and open cases if asked for.
+
+    One aggregate over ``df`` and otherwise expressions; ``df`` is best materialised.
+    """
     if assume:
         df = count_violations(df)
         means = wage_means(df)
-        df = fill_penalties(fill_wages(df, means), means)
-        df = owed_amounts(df, as_of)
+        df = owed_amounts(fill_penalties(fill_wages(df, means), means), as_of)
     return open_cases(df) if open_only else df

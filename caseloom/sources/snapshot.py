@@ -18,7 +18,7 @@ from caseloom.sources import layout as L
 # fixed value: days a snapshot stays fresh
 MAX_AGE_DAYS = 30
 
-CASES_BY = ("st_cd", "industry", "start_year")
+CASES_BY = ("shared", "st_cd", "industry", "start_year")
 RAW_BY = (L.SOURCE,)
 ROWS_PER_FILE = 5_000_000
 
