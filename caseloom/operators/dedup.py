@@ -136,5 +136,6 @@ def drop_shared_duplicates(df: DataFrame, shared: str, id_col: str, violation: s
     through, filters reach their scan, and only the marked remainder is shuffled.
     """
     usable = keys_usable(df, [id_col, violation])
-    rivals = drop_duplicates(df.where(F.col(shared)), id_col, violation, amounts, form, order, usable=usable)
-    return df.where(~F.col(shared)).unionByName(rivals.select(*df.columns))
+    marked = F.col(shared).cast("boolean")
+    rivals = drop_duplicates(df.where(marked), id_col, violation, amounts, form, order, usable=usable)
+    return df.where(~marked).unionByName(rivals.select(*df.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
-from caseloom.functions.blanks import all_of, none_of
+from caseloom.functions.blanks import all_of, is_blank, none_of
 from caseloom.functions.money import still_open
 from caseloom.rules.closed import CLOSED
 
@@ -51,7 +51,7 @@ def in_region(df: DataFrame, zips: DataFrame | None, state_col: str = "st_cd", z
 def label_in(label_col: str, labels: Iterable[str], code_col: str | None = None) -> Column:
     """Label equals one of the labels, whatever the case; with ``code_col``, a code must be present."""
     hit = F.upper(label_col).isin(*[x.upper() for x in labels])
-    return hit & F.col(code_col).isNotNull() if code_col else hit
+    return hit & ~is_blank(code_col) if code_col else hit
 
 
 def organisation(names: list[str], terms: str) -> Column:

@@ -80,7 +80,8 @@ def clean_step(df: DataFrame, loose: bool = False) -> DataFrame:
 
 
 def mark_cross_source(df: DataFrame) -> DataFrame:
-    return mark_shared(df, ["case_id_1", "violation"], ORDER, SHARED)
+    """1 or 0, since a folder name cannot be read back as a boolean."""
+    return mark_shared(df, ["case_id_1", "violation"], ORDER, SHARED).withColumn(SHARED, F.col(SHARED).cast("int"))
 
 
 def across_sources(df: DataFrame) -> DataFrame:
