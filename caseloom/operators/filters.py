@@ -23,6 +23,11 @@ def date_window(start: str, end: str, first: Column, last: Column) -> Column:
             | (s.isNull() & e.isNull()))
 
 
+def in_years(year: str, first: Column, last: Column) -> Column:
+    """What a date window implies for a column of start years, zero standing for no date at all."""
+    return F.col(year).between(F.year(first), F.year(last)) | (F.col(year) == 0)
+
+
 def in_state(state_col: str, state: str) -> Column:
     """In the state, or with no state given."""
     c = F.col(state_col)

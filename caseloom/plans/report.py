@@ -136,20 +136,28 @@ def filled_rows(scoped: DataFrame, options: ReportOptions, as_of: date) -> DataF
     return fill_step(scoped, F.lit(as_of), options.use_assumptions, options.open_cases_only)
 
 
-def report_tables(rows: DataFrame, everything: DataFrame, o: ReportOptions,
+def presented(filled: DataFrame, o: ReportOptions) -> tuple[DataFrame, DataFrame]:
+    """All rows and those of the chosen organisation, names masked, full copies dropped.
+
+    Names are matched before they are masked. Without an organisation the two are one table.
+    """
+    def shown(df: DataFrame) -> DataFrame:
+        df = df if o.signatories_report else masked(df, "Signatory", IDENTIFYING)
+        return distinct_rows(df, ignoring=ORDER, order=ORDER, keep="last")
+
+    rows = shown(filled)
+    return rows, shown(filled.where(organisation(NAMES, o.target_organization))) if o.target_organization else rows
+
+
+def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o: ReportOptions,
                   only: set[str] | None = None) -> dict[str, DataFrame]:
-    """The tables in report order, or ``only`` some of them. ``rows`` is read by each table."""
+    """The tables in report order, or ``only`` some of them. Each reads ``rows`` or ``chosen``."""
     def picked(df: DataFrame, header: list[str]) -> DataFrame:
         return df.select(*[f"`{c}`" for c in header if c in df.columns])
 
     def ranked(df: DataFrame, by: str, tie: str, n: int, header: list[str]) -> DataFrame:
         return K.formatted(picked(K.top(df, by, tie, n), header), ["bw_amt", "ee_violtd_cnt", "ee_pmt_recv", "violtn_cnt"])
 
-    chosen = rows.where(organisation(NAMES, o.target_organization))
-    if not o.signatories_report:
-        rows, chosen = masked(rows, "Signatory", IDENTIFYING), masked(chosen, "Signatory", IDENTIFYING)
-    rows, chosen = (distinct_rows(d, ignoring=ORDER, order=ORDER, keep="last") for d in (rows, chosen))
-
     def employers(of: DataFrame) -> DataFrame:
         return G.group_by_key(of, "legal_nm", ORDER)
 
@@ -204,11 +212,18 @@ def report_tables(rows: DataFrame, everything: DataFrame, o: ReportOptions,
 
 def build_report(cases: DataFrame, options: ReportOptions, as_of: date, lookups: Lookups | None = None,
                  reliable: bool = False, only: set[str] | None = None) -> dict[str, DataFrame]:
-    """Named tables of one report, in order. The scoped rows are kept once for all of them."""
+    """Named tables of one report, in order.
+
+    The rows on show are kept once for all of them: two dozen aggregates read them. What they
+    are drawn from is not kept, since the snapshot is laid out for being read by a report.
+    """
     o = options.normalise(as_of)
-    scoped = materialise(scoped_rows(cases, o, lookups or Lookups()), reliable)
+    rows, chosen = presented(filled_rows(scoped_rows(cases, o, lookups or Lookups()), o, as_of), o)
+    same = rows is chosen
+    rows = materialise(rows, reliable)
+    chosen = rows if same else materialise(chosen, reliable)
     everything = across_sources(cases.where(in_state("st_cd", HOME_STATE)))
-    return report_tables(filled_rows(scoped, o, as_of), everything, o, only)
+    return report_tables(rows, chosen, everything, o, only)
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:

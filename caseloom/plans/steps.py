@@ -13,7 +13,7 @@ from caseloom.functions.numbers import clean_number
 from caseloom.operators.agency import infer_agency
 from caseloom.operators.classify import infer_industry
 from caseloom.operators.dedup import drop_duplicates, drop_shared_duplicates, flag_repeats, mark_shared
-from caseloom.operators.filters import date_window, in_region, label_in, open_cases
+from caseloom.operators.filters import date_window, in_region, in_years, label_in, open_cases
 from caseloom.operators.flags import infer_signatories, prevailing_flag
 from caseloom.operators.impute import count_violations, fill_penalties, fill_wages, owed_amounts, wage_means
 from caseloom.operators.places import Place, infer_zip
@@ -65,7 +65,7 @@ def typed(df: DataFrame, upper: list[str], zip_col: str = "zip_cd", numbers: dic
 
 
 DEDUP = ("case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
-SHARED = "shared"
+SHARED, YEAR = "shared", "start_year"
 
 
 def clean_step(df: DataFrame, loose: bool = False) -> DataFrame:
@@ -113,6 +113,9 @@ def scope_step(df: DataFrame, zips: DataFrame | None, labels: list[str] | None,
     """The rows one report is about: duplicates across sources, date, region, industry, flags."""
     df = across_sources(df)
     df = df.where(date_window("findings_start_date", "findings_end_date", first, last))
+    if YEAR in df.columns:
+        # adds nothing to the window, but names a folder of the snapshot
+        df = df.where(in_years(YEAR, first, last))
     df = in_region(df, zips, home_state=home_state, with_generic=with_generic)
     if labels:
         df = df.where(label_in("industry", labels, "naic_cd" if by_code_only else None))

@@ -43,7 +43,7 @@ SELECT case_id_1, violation, coalesce(form, 'none') AS form, CAST(bw_amt AS DOUB
 
 
 def _coarse(spark: SparkSession, sf: str, extra: dict) -> DataFrame:
-    df = cases(spark, sf, COARSE_COLUMNS, extra)
+    df = cases(spark, sf, COARSE_COLUMNS, extra, wide=True)
     return D.drop_duplicates(df, "case_id_1", "violation", ["bw_amt", "interest_owed"], "form", ORDER).select(
         "case_id_1", "violation", F.coalesce("form", F.lit("none")).alias("form"), num("bw_amt"), *ORDER)
 
@@ -92,7 +92,7 @@ FLAGS = {"dup_case": ["case_id_1", "violation", "ee_pmt_recv"], "dup_pay": ["cas
 @query("dedup_flags", f"""WITH {cases_sql()} SELECT ord1, ord2, ord3, """ + ", ".join(
     f"count(*) OVER (PARTITION BY {', '.join(keys)}) > 1 AS {name}" for name, keys in FLAGS.items()) + " FROM cases")
 def dedup_flags(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "legal_nm", "trade_nm", "violation", "bw_amt", "ee_pmt_recv", *ORDER])
+    df = cases(spark, sf, ["case_id_1", "legal_nm", "trade_nm", "violation", "bw_amt", "ee_pmt_recv", *ORDER], wide=True)
     return D.flag_repeats(df, FLAGS, ORDER).select(*ORDER, *FLAGS)
 
 
@@ -100,7 +100,7 @@ def dedup_flags(spark: SparkSession, sf: str) -> DataFrame:
 SELECT ord1, ord2, ord3, row_number() OVER (PARTITION BY case_id_1, violation ORDER BY (bw_amt + interest_owed) DESC NULLS LAST,
   form ASC NULLS LAST, ord1, ord2, ord3) > 1 AS "_DELETED_DUP" FROM cases""")
 def dedup_flag_deleted(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, COARSE_COLUMNS, COARSE)
+    df = cases(spark, sf, COARSE_COLUMNS, COARSE, wide=True)
     return D.flag_deleted(df, ["case_id_1", "violation"], ["bw_amt", "interest_owed"], "form", ORDER).select(*ORDER, "_DELETED_DUP")
 
 

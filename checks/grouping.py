@@ -36,7 +36,7 @@ BASIC = [*SUMS, "legal_nm", "trade_nm", "cty_nm", *ORDER]
 
 def employers(spark: SparkSession, sf: str, carry: list[str] | None = None) -> DataFrame:
     carry = carry or ["trade_nm", "cty_nm"]
-    return G.group_by_key(cases(spark, sf, [*SUMS, "legal_nm", *carry, *ORDER]), "legal_nm", ORDER, SUMS, carry)
+    return G.group_by_key(cases(spark, sf, [*SUMS, "legal_nm", *carry, *ORDER], wide=True), "legal_nm", ORDER, SUMS, carry)
 
 
 @query("flagship", f"""WITH {cases_sql()}, {_group_sql('legal_nm', where=WINDOW_SQL)}
@@ -79,7 +79,7 @@ def _multi_sql(within: str = "") -> str:
 
 
 def multi(spark: SparkSession, sf: str, within: list[str] | None = None) -> DataFrame:
-    df = cases(spark, sf, ["legal_nm", "juris_or_proj_nm", "bw_amt", *(within or []), *ORDER])
+    df = cases(spark, sf, ["legal_nm", "juris_or_proj_nm", "bw_amt", *(within or []), *ORDER], wide=True)
     return G.multi_agency(df, "legal_nm", "juris_or_proj_nm", ORDER, ("bw_amt",), within=within)
 
 

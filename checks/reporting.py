@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caseloom.operators import group as G
 from caseloom.operators import summary as S
 from caseloom.operators.filters import significant
-from caseloom.plans.report import Lookups, ReportOptions, filled_rows, report_tables, scoped_rows
+from caseloom.plans.report import Lookups, ReportOptions, filled_rows, presented, report_tables, scoped_rows
 from caseloom.rules.book import name_rule
 from caseloom.sources import layout as L
 from checks.cases import ORDER, cases, cases_sql
@@ -144,7 +144,7 @@ OPTIONS = ReportOptions(target_industry="Furniture", year_start=date(1996, 1, 1)
 
 def shaped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, ReportOptions]:
     """Shaped rows, the cases they come from, and the options."""
-    df = cases(spark, sf, REPORT_COLUMNS, CANONICAL)
+    df = cases(spark, sf, REPORT_COLUMNS, CANONICAL, wide=True)
     chosen = OPTIONS.normalise(AS_OF)
     return filled_rows(scoped_rows(df, chosen, Lookups(signatories=SIGNERS)), chosen, AS_OF), df, chosen
 
@@ -178,7 +178,7 @@ SELECT name AS legal_nm, count(*) AS records, format('{{:,.0f}}', CAST(sum(bw_am
   format('{{:,.0f}}', CAST(sum(ee) AS DOUBLE)) AS ee_violtd_cnt FROM shown GROUP BY name ORDER BY sum(bw_amt) DESC, name LIMIT 6""")
 def report_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     rows, everything, options = shaped(spark, sf)
-    tables = report_tables(rows, everything, replace(options, include_top_tables=True), {"top_by_amount"})
+    tables = report_tables(*presented(rows, options), everything, replace(options, include_top_tables=True), {"top_by_amount"})
     return tables["top_by_amount"].select("legal_nm", "records", "bw_amt", "ee_violtd_cnt")
 
 
@@ -189,7 +189,8 @@ grouped AS (SELECT name, max(CASE WHEN rn = 1 THEN cty_nm END) AS cty_nm, max(CA
 SELECT industry, CASE WHEN grouping(cty_nm) = 1 THEN 'COUNTYWIDE' ELSE cty_nm END AS cty_nm, CAST(sum(records) AS BIGINT) AS records,
   CAST(sum(bw_amt) AS DOUBLE) AS bw_amt FROM grouped WHERE cty_nm IS NOT NULL GROUP BY GROUPING SETS ((industry, cty_nm), (industry))""")
 def report_by_industry_and_city(spark: SparkSession, sf: str) -> DataFrame:
-    tables = report_tables(*shaped(spark, sf), {"by_industry_and_city"})
+    rows, everything, options = shaped(spark, sf)
+    tables = report_tables(*presented(rows, options), everything, options, {"by_industry_and_city"})
     return tables["by_industry_and_city"].select("industry", "cty_nm", "records", num("bw_amt"))
 
 
@@ -198,4 +199,5 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY _row) AS rn F
 grouped AS (SELECT name, max(CASE WHEN rn = 1 THEN "Prevailing" END) AS flag, sum(bw_amt) AS bw_amt FROM firsts GROUP BY name)
 SELECT count(*) AS cases, CAST(coalesce(sum(bw_amt), 0) AS DOUBLE) AS back_wages FROM grouped WHERE flag = 1""")
 def report_prevailing_headline(spark: SparkSession, sf: str) -> DataFrame:
-    return report_tables(*shaped(spark, sf), {"prevailing_headline"})["prevailing_headline"]
+    rows, everything, options = shaped(spark, sf)
+    return report_tables(*presented(rows, options), everything, options, {"prevailing_headline"})["prevailing_headline"]

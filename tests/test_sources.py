@@ -97,13 +97,29 @@ def test_refresh_and_report(spark, landed, tmp_path):
 
 
 def test_reports_prune_the_snapshot(spark, landed, tmp_path):
-    root = str(tmp_path / "snap")
-    refresh_snapshot(spark, root, landed, date(2023, 1, 10))
+    from caseloom.plans.report import Lookups, scoped_rows
+    root, day = str(tmp_path / "snap"), date(2023, 1, 10)
+    refresh_snapshot(spark, root, landed, day)
+    cases = S.read_cases(spark, root)
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
-    plan = S.reduced(S.read_cases(spark, root), date(2023, 1, 10))._jdf.queryExecution().executedPlan().toString()
+    for df in (S.reduced(cases, day), scoped_rows(cases, ReportOptions(target_industry="Construction").normalise(day), Lookups())):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+        assert "industry" in filters and "start_year" in filters and "st_cd" in filters
     spark.conf.unset("spark.sql.maxMetadataStringLength")
-    filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
-    assert "industry" in filters and "start_year" in filters and "st_cd" in filters
+    # the unmarked rows come straight from their scan; only the marked ones are aggregated
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_organisations_are_matched_before_masking(spark, landed, tmp_path):
+    from caseloom.plans.report import Lookups
+    from caseloom.rules.book import name_rule
+    root, day = str(tmp_path / "snap"), date(2023, 1, 10)
+    refresh_snapshot(spark, root, landed, day)
+    tables = build_report(S.read_cases(spark, root), ReportOptions(target_organization="acme|nobody", year_start=date(2019, 1, 1)),
+                          day, Lookups(signatories=[name_rule("Construction", ["Acme"])]))
+    shown = tables["cases"].collect()
+    assert [r["legal_nm"] for r in shown] == ["masked"] and not any("ACME" in str(v) for r in shown for v in r)
 
 
 def test_missing_snapshot_is_an_error(spark, tmp_path):
