@@ -9,7 +9,7 @@ from caseloom.functions import text as T
 from caseloom.functions.address import clean_address
 from caseloom.functions.business import business_type, clean_names, liability_home
 from caseloom.operators.topk import formatted
-from caseloom.plans.steps import clean_measures, typed
+from caseloom.plans.steps import clean_measures, clean_step, typed
 from caseloom.rules.names import FORMS, HOMES
 from caseloom.rules.address import STREET_WORDS
 from caseloom.sources import harmonise as H
@@ -159,7 +159,7 @@ def _whole(phrases: tuple[str, ...]) -> str:
     return "(?:" + "|".join(out) + ")"
 
 
-def _form_sql(source: str, loose: bool, with_homes: bool = True) -> tuple[str, str]:
+def _form_sql(source: str, loose: bool, with_homes: bool = True, carried: str = "case_id_1, ord3") -> tuple[str, str]:
     """One common table expression per form, each reading the names the one before has left."""
     parts, previous = [], source
     steps = [(r, "form") for r in FORMS] + ([(r, "home") for r in HOMES] if with_homes else [])
@@ -169,7 +169,7 @@ def _form_sql(source: str, loose: bool, with_homes: bool = True) -> tuple[str, s
         removed = (rule.loose_removed or rule.removed) if loose else (_whole(rule.removed),)
         new = {n: _chain(n, [(p, "") for p in removed], regex=True, options="gi") for n in ("legal", "trade")}
         other = "home" if target == "form" else "form"
-        parts.append(f"f{i} AS (SELECT case_id_1, ord3, {new['legal']} AS legal, {new['trade']} AS trade, "
+        parts.append(f"f{i} AS (SELECT {carried}, {new['legal']} AS legal, {new['trade']} AS trade, "
                      f"CASE WHEN {hit} THEN '{rule.label}' ELSE {target} END AS {target}, {other} FROM {previous})")
         previous = f"f{i}"
     return ",\n".join(parts), previous
@@ -270,3 +270,38 @@ SELECT case_id_1, ord3, format('{{:,.0f}}', CAST(ee_pmt_recv AS DOUBLE)) AS ee_p
 def format_table(spark: SparkSession, sf: str) -> DataFrame:
     df = cases(spark, sf, ["case_id_1", "ord3", "ee_pmt_recv"]).withColumn("amount", F.col("ord3"))
     return formatted(df, ["ee_pmt_recv", "amount"])
+
+
+# the whole cleaning step: every kind of raw cell at once, then duplicates within a source
+RAW_CASES = {
+    "_row": ("", "(cast(l_orderkey as bigint) * 8 + l_linenumber) * 100000000 + cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint)"),
+    "legal_nm": RAW_NAMES["legal"], "trade_nm": RAW_NAMES["trade"], "street_addr": RAW_ADDRESS["raw_addr"],
+    "cty_nm": RAW_CITY["raw_city"], "zip_cd": RAW_TYPES["zip_cd"],
+    "st_cd": ("nation", "case when n_regionkey = 0 then 'ca' else '' end"),
+    "violation": ("", "concat('Issue ', l_returnflag, case when l_linestatus = 'O' then '\n' else ' ' end, 'late')".replace("'\n'", "chr(10)")),
+    "interest_owed": ("", "cast(0 as decimal(18,2))"),
+}
+
+
+def _clean_step_sql() -> str:
+    carried = "case_id_1, source, violation, street_addr, cty_nm, zip_cd, st_cd, bw_amt, _row"
+    city = _chain("trim(" + _chain("cty_nm", [(ch, "") for ch in [",", ".", ";", "'"]] + [("  ", " "), ("&", "")]) + ", ' ;,.')",
+                  [(ch, "") for ch in "()|/*"] + [("  ", " ")])
+    start = (f"named AS (SELECT trim(case_id_1) AS case_id_1, source, regexp_replace(violation, '\\s', ' ', 'g') AS violation, "
+             f"upper({_address_sql('street_addr', True)}) AS street_addr, upper({city}) AS cty_nm, "
+             "coalesce(replace(substr(zip_cd, 1, 5), 'nan', '0'), '0') AS zip_cd, upper(st_cd) AS st_cd, bw_amt, _row, "
+             f"{_name_spacing(_name_punctuation('legal_nm'))} AS legal, {_name_spacing(_name_punctuation('trade_nm'))} AS trade, "
+             "'' AS form, '' AS home FROM cases)")
+    steps, last = _form_sql("named", False, carried=carried)
+    return (f"WITH {cases_sql(RAW_CASES)},\n{start},\n{steps}\nSELECT case_id_1, source, violation, street_addr, cty_nm, zip_cd, st_cd, "
+            f"CAST(bw_amt AS DOUBLE) AS bw_amt, _row, upper({_name_punctuation('legal')}) AS legal_nm, upper({_name_punctuation('trade')}) AS trade_nm, "
+            f"form AS \"Businesstype\", home AS \"Liabilitytype\" FROM {last} QUALIFY row_number() OVER (PARTITION BY source, case_id_1, violation "
+            "ORDER BY bw_amt DESC NULLS LAST, form DESC NULLS LAST, _row) = 1")
+
+
+@query("clean_step", _clean_step_sql())
+def clean_step_query(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["case_id_1", "source", "violation", "street_addr", "cty_nm", "zip_cd", "st_cd", "bw_amt", "_row", "legal_nm", "trade_nm"]
+    df = cases(spark, sf, [c for c in columns if c not in RAW_CASES], RAW_CASES, wide=True)
+    return clean_step(df.select(*columns, "interest_owed")).select(
+        *[num(c) if c == "bw_amt" else c for c in columns], "Businesstype", "Liabilitytype")
