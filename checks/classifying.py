@@ -12,13 +12,14 @@ from caseloom.operators.classify import infer_industry
 from caseloom.operators.impute import penalty_terms
 from caseloom.operators.lookup import default_amount, term_amount, unmatched_terms
 from caseloom.operators.places import Place, infer_zip
+from caseloom.plans.steps import infer_step
 from caseloom.rules import agency as AR
 from caseloom.rules import prevailing as PR
 from caseloom.rules.book import compile_rule, name_rule
 from caseloom.rules.industries import industry_names
 from caseloom.rules.penalties import PENALTIES
 from checks.cases import cases, cases_sql, table
-from checks.registry import num, query, text
+from checks.registry import num, query
 
 # place names taken from the words of part names; the order matters, and some contain others
 PLACES = [Place("Red Ring", "9000X"), Place("old", "9001X"), Place("red", "9002X"), Place("Blue Bolt", "9003X"),
@@ -86,22 +87,31 @@ def _rule_hit(c: str, terms: tuple[str, ...]) -> str:
     return f"({hit} AND NOT coalesce(regexp_matches({c}, '(?i)({'|'.join(vetoes)})'), false))" if vetoes else hit
 
 
-def _rules_sql() -> str:
+def _rule_steps(source: str, terms_of: tuple, names: list[str], desc: str, code: str) -> tuple[list[str], str]:
     """The rules one after the other, each step reading the columns the last one set."""
-    ctes, previous = [cases_sql(TRADES), "s0 AS (SELECT case_id_1, ord3, name_a, name_b, \"desc\", code, industry, '' AS trade2 FROM cases)"], "s0"
-    for i, terms in enumerate(TERMS, 1):
+    ctes, previous = [], source
+    for i, terms in enumerate(terms_of, 1):
         label = terms[0]
-        named = f"({_rule_hit('name_a', terms)} OR {_rule_hit('name_b', terms)})"
+        named = "(" + " OR ".join(_rule_hit(n, terms) for n in names) + ")"
         ctes.append(f"s{i}a AS (SELECT * REPLACE (CASE WHEN {named} THEN '{label}' ELSE trade2 END AS trade2) FROM {previous})")
-        by_desc = f"((industry = '' OR industry IS NULL) AND {_rule_hit(chr(34) + 'desc' + chr(34), terms)})"
+        by_desc = f"((industry = '' OR industry IS NULL) AND {_rule_hit(desc, terms)})"
         ctes.append(f"s{i}b AS (SELECT * REPLACE (CASE WHEN {by_desc} THEN '{label}' ELSE industry END AS industry, "
                     f"CASE WHEN {by_desc} THEN '' ELSE trade2 END AS trade2) FROM s{i}a)")
-        by_code = _rule_hit("code", terms)
+        by_code = _rule_hit(code, terms)
         ctes.append(f"s{i} AS (SELECT * REPLACE (CASE WHEN {by_code} THEN '{label}' ELSE industry END AS industry, "
                     f"CASE WHEN {by_code} THEN '' ELSE trade2 END AS trade2) FROM s{i}b)")
         previous = f"s{i}"
-    return ("WITH " + ",\n".join(ctes) + "\nSELECT case_id_1, ord3, CASE WHEN coalesce(industry, '') <> '' THEN industry "
-            f"WHEN trade2 <> '' THEN trade2 ELSE 'Undefined' END AS industry, trade2 FROM {previous}")
+    return ctes, previous
+
+
+SETTLED_SQL = "CASE WHEN coalesce(industry, '') <> '' THEN industry WHEN trade2 <> '' THEN trade2 ELSE 'Undefined' END"
+
+
+def _rules_sql() -> str:
+    start = "s0 AS (SELECT case_id_1, ord3, name_a, name_b, \"desc\", code, industry, '' AS trade2 FROM cases)"
+    ctes, last = _rule_steps("s0", TERMS, ["name_a", "name_b"], '"desc"', "code")
+    return ("WITH " + ",\n".join([cases_sql(TRADES), start, *ctes])
+            + f"\nSELECT case_id_1, ord3, {SETTLED_SQL} AS industry, trade2 FROM {last}")
 
 
 @query("classify_rules", _rules_sql())
@@ -252,3 +262,47 @@ WORDS = ("the", "ing on", "email", "license", "http")
 def document_terms(spark: SparkSession, sf: str) -> DataFrame:
     terms = [(w, F.lit(i + 0.5)) for i, w in enumerate(WORDS)]
     return table(spark, sf, "documents").select("doc_id", term_amount("text", terms, default_amount()).cast("double").alias("amount"))
+
+
+# the whole inference step on the canonical columns
+OFFICE = "Jurisdiction_region_or_General_Contractor"
+STEP_TERMS = (("Construction", "bolt", r"\bold\b", "^(1)"), ("Utilities", "gear", "(!small)", "^(3)"), ("Retail", "widget", "ring.*", "(!red)", "^(45)"))
+STEP_TEXTS = {
+    **{c: e for c, e in PLACE_TEXTS.items() if c != "office"}, OFFICE: PLACE_TEXTS["office"],
+    "juris_or_proj_nm": ("part", "concat(case l_linenumber when 1 then 'WC ' when 2 then '07-' else 'AG_' end, p_name)"),
+    "industry": ("customer", "case when l_partkey % 9 < 6 then '' else c_mktsegment end"), "trade2": ("", "''"),
+    "naics_desc": ("part", "case when l_returnflag = 'A' then p_name else '' end"),
+    "naic_cd": ("part", "case when l_linestatus = 'O' then cast(p_size as varchar(20)) else '' end"),
+    "Reason For Closing": WORKS["reason"], "Closure Disposition - Other Reason": ("", "case when l_linenumber = 4 then 'fringe pay' else '' end"),
+    "violation": WORKS["viol"], "violation_code": ("", "''"), "Note": ("", "case when l_linenumber = 5 then 'P.C. 4104' else null end"),
+    "dbra_cl_violtn_cnt": WORKS["dbra"],
+}
+
+
+def _infer_step_sql() -> str:
+    def rank(c: str, bounded: bool) -> str:
+        return _place_case(c, bounded, "rank")
+    office = f'"{OFFICE}"'
+    zips = f"""ranked AS (SELECT *, {rank('cty_nm', True)} AS a, least({rank('trade_nm', True)}, {rank('legal_nm', False)}) AS b,
+    {rank('street_addr', True)} AS c, least({rank('juris_or_proj_nm', False)}, {rank(office, True)}) AS d FROM cases),
+  hit AS (SELECT *, coalesce(a, CASE WHEN coalesce(cty_nm, '') = '' THEN b END, c, CASE WHEN coalesce(cty_nm, '') = '' THEN d END) AS at_ FROM ranked),
+  placed AS (SELECT * REPLACE (CASE WHEN zip_cd IS NULL OR zip_cd IN ('', '0', '99999') THEN coalesce(CASE at_
+    {' '.join(f"WHEN {i} THEN '{p.code}'" for i, p in enumerate(PLACES))} END, '99999') ELSE zip_cd END AS zip_cd) FROM hit)"""
+    ctes, last = _rule_steps("placed", STEP_TERMS, ["legal_nm", "trade_nm"], "naics_desc", "naic_cd")
+    marked = " OR ".join(
+        [f"coalesce(regexp_matches({c}, '(?i)({'|'.join(PR.TERMS)})'), false)" for c in ('"Reason For Closing"', '"Closure Disposition - Other Reason"')]
+        + [f"coalesce(regexp_matches({c}, '(?i)({_ALL_SECTIONS})'), false)" for c in ("violation_code", "violation", '"Note"')]
+        + [f"regexp_matches(legal_nm, '(?i)({'|'.join(PR.PUBLIC_BODIES)})')"])
+    final = f"labelled AS (SELECT * REPLACE ({SETTLED_SQL} AS industry, CASE WHEN regexp_matches(juris_or_proj_nm, '{'|'.join(AR.LABEL_CODES)}') THEN 'DLSE' ELSE juris_or_proj_nm END AS juris_or_proj_nm) FROM {last})"
+    return ("WITH " + ",\n".join([cases_sql(STEP_TEXTS), zips, *ctes, final]) + f"""
+SELECT case_id_1, ord3, zip_cd, industry, trade2, juris_or_proj_nm, CASE WHEN (({marked}) AND industry IN ('Construction', 'Utilities'))
+  OR coalesce(dbra_cl_violtn_cnt > 0, false) THEN 1 ELSE 0 END AS "Prevailing",
+  CASE WHEN coalesce(dbra_cl_violtn_cnt > 0, false) THEN 'DBRA' ELSE violation_code END AS violation_code,
+  CAST(CASE WHEN bw_amt < ee_pmt_recv THEN 0 ELSE bw_amt - ee_pmt_recv END AS DOUBLE) AS wages_owed FROM labelled""")
+
+
+@query("infer_step", _infer_step_sql())
+def infer_step_query(spark: SparkSession, sf: str) -> DataFrame:
+    df = cases(spark, sf, ["case_id_1", "ord3", "bw_amt", "ee_pmt_recv"], STEP_TEXTS, wide=True)
+    labelled = infer_step(df, PLACES, [compile_rule(t) for t in STEP_TERMS])
+    return labelled.select("case_id_1", "ord3", "zip_cd", "industry", "trade2", "juris_or_proj_nm", "Prevailing", "violation_code", num("wages_owed"))
