@@ -136,14 +136,19 @@ def filled_rows(scoped: DataFrame, options: ReportOptions, as_of: date) -> DataF
     return fill_step(scoped, F.lit(as_of), options.use_assumptions, options.open_cases_only)
 
 
-def presented(filled: DataFrame, o: ReportOptions) -> tuple[DataFrame, DataFrame]:
+def presented(filled: DataFrame, o: ReportOptions, lookups: Lookups) -> tuple[DataFrame, DataFrame]:
     """All rows and those of the chosen organisation, names masked, full copies dropped.
 
     Names are matched before they are masked. Without an organisation the two are one table.
+    Rows are unique per (case, violation) by now, so only masking can make copies, and only
+    masked rows are compared; with no name lists, or a report that shows them, none are.
     """
     def shown(df: DataFrame) -> DataFrame:
-        df = df if o.signatories_report else masked(df, "Signatory", IDENTIFYING)
-        return distinct_rows(df, ignoring=ORDER, order=ORDER, keep="last")
+        if o.signatories_report or not lookups.signatories:
+            return df
+        hidden = masked(df.where("Signatory = 1"), "Signatory", IDENTIFYING)
+        return df.where("Signatory <> 1").unionByName(
+            distinct_rows(hidden, ignoring=ORDER, order=ORDER, keep="last"))
 
     rows = shown(filled)
     return rows, shown(filled.where(organisation(NAMES, o.target_organization))) if o.target_organization else rows
@@ -218,7 +223,8 @@ def build_report(cases: DataFrame, options: ReportOptions, as_of: date, lookups:
     are drawn from is not kept, since the snapshot is laid out for being read by a report.
     """
     o = options.normalise(as_of)
-    rows, chosen = presented(filled_rows(scoped_rows(cases, o, lookups or Lookups()), o, as_of), o)
+    lookups = lookups or Lookups()
+    rows, chosen = presented(filled_rows(scoped_rows(cases, o, lookups), o, as_of), o, lookups)
     same = rows is chosen
     rows = materialise(rows, reliable)
     chosen = rows if same else materialise(chosen, reliable)

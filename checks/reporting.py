@@ -137,7 +137,7 @@ CANONICAL = {
 REPORT_COLUMNS = ["case_id_1", "source", "juris_or_proj_nm", "legal_nm", "trade_nm", "street_addr", "cty_nm", "st_cd", "zip_cd", "naic_cd",
                   "naics_desc", "industry", "violation", "violtn_cnt", "ee_violtd_cnt", "bw_amt", "ee_pmt_recv",
                   "findings_start_date", "findings_end_date"]
-SIGNERS = [name_rule("FURNITURE", ["Customer#00000001"])]
+LOOKUPS = Lookups(signatories=[name_rule("FURNITURE", ["Customer#00000001"])])
 OPTIONS = ReportOptions(target_industry="Furniture", year_start=date(1996, 1, 1), year_end=date(1999, 12, 31), open_cases_only=True,
                         include_tables=True, include_summaries=True, prevailing_wage_report=True, infer_by_naics=True, infer_zip=True)
 
@@ -146,7 +146,7 @@ def shaped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, ReportOp
     """Shaped rows, the cases they come from, and the options."""
     df = cases(spark, sf, REPORT_COLUMNS, CANONICAL, wide=True)
     chosen = OPTIONS.normalise(AS_OF)
-    return filled_rows(scoped_rows(df, chosen, Lookups(signatories=SIGNERS)), chosen, AS_OF), df, chosen
+    return filled_rows(scoped_rows(df, chosen, LOOKUPS), chosen, AS_OF), df, chosen
 
 
 REPORT_SQL = f"""{cases_sql(CANONICAL)},
@@ -178,7 +178,7 @@ SELECT name AS legal_nm, count(*) AS records, format('{{:,.0f}}', CAST(sum(bw_am
   format('{{:,.0f}}', CAST(sum(ee) AS DOUBLE)) AS ee_violtd_cnt FROM shown GROUP BY name ORDER BY sum(bw_amt) DESC, name LIMIT 6""")
 def report_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     rows, everything, options = shaped(spark, sf)
-    tables = report_tables(*presented(rows, options), everything, replace(options, include_top_tables=True), {"top_by_amount"})
+    tables = report_tables(*presented(rows, options, LOOKUPS), everything, replace(options, include_top_tables=True), {"top_by_amount"})
     return tables["top_by_amount"].select("legal_nm", "records", "bw_amt", "ee_violtd_cnt")
 
 
@@ -190,7 +190,7 @@ SELECT industry, CASE WHEN grouping(cty_nm) = 1 THEN 'COUNTYWIDE' ELSE cty_nm EN
   CAST(sum(bw_amt) AS DOUBLE) AS bw_amt FROM grouped WHERE cty_nm IS NOT NULL GROUP BY GROUPING SETS ((industry, cty_nm), (industry))""")
 def report_by_industry_and_city(spark: SparkSession, sf: str) -> DataFrame:
     rows, everything, options = shaped(spark, sf)
-    tables = report_tables(*presented(rows, options), everything, options, {"by_industry_and_city"})
+    tables = report_tables(*presented(rows, options, LOOKUPS), everything, options, {"by_industry_and_city"})
     return tables["by_industry_and_city"].select("industry", "cty_nm", "records", num("bw_amt"))
 
 
@@ -200,4 +200,4 @@ grouped AS (SELECT name, max(CASE WHEN rn = 1 THEN "Prevailing" END) AS flag, su
 SELECT count(*) AS cases, CAST(coalesce(sum(bw_amt), 0) AS DOUBLE) AS back_wages FROM grouped WHERE flag = 1""")
 def report_prevailing_headline(spark: SparkSession, sf: str) -> DataFrame:
     rows, everything, options = shaped(spark, sf)
-    return report_tables(*presented(rows, options), everything, options, {"prevailing_headline"})["prevailing_headline"]
+    return report_tables(*presented(rows, options, LOOKUPS), everything, options, {"prevailing_headline"})["prevailing_headline"]
