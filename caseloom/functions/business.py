@@ -19,9 +19,11 @@ def quote(phrase: str) -> str:
 
 def whole_words(phrases: tuple[str, ...]) -> str:
     """One alternation between word boundaries, longest phrase first, so that a phrase wins over
-    its own parts. The leading boundary stands outside: within a word no phrase is even tried."""
+    its own parts. The leading boundary and a look at the first letter stand outside: within a
+    word, or at a word that starts otherwise, no phrase is even tried."""
     ordered = sorted((p.strip() for p in phrases), key=lambda p: (-len(p), p))
-    return r"\b(?:" + "|".join(quote(p) + (r"\b" if p[-1].isalnum() else "") for p in ordered) + ")"
+    first = "".join(sorted({p[0].lower() for p in ordered}))
+    return rf"\b(?=[{first}])(?:" + "|".join(quote(p) + (r"\b" if p[-1].isalnum() else "") for p in ordered) + ")"
 
 
 def marked(c: Column, rule: FormRule, loose: bool) -> Column:
