@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.blanks import is_blank
+from caseloom.functions.blanks import all_of, is_blank
 from caseloom.functions.numbers import money
 from caseloom.operators.spread import attach_by_key, row_total
 
@@ -42,8 +42,12 @@ def _summed(amounts: list[str]) -> Column:
 
 
 def keys_usable(df: DataFrame, keys: list[str]) -> Column:
-    """Whether every key column holds a value somewhere; reads the key columns only."""
-    return F.coalesce(df.agg(F.least(*[F.max(~is_blank(k, ("",))) for k in keys])).scalar(), F.lit(False))
+    """Whether every key column holds a value somewhere: each task stops at the first one it meets."""
+    def used(key: str) -> Column:
+        seen = df.where(~is_blank(key, ("",))).select(F.lit(1).alias("one")).limit(1)
+        return seen.agg(F.count("one") > 0).scalar()
+
+    return all_of([used(key) for key in keys])
 
 
 def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
