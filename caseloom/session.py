@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,16 +38,13 @@ def build_session(app: str = "caseloom", master: str | None = None, **extra: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one on a local master only."""
-    configured = spark.conf.get(CHECKPOINT_DIR, None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    return tempfile.mkdtemp(prefix="caseloom-checkpoint-")
+    """The folder all executors share for tables that cut lineage.
+
+    ``spark.checkpoint.dir`` as the session has it, else the folder set on the context, else one
+    inside the warehouse, which a cluster shares as well.
+    """
+    return (spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+            or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def materialise(df: DataFrame, reliable: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks import catalogue
 from checks.verify import compare
 
 SMALL = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "B
             "FlatMapGroupsInPandas")
 RANKED = {"largest_per_city"}  # a top-k window, limited per task before it shuffles
 
-QUERIES = queries()
+QUERIES = catalogue.QUERIES
 
 
 def plan_of(df) -> str:
@@ -21,7 +22,8 @@ def plan_of(df) -> str:
 
 
 def test_each_query_has_its_sql():
-    assert set(QUERIES) == set(oracle_sql())
+    assert set(QUERIES) == set(catalogue.ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
