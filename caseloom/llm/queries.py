@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, line_dedup, packing, quality_rules
+from caseloom.llm import decontaminate, licenses, line_dedup, packing, quality_classifier, quality_rules, secrets, url_filter
 from caseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,36 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")), n_grades=3)
+    graded = quality_classifier.grade_documents(docs, model)
+    return graded.select("doc_id", "score", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"),
+                         (F.col("tails")[0] >= 0.5).alias("kept"))
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+ORACLES["op2_url_filters"] = r"""
+with split as (
+  select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+rules(r_host, r_path, r_verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits as (
+  select page_id, r_host || r_path as rule, r_verdict,
+         row_number() over (partition by page_id order by length(r_host) desc, length(r_path) desc) as nth
+  from split join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path))
+select s.page_id, coalesce(s.host, '') as host, coalesce(s.path, '') as path, f.rule, coalesce(f.r_verdict, 'allow') as verdict
+from split s left join fits f on s.page_id = f.page_id and f.nth = 1
+"""
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -26,6 +56,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+@query
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda d: d["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), licenses.words_before(F.array_min(starts)).alias("first_word"),
+        licenses.words_before(F.array_max(starts)).alias("last_word"), licenses.labels_of(F.col("base")).alias("base_labels"),
+        licenses.labels_of(F.concat("base", "notices")).alias("labels"), "score")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
@@ -36,6 +76,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+@query
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.new_ledger(spark))
+    kinds = [r.kind for r in secrets.RULES if r.base]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(secrets.shown(base), 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"))
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

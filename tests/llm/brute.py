@@ -63,3 +63,41 @@ def shared_lines(docs: list[tuple], least: int = 10) -> dict:
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def licenses(text: str | None) -> tuple:
+    words = folded_words(text)
+    at, labels = [], set()
+    for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")):
+        p = phrase.split(" ")
+        for i in range(len(words) - len(p) + 1):
+            if words[i:i + len(p)] == p:
+                at.append(i)
+                labels.add(label)
+    return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def secrets(text: str | None) -> tuple:
+    text, spans = text or "", []
+    spans += [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    shown = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+    return tuple(sum(x[1] == i for x in spans) for i in range(3)) + (hashlib.sha256(shown.encode()).hexdigest(), shown)
+
+
+def url(value: str | None) -> tuple:
+    host, path = "", ""
+    if value and "://" in value:
+        rest = value.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host):], maxsplit=1)[0]
+        host = host.translate(UPPER)
+    best = None
+    for h, p, v in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")):
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h) + len(p) > len(best[0])):
+            best = (h + p, v)
+    return (host, path, *(best or (None, "allow")))
