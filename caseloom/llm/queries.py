@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, licenses, line_dedup, packing, quality_classifier, quality_rules, secrets, url_filter
+from caseloom.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter
 from caseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.labels_of(F.concat("base", "notices")).alias("labels"), "score")
 
 
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
