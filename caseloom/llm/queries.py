@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter
+from caseloom.llm import decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter
 from caseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
