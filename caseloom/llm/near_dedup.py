@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import FOLD, arrow_column, as_bytes, blocks, mixed, settle, shingles, struct_of, word_hashes
@@ -321,10 +321,11 @@ def _joined_classes(root: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one of least id; rows of that id stay as they came, and once.
+    """One document of each class, the one of least id, and one row of that id.
 
-    Documents without an id, and all without words, stay.
+    Documents without words and rows without an id stay. Columns are those that came.
     """
-    alone = near_duplicates(docs, similarity).where("class_id = doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(alone, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    alone = near_duplicates(docs, similarity).where("class_id = doc_id").select(F.col("doc_id").alias("_alone")).distinct()
+    found = docs.join(alone, docs["doc_id"] == alone["_alone"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return found.withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))

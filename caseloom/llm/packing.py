@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,18 +24,11 @@ VOCABULARY = "byte_bpe_50k"
 SEPARATOR = 1
 LENGTH = 2048
 TOKENS = "doc_id bigint, task int, start_in_task bigint, doc_tokens bigint, ids binary"
-#: Chunks remembered per Python worker; beyond, the memory starts anew.
-MOST_CHUNKS = 200_000
 
 
 class _Encoder:
-    """Byte-level BPE ids of whole texts.
-
-    A single space between two other characters always begins a new pre-token, so chunks
-    between such spaces encode alone, and frequent chunks are remembered. Texts with other
-    white space next to a space are encoded whole; so are texts that spell a special token, with the
-    tokenizer file itself.
-    """
+    """Byte-level BPE ids of whole texts: the vocabulary as ranks, and the tokenizer file itself
+    for texts that spell one of its special tokens."""
 
     def __init__(self, name: str) -> None:
         import base64
@@ -50,26 +42,11 @@ class _Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.special = [t.content for t in self.file.get_added_tokens_decoder().values()]
         self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.tight = regex.compile(r"\s | \s")
-        self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special):
-            return np.array(self.file.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.tight.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        known, out = self.known, []
-        head, *rest = text.split(" ")
-        for chunk in [head, *map(" ".__add__, rest)] if head else map(" ".__add__, rest):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = np.array(self.encode(chunk), "<u4").tobytes()
-                if len(known) >= MOST_CHUNKS:
-                    known.clear()
-                known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        spelled = any(s in text for s in self.special)
+        return np.array(self.file.encode(text, add_special_tokens=False).ids if spelled else self.encode(text), "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
