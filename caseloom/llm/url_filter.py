@@ -102,9 +102,9 @@ def _judge(shared, default: str):
 def _joined(pages: DataFrame, rules: DataFrame, default: str, url: str) -> DataFrame:
     """The same verdicts for rule tables of any size: each distinct host and path asks, for each of
     its host suffixes, the rules of that host in a join; the best rule goes back to the urls."""
-    found = F.regexp_extract_all(F.col(url), F.lit(r"(?s)://([^/?#]*)([^?#]*)"), F.lit(0))[0]
-    host = F.coalesce(F.translate(F.regexp_extract(found, r"(?s)^://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
-    path = F.coalesce(F.regexp_extract(found, r"(?s)^://[^/?#]*(.*)$", 1), F.lit(""))
+    text = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    host = F.translate(F.regexp_extract(text, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(text, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
     split = pages.withColumns({"host": host, "path": path})
     labels = F.split("host", r"\.", -1)
     suffixes = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(
