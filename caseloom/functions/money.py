@@ -23,11 +23,6 @@ def wages_owed(amount: Column | str = "bw_amt", paid: Column | str = "ee_pmt_rec
     return floor_zero(money(amount) - money(paid))
 
 
-def days_unpaid(as_of: Column, start: Column | str, end: Column | str) -> Column:
-    first = F.coalesce(*[F.col(c) if isinstance(c, str) else c for c in (start, end)])
-    return F.datediff(as_of, first)
-
-
 def interest_owed(owed: Column, days: Column, paid: Column) -> Column:
     """Daily compound interest up to the reporting date, less interest already paid."""
     growth = F.pow(F.lit(1 + YEARLY_RATE / DAYS_PER_YEAR), days)

@@ -28,6 +28,16 @@ def _last(cols: list[str], rules: list[Rule]) -> Column:
     return F.coalesce(*picks)
 
 
+def infer_detail(df: DataFrame, rules: list[Rule], names: list[str], description: str, code: str,
+                 detail: str = "industry_detail") -> DataFrame:
+    """The part of an industry a case belongs to, or null: by code, else by description, else by
+    name. Rules later in order are the more special ones and win."""
+    picks = [_last([code], rules), _last([description], rules), _last(names, rules)]
+    labels = F.array(*[F.lit(r.label) for r in rules])
+    at = F.coalesce(*picks)
+    return df.withColumn(detail, F.when(at.isNotNull(), F.get(labels, at)))
+
+
 def infer_industry(df: DataFrame, rules: list[Rule], names: list[str], description: str, code: str,
                    industry: str = "industry", detail: str = "trade2") -> DataFrame:
     """Label rows from what they say about their trade.

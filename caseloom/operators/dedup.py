@@ -50,17 +50,27 @@ def keys_usable(df: DataFrame, keys: list[str]) -> Column:
     return all_of([used(key) for key in keys])
 
 
+def keys_usable_within(df: DataFrame, keys: list[str], within: list[str]) -> Column:
+    """The same for each group of rows, such as each source: a list of the groups whose keys hold
+    values, as a scalar subquery. One row per group and task is shuffled."""
+    held = df.groupBy(*within).agg(*[F.max(~is_blank(key, ("",))).alias(f"_k{i}") for i, key in enumerate(keys)])
+    good = held.where(all_of([F.col(f"_k{i}") for i in range(len(keys))]))
+    name = F.concat_ws("\u0001", *[F.coalesce(F.col(w).cast("string"), F.lit("\u0002")) for w in within])
+    return F.array_contains(good.agg(F.collect_list(name)).scalar(), name)
+
+
 def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
               fallback_keys: list[str] | None = None, usable: Column | None = None,
               within: list[str] | None = None) -> DataFrame:
     """Per key the row with the highest amount, then the last form in the alphabet, then the first row.
 
     A key column that is blank on every row identifies nothing: then only ``fallback_keys``
-    count and their first row is kept. Row-order columns are numeric. Missing amounts and
+    count and their first row is kept. With ``within``, each group of rows decides that for itself. Row-order columns are numeric. Missing amounts and
     forms rank last.
     """
     fallback_keys = fallback_keys or order
-    usable = keys_usable(df, keys) if usable is None else usable
+    if usable is None:
+        usable = keys_usable_within(df, keys, within) if within else keys_usable(df, keys)
     guarded = df.withColumn("_guard", F.when(~usable, F.struct(*fallback_keys)))
     earliest = [(-F.col(c)).alias(c) for c in order]
     rank = F.struct(F.when(usable, F.struct(_summed(amounts).alias("amount"), F.col(form).alias("form")))

@@ -19,22 +19,34 @@ def generic_zip(c: Column | str, last: int = 1) -> Column:
     return F.concat(F.substring(c, F.lit(1), F.length(c) - last), F.lit("X" * last))
 
 
+def shown_name(key: Column | str) -> Column:
+    """A city key as a user reads it: without its last part, words apart."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.replace(F.regexp_replace(key, "_[^_]*$", ""), F.lit("_"), F.lit(" "))
+
+
+def _named(key: str, wanted: str) -> Column:
+    """Named by its key, or by the key with words apart, or as ``region_options`` shows it."""
+    return (F.col(key) == wanted) | (F.replace(key, F.lit("_"), F.lit(" ")) == wanted) | (shown_name(key) == wanted)
+
+
 def region_zips(dim_city: DataFrame, dim_county: DataFrame, dim_state: DataFrame, state: str = "",
                 county: str = "", city: str = "") -> DataFrame:
     """Zips of a state, county or city (the widest one given), each once, with a generic code per city.
 
     ``dim_state(state, county)``, ``dim_county(county, city_key)``,
     ``dim_city(city_key, city, zips array)``; a city's generic code comes from its last zip.
+    A region the tables do not know has no zips.
     """
     if state:
-        wanted = (dim_state.where(F.col("state") == state).join(dim_county, "county")
+        wanted = (dim_state.where((F.col("state") == state) | (F.replace("state", F.lit("_"), F.lit(" ")) == state)).join(dim_county, "county")
                   .select("city_key").distinct())
         cities = dim_city.join(wanted, "city_key", "left_semi")
     elif county:
-        wanted = dim_county.where(F.col("county") == county).select("city_key").distinct()
+        wanted = dim_county.where((F.col("county") == county) | (F.replace("county", F.lit("_"), F.lit(" ")) == county)).select("city_key").distinct()
         cities = dim_city.join(wanted, "city_key", "left_semi")
     elif city:
-        cities = dim_city.where(F.col("city_key") == city)
+        cities = dim_city.where(_named("city_key", city))
     else:
         cities = dim_city
     own = F.array_append(F.col("zips"), generic_zip(F.element_at("zips", -1)))
@@ -43,8 +55,7 @@ def region_zips(dim_city: DataFrame, dim_county: DataFrame, dim_state: DataFrame
 
 def region_options(dim_city: DataFrame) -> DataFrame:
     """Names a user can pick from."""
-    return dim_city.select(F.regexp_replace("city_key", "_[^_]*$", "").alias("option")).select(
-        F.replace("option", F.lit("_"), F.lit(" ")).alias("option")).distinct()
+    return dim_city.select(shown_name("city_key").alias("option")).distinct()
 
 
 @dataclass(frozen=True)

@@ -57,16 +57,6 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight:
     )
 
 
-def widen(scan: DataFrame) -> DataFrame:
-    """A scan with fewer tasks than the cluster has cores, dealt out to all of them.
-
-    For costly text work on a few large row groups. A scan that already has enough tasks, as
-    any large table has, is returned as it is: no shuffle is added where there is much to move.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def group_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column],
                  spread_by: list[str]) -> DataFrame:
     """Each row with the totals of its group, without gathering the group."""

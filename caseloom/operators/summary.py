@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -42,6 +44,19 @@ def coverage(df: DataFrame, amount: str = "bw_amt", start: str = "findings_start
     return one.select("first", "last", "amount", percent.alias("percent_of_total"))
 
 
+def overview_and_coverage(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda one: one) -> tuple[DataFrame, DataFrame]:
+    """Both tables from one pass over the six columns they need; ``keep`` holds on to its one row."""
+    used = df.select("bw_amt", "ee_pmt_recv", "violtn_cnt", "ee_violtd_cnt", "findings_start_date")
+    one = keep(used.agg(
+        F.count(F.lit(1)).alias("cases"), dollars(total("violtn_cnt")).alias("violations"), dollars(total("ee_violtd_cnt")).alias("employees"),
+        dollars(total("bw_amt")).alias("back_wages"), dollars(total("ee_pmt_recv")).alias("returned"),
+        F.min("findings_start_date").alias("first"), F.max("findings_start_date").alias("last")))
+    years = F.datediff("last", "first") / F.lit(float(DAYS_PER_YEAR))
+    percent = F.try_divide(F.try_divide(F.col("back_wages"), years), F.lit(YEARLY_TOTAL)) * 100
+    return (one.select("cases", "violations", "employees", "back_wages", "returned"),
+            one.select("first", "last", F.col("back_wages").alias("amount"), percent.alias("percent_of_total")))
+
+
 def status_shares(df: DataFrame, status: str) -> DataFrame:
     """Cases per status and their share of all cases, unknown statuses counting in the whole only."""
     everything = df.agg(F.count(F.lit(1))).scalar()
@@ -116,15 +131,19 @@ def zip_summary(fine: DataFrame, several_industries: bool, city: str = "cty_nm",
 def signatory_share(df: DataFrame, owed: str = "backwage_owed", industry: str = "industry",
                     listed: str = "signatory_industry", build: str = "Construction",
                     hospitals: str = "Health_care",
-                    care: tuple[str, ...] = ("Carehome", "Health_care", "Residential_carehome")) -> DataFrame:
+                    care: tuple[str, ...] = ("Carehome", "Health_care", "Residential_carehome"),
+                    detail: str = "industry_detail") -> DataFrame:
     """What listed employers owe, out of what their industries owe."""
     def owing(condition: Column) -> Column:
         return dollars(F.coalesce(F.sum(F.when(condition, F.col(owed))), F.lit(0)))
 
+    labelled = F.col(industry).isin(*care)
+    if detail in df.columns:
+        labelled = labelled | F.coalesce(F.col(detail).isin(*care), F.lit(False))
     one = df.agg(dollars(total(owed)).alias("all_owed"),
                  owing(F.col(listed) == build).alias("build_listed"),
                  owing(F.col(industry) == build).alias("build_all"),
                  owing(F.col(listed) == hospitals).alias("care_listed"),
-                 owing(F.col(industry).isin(*care)).alias("care_all"))
+                 owing(labelled).alias("care_all"))
     return one.select("*", F.try_divide("build_listed", "build_all").alias("build_share"),
                       F.try_divide("care_listed", "care_all").alias("care_share"))

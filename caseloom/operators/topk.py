@@ -10,8 +10,6 @@ from caseloom.functions.numbers import thousands
 # fixed values: rows per kind of table
 TOP_VIOLATORS = 6
 TOP_REPEATS = 24
-LONGEST_TABLE = 99
-LONGEST_LIST = 3000
 
 
 def top(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:
@@ -19,9 +17,19 @@ def top(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(by), F.asc(tie)).limit(n)
 
 
-def listing(df: DataFrame, *keys: str, n: int = LONGEST_LIST) -> DataFrame:
-    """Rows in key order, cut at the length of a printed table."""
-    return df.orderBy(*[F.asc(k) for k in keys]).limit(n)
+def listing(df: DataFrame, *keys: str) -> DataFrame:
+    """All rows in key order."""
+    return df.orderBy(*[F.asc(k) for k in keys])
+
+
+def preview(df: DataFrame, *keys: str, n: int) -> DataFrame:
+    """The first rows in key order, for a printed page; exports take the whole listing."""
+    return listing(df, *keys).limit(n)
+
+
+def two_way(df: DataFrame, outer: str, inner: str, label: str, measures: list[str]) -> DataFrame:
+    """A subtotalled table as it is printed: by outer key, its subtotal first, numbers with separators."""
+    return formatted(df.orderBy(F.asc(outer), F.desc(F.col(inner) == label), F.asc(inner)), measures)
 
 
 def formatted(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,30 +16,35 @@ from caseloom.sources.readers import read_delimited, with_row_number
 from caseloom.sources.registry import SourceSpec
 
 
-def land(spark: SparkSession, spec: SourceSpec, rows: int | None = None) -> DataFrame:
+def land(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """One source in canonical columns, tagged and numbered."""
-    lines = read_delimited(spark, spec.path, encoding=spec.encoding, rows=rows, multi_line=spec.multi_line)
+    lines = read_delimited(spark, spec.path, encoding=spec.encoding, multi_line=spec.multi_line)
     return harmonise(tagged(with_row_number(lines, spec.rank), spec.tag))
 
 
 def refresh_snapshot(spark: SparkSession, root: str, specs: list[SourceSpec], as_of: date,
                      places: list[Place] | None = None, industries: list[Rule] | None = None,
                      max_age_days: int = S.MAX_AGE_DAYS, force: bool = False, loose: bool = False,
-                     rows: int | None = None) -> S.Snapshot:
+                     keep: int = 2) -> S.Snapshot:
     """The current snapshot, rebuilt if it is missing, too old, or a rebuild is forced.
 
     Rows go to disk harmonised but uncleaned first. Cleaning starts from that copy, so row
     numbers are settled before any "first" row is chosen and a lost executor repeats no parsing.
     The cleaned rows are written as well, since marking what sources share reads them twice.
+    Every run writes folders of its own, so no reader meets a half-written state and nothing of an
+    earlier run of the same day survives in it. The new snapshot is registered when it is complete;
+    only then do all but the ``keep`` newest go, and the folder that served this run alone.
     """
     current = S.latest(spark, root)
     if not S.is_stale(current, as_of, max_age_days, force):
         return current
-    raw, cases = f"{root}/raw/{as_of.isoformat()}", f"{root}/cases/{as_of.isoformat()}"
-    S.write_partitioned(stack([land(spark, s, rows) for s in specs if s.include]), raw, S.RAW_BY)
-    unique = f"{root}/unique/{as_of.isoformat()}"
+    run = S.new_run(as_of)
+    raw, unique, cases = (f"{root}/{kind}/{run}" for kind in ("raw", "unique", "cases"))
+    S.write_partitioned(stack([land(spark, s) for s in specs if s.include]), raw, S.RAW_BY)
     S.write_partitioned(clean_step(spark.read.parquet(raw), loose=loose), unique, S.RAW_BY)
     labelled = infer_step(mark_cross_source(spark.read.parquet(unique)), places or [], industries or all_industries())
     S.write_partitioned(S.with_start_year(labelled), cases, S.CASES_BY)
-    S.register(spark, root, as_of, cases, raw)
+    S.register(spark, root, as_of, cases, raw, run)
+    S.remove(spark, [unique])
+    S.expire(spark, root, keep)
     return S.Snapshot(as_of, cases, raw)

@@ -14,13 +14,15 @@ from caseloom.operators import group as G
 from caseloom.operators import summary as S
 from caseloom.operators import topk as K
 from caseloom.operators.dedup import distinct_rows
-from caseloom.operators.filters import in_state, masked, organisation, significant
+from caseloom.operators.filters import in_state, masked, not_from, organisation, significant
+from caseloom.operators.places import region_zips
 from caseloom.plans.steps import NAMES, ORDER, across_sources, fill_step, scope_step
 from caseloom.rules.book import Rule
 from caseloom.rules.industries import labels_for
 from caseloom.session import materialise
 from caseloom.sources.export import write_csv
-from caseloom.sources.layout import HOME_STATE
+from caseloom.sources.layout import HOME_STATE, SOURCE
+from caseloom.sources.registry import tags_off
 
 # fixed values: request keys, default region and span, columns of each kind of table
 REQUIRED = ("target_city", "target_industry", "target_organization", "includeFedData",
@@ -118,17 +120,33 @@ def options_from(request: dict[str, object]) -> ReportOptions:
 
 @dataclass(frozen=True)
 class Lookups:
-    """What a report needs besides cases: zips per region, and signatory name lists."""
+    """What a report needs besides cases: the tables that turn a region into zips (or the zips
+    themselves), and signatory name lists."""
 
     zips: DataFrame | None = None
     signatories: list[Rule] = field(default_factory=list)
+    #: dim_city, dim_county and dim_state as ``region_zips`` takes them
+    regions: tuple[DataFrame, DataFrame, DataFrame] | None = None
+
+    def zips_of(self, o: ReportOptions) -> DataFrame | None:
+        """Zips of the region asked for; the whole home state needs none."""
+        if self.zips is not None or o.target_state == HOME:
+            return self.zips
+        if self.regions is None:
+            raise ValueError(f"no region tables to find {o.target_city or o.target_county or o.target_state} in")
+        return region_zips(*self.regions, state=o.target_state, county=o.target_county, city=o.target_city)
 
 
 def scoped_rows(cases: DataFrame, options: ReportOptions, lookups: Lookups) -> DataFrame:
-    """The cases one report is about."""
+    """The cases one report is about: of the sources and the region its options name.
+
+    A source that is switched off goes before duplicates across sources are settled, or its
+    cases would displace those of the sources that stay.
+    """
     o = options
     home = HOME_STATE if o.target_state == HOME else None
-    return scope_step(cases, lookups.zips, labels_for(o.target_industry), F.lit(o.year_start), F.lit(o.year_end),
+    off = tags_off(o.include_federal, o.include_state_cases, o.include_state_judgements)
+    return scope_step(cases.where(not_from(SOURCE, off)), lookups.zips_of(o), labels_for(o.target_industry), F.lit(o.year_start), F.lit(o.year_end),
                       lookups.signatories, home_state=home, with_generic=o.infer_zip, by_code_only=not o.infer_by_naics)
 
 
@@ -154,17 +172,31 @@ def presented(filled: DataFrame, o: ReportOptions, lookups: Lookups) -> tuple[Da
     return rows, shown(filled.where(organisation(NAMES, o.target_organization))) if o.target_organization else rows
 
 
+#: What the tables show or group by of an employer's first case.
+CARRIED = ["trade_nm", "cty_nm", "zip_cd", "industry", "naics_desc", "street_addr", "juris_or_proj_nm", "Note", "Prevailing", "Signatory",
+           "backwage_owed"]
+
+
 def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o: ReportOptions,
-                  only: set[str] | None = None) -> dict[str, DataFrame]:
-    """The tables in report order, or ``only`` some of them. Each reads ``rows`` or ``chosen``."""
+                  only: set[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """The tables in report order, or ``only`` some of them. Each reads ``rows`` or ``chosen``.
+
+    Employers are grouped once per set of rows, with the columns the tables show; ``keep`` holds on
+    to what several tables read.
+    """
+    grouped: dict[int, DataFrame] = {}
+
     def picked(df: DataFrame, header: list[str]) -> DataFrame:
+        header = [*header, "Signatory"] if o.signatories_report and "Signatory" not in header else header
         return df.select(*[f"`{c}`" for c in header if c in df.columns])
 
     def ranked(df: DataFrame, by: str, tie: str, n: int, header: list[str]) -> DataFrame:
         return K.formatted(picked(K.top(df, by, tie, n), header), ["bw_amt", "ee_violtd_cnt", "ee_pmt_recv", "violtn_cnt"])
 
     def employers(of: DataFrame) -> DataFrame:
-        return G.group_by_key(of, "legal_nm", ORDER)
+        if id(of) not in grouped:
+            grouped[id(of)] = keep(G.group_by_key(of, "legal_nm", ORDER, carry=[c for c in CARRIED if c in of.columns]))
+        return grouped[id(of)]
 
     def agencies(of: DataFrame, **more: list[str]) -> DataFrame:
         return G.multi_agency(of, "legal_nm", "juris_or_proj_nm", ORDER, **more)
@@ -180,9 +212,19 @@ def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o:
     def violators(flag: str) -> DataFrame:
         return employers(rows).where(F.col(flag) == 1)
 
+    overall: list[tuple[DataFrame, DataFrame]] = []
+
+    def whole(part: int) -> DataFrame:
+        if not overall:
+            overall.append(S.overview_and_coverage(everything, keep))
+        return overall[0][part]
+
+    def two_way(df: DataFrame, outer: str, inner: str, label: str) -> DataFrame:
+        return K.two_way(G.subtotals(df, outer, inner, FIGURES, label), outer, inner, label, FIGURES)
+
     make: dict[str, Callable[[], DataFrame]] = {
-        "overview": lambda: S.overview(everything),
-        "coverage": lambda: S.coverage(everything),
+        "overview": lambda: whole(0),
+        "coverage": lambda: whole(1),
         "summary": lambda: S.report_summary(chosen, employers(chosen), agencies(chosen)),
         "date_range": lambda: chosen.agg(F.min("findings_start_date").alias("first"), F.max("findings_start_date").alias("last")),
         "totals": lambda: S.totals(chosen, {"ee_violtd_cnt": "employees", "bw_amt": "back_wages", "violtn_cnt": "violations"}),
@@ -190,12 +232,12 @@ def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o:
         "cases": lambda: chosen,
     }
     if o.include_tables:
-        make["by_industry_and_city"] = lambda: G.subtotals(employers(chosen), "industry", "cty_nm", FIGURES, "COUNTYWIDE")
-        make["by_zip_and_industry"] = lambda: G.subtotals(employers(chosen), "zip_cd", "industry", FIGURES, "ZIPCODEWIDE")
+        make["by_industry_and_city"] = lambda: two_way(employers(chosen), "industry", "cty_nm", "COUNTYWIDE")
+        make["by_zip_and_industry"] = lambda: two_way(employers(chosen), "zip_cd", "industry", "ZIPCODEWIDE")
     if o.include_summaries:
         make["cities"] = cities
         make["zips"] = lambda: S.zip_summary(fine(), labels_for(o.target_industry) is None)
-        make["by_city_and_industry"] = lambda: G.subtotals(fine(), "cty_nm", "industry", FIGURES, "CITYWIDE")
+        make["by_city_and_industry"] = lambda: two_way(fine(), "cty_nm", "industry", "CITYWIDE")
     if o.include_top_tables:
         for name, by in (("top_by_amount", "bw_amt"), ("top_by_employees", "ee_violtd_cnt"), ("top_by_records", "records")):
             make[name] = lambda by=by: ranked(employers(rows), by, "legal_nm", K.TOP_VIOLATORS, HEADER)
@@ -215,26 +257,48 @@ def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o:
     return {name: table() for name, table in make.items() if only is None or name in only}
 
 
+class Report(dict[str, DataFrame]):
+    """Tables by name, and what they are drawn from until it is released."""
+
+    def __init__(self, tables: dict[str, DataFrame], kept: list[DataFrame]) -> None:
+        super().__init__(tables)
+        self.kept = kept
+
+    def release(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
+
 def build_report(cases: DataFrame, options: ReportOptions, as_of: date, lookups: Lookups | None = None,
-                 reliable: bool = False, only: set[str] | None = None) -> dict[str, DataFrame]:
+                 reliable: bool = False, only: set[str] | None = None) -> Report:
     """Named tables of one report, in order.
 
-    The rows on show are kept once for all of them: two dozen aggregates read them. What they
-    are drawn from is not kept, since the snapshot is laid out for being read by a report.
+    The cases in scope are settled once, since filling gaps reads them for its means and again
+    for its rows; so are the rows on show and their employers, which two dozen aggregates read.
+    ``release`` lets go of them when the tables are written.
     """
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(materialise(df, reliable))
+        return kept[-1]
+
     o = options.normalise(as_of)
     lookups = lookups or Lookups()
-    rows, chosen = presented(filled_rows(scoped_rows(cases, o, lookups), o, as_of), o, lookups)
+    rows, chosen = presented(filled_rows(keep(scoped_rows(cases, o, lookups)), o, as_of), o, lookups)
     same = rows is chosen
-    rows = materialise(rows, reliable)
-    chosen = rows if same else materialise(chosen, reliable)
+    rows = keep(rows)
+    chosen = rows if same else keep(chosen)
     everything = across_sources(cases.where(in_state("st_cd", HOME_STATE)))
-    return report_tables(rows, chosen, everything, o, only)
+    return Report(report_tables(rows, chosen, everything, o, only, keep), kept)
 
 
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes every table, then lets go of what they were drawn from."""
     for name, table in tables.items():
         write_csv(table, f"{path}/{name}")
+    if isinstance(tables, Report):
+        tables.release()
 
 
 def has_records(rows: DataFrame, key: str = "legal_nm") -> bool:

@@ -11,13 +11,14 @@ from caseloom.functions.business import clean_names
 from caseloom.functions.money import wages_owed
 from caseloom.functions.numbers import clean_number
 from caseloom.operators.agency import infer_agency
-from caseloom.operators.classify import infer_industry
-from caseloom.operators.dedup import drop_duplicates, drop_shared_duplicates, flag_repeats, mark_shared
+from caseloom.operators.classify import infer_detail, infer_industry
+from caseloom.operators.dedup import drop_duplicates, drop_shared_duplicates, flag_deleted, flag_repeats, mark_shared
 from caseloom.operators.filters import date_window, in_region, in_years, label_in, open_cases
 from caseloom.operators.flags import infer_signatories, prevailing_flag
 from caseloom.operators.impute import count_violations, fill_penalties, fill_wages, owed_amounts, wage_means
 from caseloom.operators.places import Place, infer_zip
 from caseloom.rules.book import Rule
+from caseloom.rules.industries import all_details, detail_names
 from caseloom.sources import layout as L
 
 NAMES = ["legal_nm", "trade_nm"]
@@ -65,18 +66,21 @@ def typed(df: DataFrame, upper: list[str], zip_col: str = "zip_cd", numbers: dic
 
 
 DEDUP = ("case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
-SHARED, YEAR = "shared", "start_year"
+SHARED, YEAR, DETAIL = "shared", "start_year", "industry_detail"
 
 
-def clean_step(df: DataFrame, loose: bool = False) -> DataFrame:
+def clean_step(df: DataFrame, loose: bool = False, flag_only: bool = False) -> DataFrame:
     """Texts on one line and cleaned, types settled, duplicates within each source dropped.
 
+    With ``flag_only`` every row stays: ``_DELETED_DUP`` marks those that would go, and six further
+    flags name the keys they share with other rows.
+
     Which cases several sources report is settled here as well, once per refresh: whether one
     of them has to go depends on the sources a report uses, but which ones might does not.
     """
     df = clean_texts(one_line_texts(df), loose=loose)
     df = typed(df, ["legal_nm", "trade_nm", "street_addr", "cty_nm", "st_cd"])
-    return drop_duplicates(df, *DEDUP, within=[L.SOURCE])
+    return with_duplicate_flags(df) if flag_only else drop_duplicates(df, *DEDUP, within=[L.SOURCE])
 
 
 def mark_cross_source(df: DataFrame) -> DataFrame:
@@ -92,8 +96,12 @@ def across_sources(df: DataFrame) -> DataFrame:
 
 
 def with_duplicate_flags(df: DataFrame) -> DataFrame:
-    """Diagnostic columns; the cleaning itself does not need them."""
-    return flag_repeats(df, {**GROUP_FLAGS, **AMOUNT_FLAGS}, ORDER)
+    """Diagnostic columns: one per key that several rows share, and which rows a cleaning would drop."""
+    flags = {**GROUP_FLAGS, **AMOUNT_FLAGS}
+    case, violation, amounts, form, order = DEDUP
+    df = df.withColumn(case, F.trim(case))
+    deleted = flag_deleted(df, [L.SOURCE, case, violation], amounts, form, order)
+    return flag_repeats(deleted, flags, ORDER)
 
 
 def infer_step(df: DataFrame, places: list[Place], industries: list[Rule], with_zips: bool = True) -> DataFrame:
@@ -101,6 +109,7 @@ def infer_step(df: DataFrame, places: list[Place], industries: list[Rule], with_
     if with_zips and places:
         df = infer_zip(df, places)
     df = infer_industry(df, industries, NAMES, "naics_desc", "naic_cd")
+    df = infer_detail(df, all_details(), NAMES, "naics_desc", "naic_cd")
     df = infer_agency(df)
     df = prevailing_flag(df, ["Reason For Closing", "`Closure Disposition - Other Reason`"],
                          ["violation_code", "violation", "Note"], ["legal_nm"])
@@ -118,7 +127,11 @@ def scope_step(df: DataFrame, zips: DataFrame | None, labels: list[str] | None,
         df = df.where(in_years(YEAR, first, last))
     df = in_region(df, zips, home_state=home_state, with_generic=with_generic)
     if labels:
-        df = df.where(label_in("industry", labels, "naic_cd" if by_code_only else None))
+        code = "naic_cd" if by_code_only else None
+        wanted = label_in("industry", labels, code)
+        if DETAIL in df.columns and any(x in detail_names() for x in labels):
+            wanted = wanted | F.coalesce(label_in(DETAIL, labels, code), F.lit(False))
+        df = df.where(wanted)
     return infer_signatories(df, signatories, NAMES)
 
 

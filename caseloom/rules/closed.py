@@ -31,5 +31,3 @@ CLOSED: dict[str, tuple[str, ...]] = {
         "Parties settled for an amount less on ODA",
     ),
 }
-
-STATUS_WHEN_UNKNOWN = "APPEARS OPEN: NO END + NO STATUS"

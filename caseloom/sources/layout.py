@@ -71,8 +71,3 @@ HOME_STATE = "CA"
 # fixed values: measures cleaned as numbers
 MEASURED = ("bw_amt", "ee_violtd_cnt", "ee_pmt_recv", "Interest_Payments_Recd", "cmp_assd_cnt",
             "violtn_cnt", "dbra_cl_violtn_cnt")
-
-
-def case_schema() -> T.StructType:
-    fields = [T.StructField(name, kind) for name, (kind, _) in COLUMNS.items()]
-    return T.StructType([*fields, T.StructField(SOURCE, TEXT), T.StructField(ROW, T.LongType())])

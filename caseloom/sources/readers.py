@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OVERFLOW = "_overflow"
+#: Stands for null in no file, so that an empty field and an absent one can be told apart.
+_ABSENT = "\u0001\u0002"
 
 
 def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -18,16 +20,19 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
                    encoding: str = "UTF-8", rows: int | None = None, multi_line: bool = False) -> DataFrame:
     """Comma-separated text with a header; every column arrives as text unless a schema is given.
 
-    Lines with too many fields are dropped and short lines are padded. A spare column catches
-    the extra field, so lines are told apart without reading them twice. ``multi_line`` allows
-    line breaks inside quotes, at the price of one task per file.
+    Lines with too many fields are dropped, also if the extra field is empty, and short lines are
+    padded. A spare column catches the extra field, so lines are told apart without reading them
+    twice; empty cells arrive as null. ``multi_line`` allows line breaks inside quotes, at the price
+    of one task per file: a large source is best landed as several files.
     """
     if schema is None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
     wide = T.StructType([*schema.fields, T.StructField(_OVERFLOW, T.StringType())])
     lines = (spark.read.schema(wide)
-             .options(header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, escape='"')
+             .options(header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, escape='"', nullValue=_ABSENT, emptyValue="")
              .csv(path).where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW))
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    lines = lines.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit("")) for c in texts})
     return lines if rows is None else lines.limit(rows)
 
 
@@ -37,9 +42,16 @@ def read_plain(spark: SparkSession, path: str, rows: int | None = None) -> DataF
 
 
 def with_row_number(df: DataFrame, rank: int, name: str = "_row") -> DataFrame:
-    """A numeric row order: source rank, then partition and position.
+    """A numeric row order: source rank, then path of the file, then place in the file.
 
-    Spark has no row order of its own. The number is fixed once it is written to the
-    snapshot; everything that keeps a "first" row reads it from there.
+    Spark deals files and parts of files out by size and number of cores. Rows are therefore
+    counted per part, and the parts put in the order of the files: the numbers are the same
+    however a run was split. ``df`` comes straight from files; the counts are one row per part.
     """
-    return df.withColumn(name, F.lit(rank).cast("long") * F.lit(1 << 58) + F.monotonically_increasing_id())
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_at"))
+    parts = placed.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_block")) - F.col("_n")
+    offsets = parts.select("_path", "_block", (before - F.col("_first")).alias("_shift"))
+    numbered = placed.join(F.broadcast(offsets), ["_path", "_block"])
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.lit(rank).cast("long") * F.lit(1 << 58) + F.col("_at") + F.col("_shift")).alias(name))

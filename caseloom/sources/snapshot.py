@@ -6,6 +6,8 @@ failed or half-done refresh is never read. The newest registered snapshot is cur
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -30,13 +32,18 @@ class Snapshot:
     raw: str | None = None
 
 
+def new_run(taken_on: date) -> str:
+    """A folder name no other run has; names of one day sort by time."""
+    return f"{taken_on.isoformat()}-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
-    """Overwrite the partitions at hand.
+    """Write a folder that does not exist yet.
 
     The rebalance hint gathers each partition's rows into full files and, unlike a
     repartition on the partition columns, splits a partition that outgrows one task.
     """
-    (df.hint("rebalance", *by).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+    (df.hint("rebalance", *by).write.mode("error").option("maxRecordsPerFile", ROWS_PER_FILE)
      .partitionBy(*by).parquet(path))
 
 
@@ -44,18 +51,34 @@ def with_start_year(df: DataFrame) -> DataFrame:
     return df.withColumn("start_year", F.coalesce(F.year("findings_start_date"), F.year("findings_end_date"), F.lit(0)))
 
 
-def register(spark: SparkSession, root: str, taken_on: date, cases: str, raw: str | None) -> None:
-    row = [(taken_on, cases, raw)]
-    spark.createDataFrame(row, "taken_on date, cases string, raw string").coalesce(1).write.mode("append").parquet(f"{root}/registry")
+def register(spark: SparkSession, root: str, taken_on: date, cases: str, raw: str | None, run: str) -> None:
+    row = [(taken_on, cases, raw, run)]
+    spark.createDataFrame(row, "taken_on date, cases string, raw string, run string").coalesce(1).write.mode("append").parquet(f"{root}/registry")
 
 
-def latest(spark: SparkSession, root: str) -> Snapshot | None:
-    """Newest registered snapshot; the registry has one row per refresh."""
+def registered(spark: SparkSession, root: str) -> list[Snapshot]:
+    """All snapshots, newest first, a later run of one day before an earlier one; one row per refresh."""
     try:
-        rows = spark.read.parquet(f"{root}/registry").orderBy(F.desc("taken_on")).limit(1).collect()
+        rows = spark.read.parquet(f"{root}/registry").orderBy(F.desc("taken_on"), F.desc("run")).collect()
     except AnalysisException:
-        return None
-    return Snapshot(rows[0]["taken_on"], rows[0]["cases"], rows[0]["raw"]) if rows else None
+        return []
+    return [Snapshot(r["taken_on"], r["cases"], r["raw"]) for r in rows]
+
+
+def latest(spark: SparkSession, root: str) -> Snapshot | None:
+    return next(iter(registered(spark, root)), None)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Folders of all but the newest snapshots go; one before the current is kept for readers under way."""
+    for old in registered(spark, root)[max(keep, 1):]:
+        remove(spark, [f for f in (old.cases, old.raw) if f])
 
 
 def is_stale(snapshot: Snapshot | None, as_of: date, max_age_days: int = MAX_AGE_DAYS, force: bool = False) -> bool:

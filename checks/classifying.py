@@ -61,7 +61,7 @@ SELECT case_id_1, ord3, coalesce(CASE at_ {' '.join(f"WHEN {i} THEN '{p.code}'"
   CASE at_ {' '.join(f"WHEN {i} THEN '{p.name}'" for i, p in enumerate(PLACES))} END AS inferred_city
 FROM hit""")
 def infer_place(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], PLACE_TEXTS, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3"], PLACE_TEXTS)
     return infer_zip(df, PLACES, office="office").select("case_id_1", "ord3", "zip_cd", "inferred_city")
 
 
@@ -116,7 +116,7 @@ def _rules_sql() -> str:
 
 @query("classify_rules", _rules_sql())
 def classify_rules(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3", "industry"], TRADES, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3", "industry"], TRADES)
     return infer_industry(df, RULES, ["name_a", "name_b"], "desc", "code").select("case_id_1", "ord3", "industry", "trade2")
 
 
@@ -144,7 +144,7 @@ SELECT case_id_1, ord3, "Signatory", CASE {' '.join(
     f"WHEN {_listed_sql(names)} OR ({chr(34)}Signatory{chr(34)} = 1 AND industry = '{label}') THEN '{label}'"
     for label, names in reversed(LISTS))} ELSE 'Undefined' END AS signatory_industry FROM flagged""")
 def flag_name_list(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3", "industry", *NAMED], wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3", "industry", *NAMED])
     return FL.infer_signatories(df, LIST_RULES, NAMED).select("case_id_1", "ord3", "Signatory", "signatory_industry")
 
 
@@ -190,7 +190,7 @@ WORKS = {
     "dbra": ("", "case when l_linenumber = 7 and l_returnflag = 'N' then 2 when l_linenumber = 6 then null else 0 end"),
     "vcode": ("", "'none'"),
 }
-_ALL_SECTIONS = "|".join(f"({spelling} {n})" for code, listed in PR.SECTIONS.items() for n in listed.split()
+_ALL_SECTIONS = "|".join(f"({spelling} {n})" for code, listed in PR.SECTIONS.items() for n in listed
                          for spelling in (code, "section", code.replace(".", "")))
 
 
@@ -201,7 +201,7 @@ SELECT *, ((coalesce(regexp_matches(reason, '(?i)({'|'.join(PR.TERMS)})'), false
 SELECT case_id_1, ord3, CASE WHEN marked OR coalesce(dbra > 0, false) THEN 1 ELSE 0 END AS "Prevailing",
   CASE WHEN coalesce(dbra > 0, false) THEN 'DBRA' ELSE vcode END AS vcode FROM hit""")
 def flag_conjunction(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], WORKS, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3"], WORKS)
     return FL.prevailing_flag(df, ["reason"], ["viol"], ["boss"], federal="dbra", code="vcode").select(
         "case_id_1", "ord3", "Prevailing", "vcode")
 
@@ -303,6 +303,6 @@ SELECT case_id_1, ord3, zip_cd, industry, trade2, juris_or_proj_nm, CASE WHEN ((
 
 @query("infer_step", _infer_step_sql())
 def infer_step_query(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3", "bw_amt", "ee_pmt_recv"], STEP_TEXTS, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3", "bw_amt", "ee_pmt_recv"], STEP_TEXTS)
     labelled = infer_step(df, PLACES, [compile_rule(t) for t in STEP_TERMS])
     return labelled.select("case_id_1", "ord3", "zip_cd", "industry", "trade2", "juris_or_proj_nm", "Prevailing", "violation_code", num("wages_owed"))

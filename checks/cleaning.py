@@ -99,13 +99,13 @@ def _address_sql(c: str, whole: bool) -> str:
 
 @query("clean_address", f"WITH {cases_sql(RAW_ADDRESS)} SELECT case_id_1, ord3, {_address_sql('raw_addr', True)} AS addr FROM cases")
 def clean_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS)
     return clean_address(df, "raw_addr", "addr").drop("raw_addr")
 
 
 @query("clean_address_loose", f"WITH {cases_sql(RAW_ADDRESS)} SELECT case_id_1, ord3, {_address_sql('raw_addr', False)} AS addr FROM cases")
 def clean_addresses_loose(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_ADDRESS)
     return clean_address(df, "raw_addr", "addr", whole_words=False).drop("raw_addr")
 
 
@@ -145,7 +145,7 @@ def _name_spacing(c: str) -> str:
 SELECT case_id_1, ord3, {_name_spacing(_name_punctuation('legal'))} AS legal,
   {_name_spacing(_name_punctuation('trade'))} AS trade FROM cases""")
 def clean_name_texts(spark: SparkSession, sf: str) -> DataFrame:
-    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True)
+    df = cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES)
     return df.withColumns({n: T.name_spacing(T.name_punctuation(n)) for n in ("legal", "trade")})
 
 
@@ -185,13 +185,13 @@ def _names_sql(loose: bool) -> str:
 
 @query("business_type", _names_sql(loose=False))
 def business_types(spark: SparkSession, sf: str) -> DataFrame:
-    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True), ["legal", "trade"])
+    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES), ["legal", "trade"])
     return df.select("case_id_1", "ord3", "Businesstype", "Liabilitytype", "legal", "trade")
 
 
 @query("business_type_loose", _names_sql(loose=True))
 def business_types_loose(spark: SparkSession, sf: str) -> DataFrame:
-    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True), ["legal", "trade"], loose=True)
+    df = clean_names(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES), ["legal", "trade"], loose=True)
     return df.select("case_id_1", "ord3", "Businesstype", "Liabilitytype", "legal", "trade")
 
 
@@ -204,7 +204,7 @@ def _raw_form_sql() -> str:
 @query("business_type_counts", _raw_form_sql())
 def business_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     names = ["legal", "trade"]
-    df = liability_home(business_type(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES, wide=True), names), names)
+    df = liability_home(business_type(cases(spark, sf, ["case_id_1", "ord3"], RAW_NAMES), names), names)
     return df.groupBy("Businesstype", "Liabilitytype").agg(F.count(F.lit(1)).alias("cases"))
 
 
@@ -283,7 +283,11 @@ RAW_CASES = {
 }
 
 
-def _clean_step_sql() -> str:
+BLANK_SOURCE = {"violation": ("region", "case when r_name = 'ASIA' then '' else concat('Issue ', l_returnflag, ' Issue ', l_linestatus) end")}
+
+
+def _clean_step_sql(raw: dict = RAW_CASES, key: str = "source, case_id_1, violation",
+                    rank: str = "bw_amt DESC NULLS LAST, form DESC NULLS LAST, _row") -> str:
     carried = "case_id_1, source, violation, street_addr, cty_nm, zip_cd, st_cd, bw_amt, _row"
     city = _chain("trim(" + _chain("cty_nm", [(ch, "") for ch in [",", ".", ";", "'"]] + [("  ", " "), ("&", "")]) + ", ' ;,.')",
                   [(ch, "") for ch in "()|/*"] + [("  ", " ")])
@@ -293,15 +297,29 @@ def _clean_step_sql() -> str:
              f"{_name_spacing(_name_punctuation('legal_nm'))} AS legal, {_name_spacing(_name_punctuation('trade_nm'))} AS trade, "
              "'' AS form, '' AS home FROM cases)")
     steps, last = _form_sql("named", False, carried=carried)
-    return (f"WITH {cases_sql(RAW_CASES)},\n{start},\n{steps}\nSELECT case_id_1, source, violation, street_addr, cty_nm, zip_cd, st_cd, "
+    return (f"WITH {cases_sql(raw)},\n{start},\n{steps}\nSELECT case_id_1, source, violation, street_addr, cty_nm, zip_cd, st_cd, "
             f"CAST(bw_amt AS DOUBLE) AS bw_amt, _row, upper({_name_punctuation('legal')}) AS legal_nm, upper({_name_punctuation('trade')}) AS trade_nm, "
-            f"form AS \"Businesstype\", home AS \"Liabilitytype\" FROM {last} QUALIFY row_number() OVER (PARTITION BY source, case_id_1, violation "
-            "ORDER BY bw_amt DESC NULLS LAST, form DESC NULLS LAST, _row) = 1")
+            f"form AS \"Businesstype\", home AS \"Liabilitytype\" FROM {last} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {rank}) = 1")
 
 
 @query("clean_step", _clean_step_sql())
 def clean_step_query(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["case_id_1", "source", "violation", "street_addr", "cty_nm", "zip_cd", "st_cd", "bw_amt", "_row", "legal_nm", "trade_nm"]
-    df = cases(spark, sf, [c for c in columns if c not in RAW_CASES], RAW_CASES, wide=True)
+    df = cases(spark, sf, [c for c in columns if c not in RAW_CASES], RAW_CASES)
+    return clean_step(df.select(*columns, "interest_owed")).select(
+        *[num(c) if c == "bw_amt" else c for c in columns], "Businesstype", "Liabilitytype")
+
+
+# a source that never gives a violation: only there (id, violation, amount) decides, and the first row stays
+_ASIA = "CASE WHEN source = 'ASIA' THEN {} END"
+
+
+@query("clean_step_blank_source", _clean_step_sql(
+    {**RAW_CASES, **BLANK_SOURCE}, "source, case_id_1, violation, " + _ASIA.format("bw_amt"),
+    "CASE WHEN source = 'ASIA' THEN NULL ELSE bw_amt END DESC NULLS LAST, CASE WHEN source = 'ASIA' THEN NULL ELSE form END DESC NULLS LAST, _row"))
+def clean_step_blank_source(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["case_id_1", "source", "violation", "street_addr", "cty_nm", "zip_cd", "st_cd", "bw_amt", "_row", "legal_nm", "trade_nm"]
+    extra = {**RAW_CASES, **BLANK_SOURCE}
+    df = cases(spark, sf, [c for c in columns if c not in extra], extra)
     return clean_step(df.select(*columns, "interest_owed")).select(
         *[num(c) if c == "bw_amt" else c for c in columns], "Businesstype", "Liabilitytype")

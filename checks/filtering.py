@@ -11,7 +11,7 @@ from caseloom.operators import filters as FI
 from caseloom.operators import places as P
 from caseloom.operators.flags import signatory_flag
 from caseloom.operators.group import group_by_key
-from caseloom.operators.topk import listing
+from caseloom.operators.topk import preview
 from caseloom.rules.book import name_rule
 from checks.cases import ORDER, cases, cases_sql, table
 from checks.registry import num, query, text
@@ -169,7 +169,7 @@ def flagged_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("violator_list", f"WITH {FLAGGED_SQL} SELECT * FROM grouped WHERE flag = 1 ORDER BY trade_nm LIMIT 24")
 def violator_list(spark: SparkSession, sf: str) -> DataFrame:
-    return listing(flagged(spark, sf), "trade_nm", n=24)
+    return preview(flagged(spark, sf), "trade_nm", n=24)
 
 
 @query("composite_filter", f"""WITH {cases_sql()}, {DIMS_SQL}

@@ -34,9 +34,10 @@ def totals(spark: SparkSession, sf: str) -> DataFrame:
     return S.totals(cases(spark, sf, list(SUMS)), {"ee_violtd_cnt": "employees", "bw_amt": "back_wages", "violtn_cnt": "violations"})
 
 
-@query("headline", f"WITH {cases_sql()} SELECT count(*) AS cases, CAST(sum(bw_amt) AS DOUBLE) AS back_wages FROM cases WHERE st_cd = 'CA'")
+@query("headline", f"""WITH {cases_sql()} SELECT count(*) AS cases, CAST(sum(bw_amt) AS DOUBLE) AS back_wages FROM (
+  SELECT sum(bw_amt) AS bw_amt FROM cases WHERE trade_nm <> '' GROUP BY upper(trade_nm) HAVING count(*) > 1)""")
 def headline(spark: SparkSession, sf: str) -> DataFrame:
-    return S.headline(cases(spark, sf, ["bw_amt", "st_cd"]).where("st_cd = 'CA'"))
+    return S.headline(G.repeat_groups(cases(spark, sf, ["bw_amt", "trade_nm"]), "trade_nm", [], ("bw_amt",), []))
 
 
 @query("coverage", f"""WITH {cases_sql()}, one AS (SELECT min(findings_start_date) AS first, max(findings_start_date) AS last,
@@ -49,9 +50,9 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("date_range", f"""WITH {cases_sql()} SELECT CAST(min(findings_start_date) AS VARCHAR) AS first,
-  CAST(max(findings_start_date) AS VARCHAR) AS last FROM cases WHERE industry = 'BUILDING'""")
+  CAST(max(findings_start_date) AS VARCHAR) AS last FROM cases""")
 def date_range(spark: SparkSession, sf: str) -> DataFrame:
-    got = S.coverage(cases(spark, sf, ["bw_amt", "findings_start_date", "industry"]).where("industry = 'BUILDING'"))
+    got = S.coverage(cases(spark, sf, ["bw_amt", "findings_start_date"]))
     return got.select(text("first"), text("last"))
 
 
@@ -144,7 +145,7 @@ OPTIONS = ReportOptions(target_industry="Furniture", year_start=date(1996, 1, 1)
 
 def shaped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, ReportOptions]:
     """Shaped rows, the cases they come from, and the options."""
-    df = cases(spark, sf, REPORT_COLUMNS, CANONICAL, wide=True)
+    df = cases(spark, sf, REPORT_COLUMNS, CANONICAL)
     chosen = OPTIONS.normalise(AS_OF)
     return filled_rows(scoped_rows(df, chosen, LOOKUPS), chosen, AS_OF), df, chosen
 
