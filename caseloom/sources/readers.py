@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OVERFLOW = "_overflow"
-#: Stands for null in no file, so that an empty field and an absent one can be told apart.
-_ABSENT = "\u0001\u0002"
 
 
 def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -20,19 +18,17 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
                    encoding: str = "UTF-8", rows: int | None = None, multi_line: bool = False) -> DataFrame:
     """Comma-separated text with a header; every column arrives as text unless a schema is given.
 
-    Lines with too many fields are dropped, also if the extra field is empty, and short lines are
-    padded. A spare column catches the extra field, so lines are told apart without reading them
-    twice; empty cells arrive as null. ``multi_line`` allows line breaks inside quotes, at the price
+    Lines with too many fields are dropped and short lines are padded. A spare column catches the
+    extra field, so lines are told apart without reading them twice; a line whose only extra field
+    is empty loses nothing and stays. ``multi_line`` allows line breaks inside quotes, at the price
     of one task per file: a large source is best landed as several files.
     """
     if schema is None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
     wide = T.StructType([*schema.fields, T.StructField(_OVERFLOW, T.StringType())])
     lines = (spark.read.schema(wide)
-             .options(header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, escape='"', nullValue=_ABSENT, emptyValue="")
+             .options(header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, escape='"')
              .csv(path).where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW))
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    lines = lines.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit("")) for c in texts})
     return lines if rows is None else lines.limit(rows)
 
 

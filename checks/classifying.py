@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import text as T
 from caseloom.operators import agency as A
 from caseloom.operators import flags as FL
-from caseloom.operators.classify import infer_industry
+from caseloom.operators.classify import infer_detail, infer_industry
 from caseloom.operators.impute import penalty_terms
 from caseloom.operators.lookup import default_amount, term_amount, unmatched_terms
 from caseloom.operators.places import Place, infer_zip
@@ -16,7 +16,7 @@ from caseloom.plans.steps import infer_step
 from caseloom.rules import agency as AR
 from caseloom.rules import prevailing as PR
 from caseloom.rules.book import compile_rule, name_rule
-from caseloom.rules.industries import industry_names
+from caseloom.rules.industries import all_details, industry_names
 from caseloom.rules.penalties import PENALTIES
 from checks.cases import cases, cases_sql, table
 from checks.registry import num, query
@@ -306,3 +306,19 @@ def infer_step_query(spark: SparkSession, sf: str) -> DataFrame:
     df = cases(spark, sf, ["case_id_1", "ord3", "bw_amt", "ee_pmt_recv"], STEP_TEXTS)
     labelled = infer_step(df, PLACES, [compile_rule(t) for t in STEP_TERMS])
     return labelled.select("case_id_1", "ord3", "zip_cd", "industry", "trade2", "juris_or_proj_nm", "Prevailing", "violation_code", num("wages_owed"))
+
+
+# parts of industries: by code, else by description, else by name, the more special part winning
+DETAILED = {"name_a": ("part", "case when l_linenumber = 3 then concat(p_name, ' Yoga House') else p_name end"),
+            "name_b": ("", "case when l_linenumber = 4 then 'First Church' else '' end"),
+            "desc": ("", "case when l_returnflag = 'A' then 'Full service Restaurant' when l_returnflag = 'N' and l_linestatus = 'O' then 'Janitor work' else null end"),
+            "code": ("", "case l_suppkey % 6 when 0 then '722513' when 1 then '562111' when 2 then '81211' when 3 then '62331' else '' end")}
+
+
+@query("classify_detail", f"""WITH {cases_sql(DETAILED)}
+SELECT case_id_1, ord3, CASE WHEN code = '722513' THEN 'Fast_food' WHEN code = '562111' THEN 'Waste' WHEN code = '81211' THEN 'Personal_care'
+  WHEN code = '62331' THEN 'Residential_carehome' WHEN "desc" LIKE '%Restaurant%' THEN 'Restaurant' WHEN "desc" LIKE 'Janitor%' THEN 'Janitorial'
+  WHEN name_b LIKE '%Church%' THEN 'Religion' WHEN name_a LIKE '%Yoga%' THEN 'Fitness' END AS industry_detail FROM cases""")
+def classify_detail(spark: SparkSession, sf: str) -> DataFrame:
+    df = cases(spark, sf, ["case_id_1", "ord3"], DETAILED)
+    return infer_detail(df, all_details(), ["name_a", "name_b"], "desc", "code").select("case_id_1", "ord3", "industry_detail")

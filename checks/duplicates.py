@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import dedup as D
 from caseloom.operators.spread import group_totals, on_distinct
+from caseloom.plans.steps import with_duplicate_flags
 from caseloom.functions import text as T
 from checks.cases import ORDER, cases, cases_sql
 from checks.registry import num, query
@@ -85,6 +86,24 @@ def dedup_across_sources(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("case_id_1", "violation", num("bw_amt"))
 
 
+# the keys the cleaning step names, with the rows it would drop
+SIX = {"_row": ("", "(cast(l_orderkey as bigint) * 8 + l_linenumber) * 100000000 + cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint)"),
+       "Businesstype": ("", "case when l_suppkey % 3 = 0 then 'Corporation' else 'Individual' end"), "interest_owed": ("", "cast(l_tax as decimal(18,2))"),
+       "case_id_1": ("", "concat(' ', cast(l_orderkey % 97 as varchar(20)), ' ')")}
+SIX_KEYS = {"_Case_X": "id, violation, bw_amt", "_T_NM_X": "id, trade_nm, street_addr, violation, bw_amt",
+            "_L-NM_X": "id, legal_nm, street_addr, violation, bw_amt", "_DUP_BW": "id, legal_nm, violation, bw_amt",
+            "_DUP_PMT_REC": "id, legal_nm, violation, ee_pmt_recv", "_DUP_PMT_DUE": "id, legal_nm, bw_amt"}
+
+
+@query("dedup_six_flags", f"""WITH {cases_sql(SIX)}, t AS (SELECT *, trim(case_id_1) AS id FROM cases)
+SELECT _row, row_number() OVER (PARTITION BY source, id, violation ORDER BY (bw_amt + interest_owed) DESC NULLS LAST, "Businesstype", _row) > 1
+  AS "_DELETED_DUP", """ + ", ".join(f'count(*) OVER (PARTITION BY {keys}) > 1 AS "{name}"' for name, keys in SIX_KEYS.items()) + " FROM t")
+def dedup_six_flags(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["source", "legal_nm", "trade_nm", "street_addr", "violation", "bw_amt", "ee_pmt_recv"]
+    flagged = with_duplicate_flags(cases(spark, sf, columns, SIX))
+    return flagged.select("_row", "_DELETED_DUP", *[f"`{name}`" for name in SIX_KEYS])
+
+
 FLAGS = {"dup_case": ["case_id_1", "violation", "ee_pmt_recv"], "dup_pay": ["case_id_1", "legal_nm", "violation", "bw_amt"],
          "dup_blank": ["trade_nm", "violation"]}
 

@@ -15,6 +15,7 @@ from caseloom.plans.report import Lookups, ReportOptions, filled_rows, presented
 from caseloom.rules.book import name_rule
 from caseloom.sources import layout as L
 from checks.cases import ORDER, cases, cases_sql
+from checks.filtering import DIMS_SQL, dims
 from checks.grouping import FOUR, SUMS, _multi_sql, employers, multi
 from checks.money import AS_OF, COUNTED_SQL, imputed_sql, owed_sql
 from checks.registry import num, query, text
@@ -187,12 +188,12 @@ def report_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY _row) AS rn FROM shown),
 grouped AS (SELECT name, max(CASE WHEN rn = 1 THEN cty_nm END) AS cty_nm, max(CASE WHEN rn = 1 THEN industry END) AS industry, count(*) AS records,
   sum(bw_amt) AS bw_amt FROM firsts GROUP BY name)
-SELECT industry, CASE WHEN grouping(cty_nm) = 1 THEN 'COUNTYWIDE' ELSE cty_nm END AS cty_nm, CAST(sum(records) AS BIGINT) AS records,
-  CAST(sum(bw_amt) AS DOUBLE) AS bw_amt FROM grouped WHERE cty_nm IS NOT NULL GROUP BY GROUPING SETS ((industry, cty_nm), (industry))""")
+SELECT industry, CASE WHEN grouping(cty_nm) = 1 THEN 'COUNTYWIDE' ELSE cty_nm END AS cty_nm,
+  format('{{:,}}', CAST(sum(records) AS BIGINT)) AS records, format('{{:,.0f}}', CAST(sum(bw_amt) AS DOUBLE)) AS bw_amt FROM grouped WHERE cty_nm IS NOT NULL GROUP BY GROUPING SETS ((industry, cty_nm), (industry))""")
 def report_by_industry_and_city(spark: SparkSession, sf: str) -> DataFrame:
     rows, everything, options = shaped(spark, sf)
     tables = report_tables(*presented(rows, options, LOOKUPS), everything, options, {"by_industry_and_city"})
-    return tables["by_industry_and_city"].select("industry", "cty_nm", "records", num("bw_amt"))
+    return tables["by_industry_and_city"].select("industry", "cty_nm", "records", "bw_amt")
 
 
 @query("report_prevailing_headline", f"""WITH {REPORT_SQL}, shown AS (SELECT *, CASE WHEN signer THEN 'MASKED' ELSE upper(legal_nm) END AS name FROM opened),
@@ -202,3 +203,49 @@ SELECT count(*) AS cases, CAST(coalesce(sum(bw_amt), 0) AS DOUBLE) AS back_wages
 def report_prevailing_headline(spark: SparkSession, sf: str) -> DataFrame:
     rows, everything, options = shaped(spark, sf)
     return report_tables(*presented(rows, options, LOOKUPS), everything, options, {"prevailing_headline"})["prevailing_headline"]
+
+
+@query("report_violator_list", f"""WITH {REPORT_SQL}, shown AS (SELECT *, CASE WHEN signer THEN 'MASKED' ELSE upper(legal_nm) END AS name FROM opened),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY _row) AS rn FROM shown)
+SELECT name AS legal_nm, count(*) AS records, CAST(sum(bw_amt) AS DOUBLE) AS bw_amt, CAST(sum(ee) AS DOUBLE) AS ee_violtd_cnt
+FROM firsts GROUP BY name HAVING max(CASE WHEN rn = 1 THEN "Prevailing" END) = 1""")
+def report_violator_list(spark: SparkSession, sf: str) -> DataFrame:
+    rows, everything, options = shaped(spark, sf)
+    listed = report_tables(*presented(rows, options, LOOKUPS), everything, options, {"prevailing_violators"})["prevailing_violators"]
+    return listed.select("legal_nm", "records", num("bw_amt"), num("ee_violtd_cnt"))
+
+
+# coarse ids, so that sources report the same cases and one switched off would displace the others'
+TAGGED = {**CANONICAL,
+          "source": ("region", "case when r_name in ('ASIA', 'EUROPE') then 'DOL_WHD' when r_name = 'AMERICA' then 'DIR_DLSE' else 'DLSE_J-23' end"),
+          "case_id_1": ("", "concat('C', cast(l_orderkey % 499 as varchar(20)), '-', cast(l_linenumber as varchar(20)))")}
+SCOPE_COLUMNS = ["case_id_1", "source", "violation", "zip_cd", "st_cd", "industry", "bw_amt", "legal_nm", "trade_nm", "findings_start_date", "findings_end_date"]
+
+
+def _scope_sql(where: str) -> str:
+    """Duplicates settled within what ``where`` leaves, then the window."""
+    return f"""asked AS (SELECT * FROM cases WHERE {where}),
+best AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY case_id_1, violation
+  ORDER BY (bw_amt + interest_owed) DESC NULLS LAST, "Businesstype" DESC, _row) = 1),
+scoped AS (SELECT * FROM best WHERE (findings_start_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')
+  OR (findings_start_date IS NULL AND findings_end_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31')
+  OR (findings_start_date IS NULL AND findings_end_date IS NULL))"""
+
+
+def _scoped(spark: SparkSession, sf: str, **asked: object) -> DataFrame:
+    options = ReportOptions(year_start=date(1996, 1, 1), year_end=date(1999, 12, 31), **asked).normalise(AS_OF)
+    df = cases(spark, sf, [c for c in SCOPE_COLUMNS if c not in TAGGED], TAGGED)
+    return scoped_rows(df, options, Lookups(regions=dims(spark, sf))).select("case_id_1", "source", "violation", "zip_cd", num("bw_amt"))
+
+
+@query("report_for_county", f"""WITH {cases_sql(TAGGED)}, {DIMS_SQL}, {_scope_sql("true")}
+SELECT case_id_1, source, violation, zip_cd, CAST(bw_amt AS DOUBLE) AS bw_amt FROM scoped
+WHERE zip_cd IN (SELECT zip FROM dim WHERE county = 'NATION_7')""")
+def report_for_county(spark: SparkSession, sf: str) -> DataFrame:
+    return _scoped(spark, sf, target_county="NATION 7")
+
+
+@query("report_for_source", f"""WITH {cases_sql(TAGGED)}, {_scope_sql("source = 'DOL_WHD'")}
+SELECT case_id_1, source, violation, zip_cd, CAST(bw_amt AS DOUBLE) AS bw_amt FROM scoped WHERE st_cd = 'CA' OR st_cd IS NULL OR st_cd = ''""")
+def report_for_source(spark: SparkSession, sf: str) -> DataFrame:
+    return _scoped(spark, sf, include_federal=True)

@@ -117,3 +117,55 @@ def test_reliable_reports_cut_their_lineage(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert not configured or (checkpoint_dir(spark) == configured and configured in spark.sparkContext.getCheckpointDir())
     assert materialise(cases(spark)).storageLevel.useDisk
+
+
+def region_tables(spark):
+    city = spark.createDataFrame([("San_Jose_city", "San Jose", ["95112", "95113"]), ("Napa_city", "Napa", ["94558"])], "city_key string, city string, zips array<string>")
+    county = spark.createDataFrame([("Santa_Clara", "San_Jose_city"), ("Napa", "Napa_city")], "county string, city_key string")
+    state = spark.createDataFrame([("Elsewhere", "Napa")], "state string, county string")
+    return city, county, state
+
+
+def test_region_options_choose_the_population(spark):
+    from caseloom.plans.report import Lookups, scoped_rows
+    rows = [(i, z, "CA", s, "v", str(i), 1.0, 0.0, "", "", "", date(2023, 1, 1), None) for i, (z, s) in enumerate(
+        [("95112", "DOL_WHD"), ("9511X", "DIR_DLSE"), ("94558", "DOL_WHD"), ("00000", "DLSE_J-23")])]
+    df = spark.createDataFrame(rows, "_row long, zip_cd string, st_cd string, source string, violation string, case_id_1 string, bw_amt double, interest_owed double, "
+                                     "Businesstype string, legal_nm string, trade_nm string, findings_start_date date, findings_end_date date")
+    lookups = Lookups(regions=region_tables(spark))
+
+    def seen(with_lookups=lookups, **asked):
+        return sorted(r["_row"] for r in scoped_rows(df, ReportOptions(**asked).normalise(DAY), with_lookups).collect())
+    assert seen(target_city="San Jose") == seen(target_city="San_Jose_city") == seen(target_county="Santa Clara") == [0, 1]
+    assert seen(target_state="Elsewhere") == [2] and seen(target_city="Nowhere") == []
+    assert seen() == [0, 1, 2, 3] and seen(include_federal=True) == [0, 2]
+    assert seen(include_state_judgements=True) == [3] and seen(include_state_cases=True, target_city="San Jose") == [1]
+    with pytest.raises(ValueError, match="San Jose"):
+        seen(Lookups(), target_city="San Jose")
+
+
+def test_exported_violators_are_as_many_as_the_headline_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from caseloom.plans.report import report_tables, write_report
+    df = spark.range(3600).select(F.col("id").alias("_row"), F.concat(F.lit("E"), "id").alias("legal_nm"), F.lit(1).alias("Prevailing"), F.lit(2.0).alias("bw_amt"),
+                                  F.lit(1).alias("violtn_cnt"), F.lit(1).alias("ee_violtd_cnt"), F.lit(0.0).alias("ee_pmt_recv"), F.lit("x").alias("trade_nm"))
+    o = ReportOptions(prevailing_wage_report=True, signatories_report=False).normalise(DAY)
+    tables = report_tables(df, df, df, o, {"prevailing_headline", "prevailing_violators"})
+    write_report(tables, str(tmp_path))
+    exported = spark.read.option("header", True).csv(str(tmp_path / "prevailing_violators"))
+    assert exported.count() == tables["prevailing_headline"].first()["cases"] == 3600
+
+
+def test_two_way_tables_are_ordered_and_formatted(spark):
+    from caseloom.operators.topk import two_way
+    df = spark.createDataFrame([("b", "x", 1200), ("a", "y", 5), ("a", "x", 1500), ("a", "ALL", 1505), ("b", "ALL", 1200)], "o string, i string, n int")
+    assert [tuple(r) for r in two_way(df, "o", "i", "ALL", ["n"]).collect()] == [
+        ("a", "ALL", "1,505"), ("a", "x", "1,500"), ("a", "y", "5"), ("b", "ALL", "1,200"), ("b", "x", "1,200")]
+
+
+def test_every_selectable_industry_has_rules():
+    from caseloom.rules.industries import detail_names, industry_names
+    asked = ("Agriculture", "Mining", "Utilities", "Construction", "Manufacturing", "Trade", "Retail", "Gig", "Transportation", "Information", "Finance", "Real Estate",
+             "Professional", "Management", "Janitorial", "Waste", "Administrative", "Educational", "Carehome", "Residential Carehome", "HealthCare", "Entertainment",
+             "Fitness", "Accommodation", "Fast Food", "Restaurant", "Service", "Automotive", "Personal Care", "Religion", "Public Servant", "Other")
+    assert all(labels_for(a)[0] in industry_names() + detail_names() for a in asked)

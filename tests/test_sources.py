@@ -133,3 +133,56 @@ def test_export_carries_the_mark(spark, tmp_path):
     write_csv(df, str(tmp_path / "o"))
     part = next((tmp_path / "o").glob("part-*"))
     assert part.read_bytes().decode("utf-8").splitlines() == [BOM + "x,y", '"a,""b""",1', ",2"]
+
+
+def test_numbers_follow_the_files_however_they_are_split(spark, tmp_path):
+    """Large file last by name, split into many parts and read as one: the same numbers."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.csv").write_text("id,note\n" + "".join(f"b{i},{'x' * 200}\n" for i in range(3000)))
+    (tmp_path / "in" / "a.csv").write_text("id,note\na0,\n\"a1\",\"two\nlines\"\na3,y,z\n")
+    seen = []
+    for size, lines in (("128m", False), ("64k", False), ("16k", False), ("128m", True)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = with_row_number(read_delimited(spark, str(tmp_path / "in"), multi_line=lines), 1)
+        seen.append([r["id"] for r in df.orderBy("_row").collect() if r["id"].startswith("b")])
+        low = {r["id"]: r["_row"] - (1 << 58) for r in df.collect()}
+        assert sorted(low.values()) == list(range(len(low)))
+        if lines:
+            assert {k: v for k, v in low.items() if k.startswith("a")} == {"a0": 0, "a1": 1}
+            assert df.where("id = 'a1'").first()["note"] == "two\nlines"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert seen[0] == [f"b{i}" for i in range(3000)] and seen.count(seen[0]) == 4
+
+
+def test_a_forced_refresh_leaves_nothing_of_the_day_before_it(spark, landed, tmp_path):
+    from pathlib import Path
+    root, day = str(tmp_path / "snap"), date(2023, 1, 10)
+    first = refresh_snapshot(spark, root, landed, day)
+    second = refresh_snapshot(spark, root, only(landed, "DOL_WHD"), day, force=True)
+    assert S.latest(spark, root) == second != first
+    assert {r["source"] for r in S.read_cases(spark, root).select("source").distinct().collect()} == {"DOL_WHD"}
+    assert Path(first.cases).exists()  # readers under way keep what they began with
+    third = refresh_snapshot(spark, root, landed, day, force=True)
+    assert not Path(first.cases).exists() and not Path(first.raw).exists() and Path(second.cases).exists()
+    assert S.latest(spark, root) == third and not any(p.name.startswith(day.isoformat()) for p in Path(root, "unique").iterdir())
+
+
+def test_sources_decide_alone_whether_their_keys_count(spark, tmp_path):
+    """The federal file has no violations, so its amounts tell cases apart, whatever other sources have."""
+    (tmp_path / "fed.csv").write_text("case_id,legal_name,bw_atp_amt\n1,A,100\n1,A,200\n")
+    (tmp_path / "state.csv").write_text("Case Number,Employer,Case Issue Type,EE(s) Amt Assessed\n5,B,Issue 1,10\n5,B,Issue 1,20\n")
+    root = str(tmp_path / "snap")
+    refresh_snapshot(spark, root, build_registry({"DOL_WHD": str(tmp_path / "fed.csv"), "DIR_DLSE": str(tmp_path / "state.csv")}), date(2023, 1, 10))
+    got = sorted((r["source"], float(r["bw_amt"])) for r in S.read_cases(spark, root).collect())
+    assert got == [("DIR_DLSE", 20.0), ("DOL_WHD", 100.0), ("DOL_WHD", 200.0)]
+
+
+def test_flag_mode_keeps_all_rows(spark):
+    from caseloom.plans.steps import clean_step
+    columns = "case_id_1 string, source string, violation string, street_addr string, cty_nm string, zip_cd string, st_cd string, legal_nm string, " \
+              "trade_nm string, bw_amt double, ee_pmt_recv double, interest_owed double, _row long"
+    df = spark.createDataFrame([("1 ", "a", "v", "", "", "", "", "X", "", 5.0, 0.0, 0.0, 0), ("1", "a", "v", "", "", "", "", "X", "", 9.0, 0.0, 0.0, 1),
+                                ("2", "a", "v", "", "", "", "", "X", "", 9.0, 0.0, 0.0, 2)], columns)
+    rows = {r["_row"]: r for r in clean_step(df, flag_only=True).collect()}
+    assert [rows[i]["_DELETED_DUP"] for i in range(3)] == [True, False, False]
+    assert [rows[i]["_DUP_PMT_REC"] for i in range(3)] == [True, True, False] and not any(r["_DUP_BW"] for r in rows.values())
