@@ -125,3 +125,19 @@ def test_unplaced_rows_are_marked(spark):
                                "street_addr string, juris_or_proj_nm string, Jurisdiction_region_or_General_Contractor string")
     r = infer_zip(df, [Place("Napa", "9455X")]).first()
     assert (r["zip_cd"], r["inferred_city"]) == ("99999", None)
+
+
+def test_vocabularies_hold_what_they_should():
+    """Typed by hand, since the SQL of the queries draws on the same tables."""
+    from caseloom.rules.agency import COLUMN_CODES, LABEL_CODES
+    from caseloom.rules.industries import DETAILS
+    from caseloom.rules.penalties import MEAN_CEILING, MEAN_PLUG, PENALTIES, PENALTY_SHARE
+    amounts = dict(PENALTIES)
+    assert len(PENALTIES) == 37 and sum(a is None for a in amounts.values()) == 10
+    assert (amounts["L.C. 203"], amounts["VACATION WAGES"], amounts["MINIMUM WAGES"], amounts["L.C. 1771"], amounts["Overtime"]) == (3600, 2000, 50, 125, None)
+    assert (MEAN_CEILING, MEAN_PLUG, PENALTY_SHARE) == (4000, 3368, 0.125)
+    assert {code: len(listed) for code, listed in SECTIONS.items() if len(listed) < 10} == {
+        "P.C.": 6, "P.R.C.": 3, "P.U.C.": 8, "S.H.C.": 2, "W.C.": 1, "W.I.C.": 1, "E.C.": 2, "F.G.C.": 2, "G.C.": 9, "H.S.C.": 8}
+    assert SECTIONS["L.C."][:3] == ("223", "1720", "1720.2") and SECTIONS["L.C."][-1] == "1861"
+    assert (len(LABEL_CODES), len(COLUMN_CODES), COLUMN_CODES[0], COLUMN_CODES[-3:]) == (20, 27, "01", ("25", "35", "WC"))
+    assert not [f for terms in DETAILS for f in check_terms(terms)]
