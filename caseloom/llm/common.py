@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ BETWEEN_WORDS = bytes(c for c in range(128) if not chr(c).isalnum())
 FOLD = bytes.maketrans(BETWEEN_WORDS + bytes(range(65, 91)), b" " * len(BETWEEN_WORDS) + bytes(range(97, 123)))
 #: White space as the contracts write it: [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
-BLOCK = 1 << 20
+#: Bytes of text worked on at once; the arrays that takes are some fifty times as large.
+BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,16 +60,17 @@ def struct_of(**columns: tuple[object, pa.DataType]) -> pa.Array:
                                        for v, t in columns.values()], names=list(columns))
 
 
-def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes together; a longer text stands alone."""
+def blocks(texts: pa.Array | list[bytes], most: int = BLOCK, docs: int = 4096) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Texts in parts of at most ``docs`` texts of about ``most`` bytes together, with the numbers of
+    the first and of the one after the last; a longer text stands alone. Only one part is held."""
+    sizes = [len(t) for t in texts] if isinstance(texts, list) else pc.binary_length(texts).to_numpy(zero_copy_only=False).tolist()
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, i
+    for i, n in enumerate([*sizes, None]):
+        if i > first and (n is None or size + n > most or i - first == docs):
+            part = texts[first:i]
+            yield first, i, part if isinstance(part, list) else part.to_pylist()
             first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts)
+        size += (n or 0) + 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -108,9 +108,9 @@ def fit(words: np.ndarray, counts: np.ndarray, grades: np.ndarray, n_grades: int
 def _word_lists(bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows = batch.column("text").to_pylist(), []
-            for i, j in blocks(texts):
-                words, counts = features(texts[i:j], bits)
+            rows = []
+            for _, _, part in blocks(batch.column("text")):
+                words, counts = features(part, bits)
                 rows += np.split(words.astype(np.int32), np.cumsum(counts)[:-1])
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "words"])
     return emit
@@ -137,10 +137,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, most_rated: int =
 
 def _scorer(shared, bits: int):
     def score(texts: pa.Array) -> pa.Array:
-        model, rows = shared.value, texts.to_pylist()
-        out = np.zeros(len(rows))
-        for i, j in blocks(rows):
-            words, counts = features(rows[i:j], bits)
+        model, out = shared.value, np.zeros(len(texts))
+        for i, j, part in blocks(texts):
+            words, counts = features(part, bits)
             out[i:j] = np.bincount(np.repeat(np.arange(j - i), counts), weights=model.weights[words], minlength=j - i)
         tails = model.tails(out)
         return struct_of(score=(out, pa.float64()), expected_grade=(tails.sum(axis=1), pa.float64()),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import BLANKS, arrow_column, as_bytes, blocks, settle, shingles, struct_of, word_hashes
+from caseloom.llm.common import BLANKS, arrow_column, as_bytes, blocks, settle, shingles, struct_of, without, word_hashes
 
 SPACES = bytes.maketrans(BLANKS, b" " * len(BLANKS))
 SYMBOLS = b"#*$%&|<>"
@@ -44,10 +44,10 @@ class Fence:
 
 #: Measures as integers: a value per 100 words or per 1000, or in tenths.
 FENCES = (
-    Fence("word_length", "word_chars * 10 div greatest(n_words, 1)", least=5, below=True),
-    Fence("symbols", "n_symbols * 100 div greatest(n_words, 1)", least=3),
-    Fence("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", least=40),
-    Fence("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", least=25),
+    Fence("word_length", "m.word_chars * 10 div greatest(m.n_words, 1)", least=5, below=True),
+    Fence("symbols", "m.n_symbols * 100 div greatest(m.n_words, 1)", least=3),
+    Fence("dup_lines", "m.n_dup_lines * 1000 div greatest(m.n_lines, 1)", least=40),
+    Fence("repeats", "m.n_repeat_words * 1000 div greatest(m.n_words, 1)", least=25),
 )
 
 
@@ -72,10 +72,8 @@ def _repeated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _measure(texts: pa.Array) -> pa.Array:
-    rows = texts.to_pylist()
-    out = {c: np.zeros(len(rows), np.int64) for c in COUNTS}
-    for i, j in blocks(rows):
-        part = rows[i:j]
+    out = {c: np.zeros(len(texts), np.int64) for c in COUNTS}
+    for i, j, part in blocks(texts):
         out["n_words"][i:j], out["n_repeat_words"][i:j] = _repeated(part)
         for k, text in enumerate(part, i):
             a = np.frombuffer(text.translate(None, BLANKS), np.uint8)
@@ -103,10 +101,13 @@ def _floor_of(bucket: Column) -> Column:
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Counts per language, source, measure and bucket: the mergeable sketch of every group."""
+    """Counts per language, source, measure and bucket: the mergeable sketch of every group.
+
+    ``measured`` has the struct of ``measures`` as column ``m``.
+    """
     each = F.array(*[F.struct(F.lit(f.measure).alias("measure"), _bucket(F.expr(f.value)).alias("bucket")) for f in FENCES])
-    return (measured.where("n_words > 0").select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(each).alias("m"))
-            .groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n")))
+    return (measured.where("m.n_words > 0").select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(each).alias("s"))
+            .groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count("*").alias("n")))
 
 
 def _quartiles(sketch: DataFrame, *by: str) -> DataFrame:
@@ -159,7 +160,7 @@ def by_group(limits: DataFrame) -> DataFrame:
 
 
 def base_failed() -> Column:
-    return F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
+    return F.expr("m.n_words < 10 or 100 * m.n_repeat_words > 20 * m.n_words")
 
 
 def judged(measured: DataFrame, limits: DataFrame, most_groups: int = 20_000) -> DataFrame:
@@ -189,9 +190,9 @@ def quality_verdicts(docs: DataFrame, min_docs: int = 200) -> DataFrame:
     Documents without words fail. Null texts are empty; null languages and sources form groups
     of their own; repeated rows are judged each, and alike. Other columns are left behind.
     """
-    measured = settle(docs.select("doc_id", "lang", "source", measures().alias("m")).select("doc_id", "lang", "source", "m.*"), "measures")
+    measured = settle(docs.select("doc_id", "lang", "source", measures().alias("m")), "measures")
     limits = settle(by_group(thresholds(sketches(measured), min_docs)), "limits")
-    return judged(measured, limits)
+    return judged(measured, limits).select("doc_id", "lang", "source", "m.*", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, min_docs: int = 200) -> DataFrame:
@@ -199,7 +200,11 @@ def keep_good(docs: DataFrame, min_docs: int = 200) -> DataFrame:
 
     Measures are taken once for the sketches, and again, without moving a text, for the filter.
     """
-    measured = docs.select("lang", "source", measures().alias("m")).select("lang", "source", "m.*")
+    measured = docs.select("lang", "source", measures().alias("m"))
     limits = settle(by_group(thresholds(settle(sketches(measured), "sketches"), min_docs)), "limits")
-    whole = docs.select(F.struct("*").alias("_row"), "lang", "source", measures().alias("m")).select("_row", "lang", "source", "m.*")
-    return judged(whole, limits).where("kept").select("_row.*")
+    whole = without(docs, "m", "limits", "kept", "base_failed").withColumn("m", measures())
+    clashing = [c for c in docs.columns if c not in whole.columns]
+    if clashing:  # columns of the input that the filter's own would hide travel beside it
+        whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in clashing]).alias("_rest"), *[F.col(f"`{c}`") for c in whole.columns if c != "m"]).withColumn("m", measures())
+    kept = judged(whole, limits).where("kept")
+    return kept.select(*[F.col(f"_rest.`{c}`").alias(c) if c in clashing else F.col(f"`{c}`") for c in docs.columns])
