@@ -6,12 +6,14 @@ cut into bands, and documents that agree on a whole band are candidates. Candida
 their exact weighted Jaccard similarity, and verified links join documents into classes.
 
 Scale. Exact copies collapse first, so a group of copies costs one row per task. The idf needs
-no table of all shingles: idf(s) = ln(1 + N / max(df(s), L)) with L a share of all documents, so
+no table of all shingles: idf(s) = sqrt(ln(1 + N / max(df(s), L))) with L a share of all documents, so
 only shingles in L documents or more have an entry. They are found by hashed counts, which
 never undercount, and then counted exactly: their number is at most the mean number of shingles
 of a document over that share. In a bucket every member is compared with a few leaders, not with
-all others; buckets whose members are then still in several classes go on with four times as many
-leaders each time, until each pair of classes in them has been compared or merged.
+all others, first with the most central one; buckets whose members are then still in several classes
+go on with many more leaders each time, until each pair of classes in them has been compared or
+merged. How many rare shingles two texts have bounds what they can share, so pairs beyond that
+bound are not made; pairs that have a rare shingle in common are found by it.
 
 A large group of near copies makes its own shingles frequent, so weights alone would drop what
 its members share below what they do not. A pair is therefore similar if its weighted or its
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import FOLD, arrow_column, as_bytes, blocks, mixed, settle, shingles, struct_of, word_hashes
@@ -35,12 +37,16 @@ BANDS, ROWS = 16, 4
 #: Share of documents, and their number, from which on a shingle's frequency matters.
 RARE, LEAST_DOCS = 0.05, 20
 #: Hashed document counts: 2**SKETCH_BITS of them.
-SKETCH_BITS = 20
+SKETCH_BITS = 16
 #: Entries of the tables the samples' random numbers come from.
 TABLE_BITS = 14
-#: Share of agreeing samples below which a candidate cannot be similar: even at a weighted similarity
-#: of 0.6, so few of 64 samples agree about once in 10**5 pairs, at 0.8 practically never.
-LEAST_AGREEING = 0.35
+#: Share of agreeing samples below which a candidate cannot be similar: at a weighted similarity of 0.8,
+#: fewer than half of 64 samples agree once in 10**7 pairs, at 0.73 once in 10**4.
+LEAST_AGREEING = 0.5
+#: Shingles keep this many bits of their hash; the rest of 64 numbers the texts of a block.
+KEY_BITS = 52
+#: Leaders of a bucket in the turns after the first grow by this factor.
+MORE_LEADERS = 64
 
 
 def weighted_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,12 +62,12 @@ def weighted_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     if len(brief):
         whole = [np.bitwise_xor.reduce(mixed(hashes[ends[i] - counts[i]:ends[i]] + np.arange(1, counts[i] + 1, dtype=np.uint64))) for i in brief]
         keys, doc = np.concatenate((keys, np.array(whole, np.uint64))), np.concatenate((doc, brief))
-    order = np.lexsort((keys, doc))
-    keys, doc = keys[order], doc[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], keys[at], np.diff(np.append(at, len(keys))), counts
+    # texts of a block are few, so text number and hash fit into one number, which sorts fast
+    both = (doc.astype(np.uint64) << np.uint64(KEY_BITS)) | (keys >> np.uint64(64 - KEY_BITS))
+    both.sort()
+    at = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][:len(both)])
+    found = both[at]
+    return (found >> np.uint64(KEY_BITS)).astype(np.int64), found & np.uint64((1 << KEY_BITS) - 1), np.diff(np.append(at, len(both))), counts
 
 
 class Weights:
@@ -70,8 +76,8 @@ class Weights:
     def __init__(self, n_docs: int, hashes: np.ndarray, df: np.ndarray, rare: float) -> None:
         order = np.argsort(hashes)
         least = max(LEAST_DOCS, n_docs * rare)
-        self.hashes, self.idf = hashes[order], np.log1p(n_docs / np.maximum(df[order], least))
-        self.top = float(np.log1p(max(n_docs, 1) / least))
+        self.hashes, self.idf = hashes[order], np.sqrt(np.log1p(n_docs / np.maximum(df[order], least)))
+        self.top = float(np.sqrt(np.log1p(max(n_docs, 1) / least)))
 
     def of(self, keys: np.ndarray, tf: np.ndarray) -> np.ndarray:
         weight = np.full(len(keys), self.top)
@@ -88,11 +94,10 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Documents per hashed shingle, summed over the task."""
     counts, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        n += len(texts)
-        for i, j in blocks(texts):
-            _, keys, _, _ = weighted_shingles(texts[i:j])
-            counts += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+        n += batch.num_rows
+        for _, _, part in blocks(batch.column(0), docs=1 << 64 - KEY_BITS):
+            _, keys, _, _ = weighted_shingles(part)
+            counts += np.bincount((keys >> np.uint64(KEY_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], names=["slot", "n"])
 
@@ -101,10 +106,10 @@ def _frequent(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = shared.value
         for batch in batches:
-            texts, got = batch.column(0).to_pylist(), []
-            for i, j in blocks(texts):
-                _, keys, _, _ = weighted_shingles(texts[i:j])
-                got.append(keys[heavy[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]])
+            got = []
+            for _, _, part in blocks(batch.column(0), docs=1 << 64 - KEY_BITS):
+                _, keys, _, _ = weighted_shingles(part)
+                got.append(keys[heavy[(keys >> np.uint64(KEY_BITS - SKETCH_BITS)).astype(np.int64)]])
             keys, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
     return count
@@ -159,9 +164,9 @@ class Sampler:
             return out
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         own = np.flatnonzero(weights != self.top)
-        ln_own, low = np.log(weights[own]), keys & np.uint64(0xFFFFFFFF)
+        ln_own, low, spread = np.log(weights[own]), keys & np.uint64(0xFFFFFFFF), mixed(keys)
         for k, odd in enumerate(self.odd):
-            at = ((keys * odd) >> self.shift).astype(np.int64)
+            at = ((spread * odd) >> self.shift).astype(np.int64)
             rank = self.common[at]
             if len(own):
                 rank[own] = self._rank(at[own], ln_own)
@@ -173,12 +178,14 @@ class Sampler:
 def _signer(shared):
     def sign(texts: pa.Array) -> pa.Array:
         weights, sampler = shared.value
-        rows = texts.to_pylist()
-        samples, content, n_words = [], np.zeros((len(rows), 2), np.uint64), np.zeros(len(rows), np.int64)
-        for i, j in blocks(rows):
-            part = rows[i:j]
+        size = len(texts)
+        samples, content, n_words = [], np.zeros((size, 2), np.uint64), np.zeros(size, np.int64)
+        n, weight = np.zeros(size, np.int64), np.zeros(size)
+        for i, j, part in blocks(texts, docs=1 << 64 - KEY_BITS):
             doc, keys, tf, counts = weighted_shingles(part)
-            samples.append(sampler.of(doc, keys, weights.of(keys, tf), j - i))
+            own = weights.of(keys, tf)
+            n[i:j], weight[i:j] = np.bincount(doc, minlength=j - i), np.bincount(doc, weights=own, minlength=j - i)
+            samples.append(sampler.of(doc, keys, own, j - i))
             hashes, _ = word_hashes(part, FOLD)
             ends = np.cumsum(counts)
             for half, base in enumerate((np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))):
@@ -189,14 +196,14 @@ def _signer(shared):
         flat = np.concatenate(samples).reshape(-1) if samples else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(sampler.odd), dtype=np.int32)), pa.array(flat))
         return struct_of(w1=(content[:, 0].view(np.int64), pa.int64()), w2=(content[:, 1].view(np.int64), pa.int64()),
-                         n_words=(n_words, pa.int64()), samples=(lists, lists.type))
+                         n_words=(n_words, pa.int64()), n=(n, pa.int64()), weight=(weight, pa.float64()), samples=(lists, lists.type))
     return sign
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, a 128-bit hash of the words in order, the number of words, and the samples."""
+    """doc_id, a 128-bit hash of the words in order, the numbers of words and of shingles, their weight, and the samples."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, Sampler(weights.top)))
-    signed = arrow_column(_signer(shared), "struct<w1:bigint,w2:bigint,n_words:bigint,samples:array<int>>", as_bytes("text"))
+    signed = arrow_column(_signer(shared), "struct<w1:bigint,w2:bigint,n_words:bigint,n:bigint,weight:double,samples:array<int>>", as_bytes("text"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), signed.alias("s")).select("doc_id", "s.*")
 
 
@@ -235,28 +242,98 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return label
 
 
-def _buckets(unique: DataFrame) -> DataFrame:
-    """(bucket, id, n): members of the buckets of all bands that have several, and how many."""
+def _exploded(shared):
+    """(key, id, w): the shingles of candidates."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        for batch in batches:
+            ids = batch.column(0)
+            for i, _, part in blocks(batch.column(1), docs=1 << 64 - KEY_BITS):
+                doc, keys, tf, _ = weighted_shingles(part)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(doc + i)), pa.array(weights.of(keys, tf))], names=["key", "id", "w"])
+    return explode
+
+
+def _rare_shingles(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(key, n, w, ids): the candidates of each shingle that at most three candidates have."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    keyed = texts.select("id", "text").mapInArrow(_exploded(shared), "key bigint, id bigint, w double")
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("w").alias("w"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all"))
+    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    ids = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array("low", middle, "high"))
+    return counted.where("n <= 3").select("key", "n", "w", ids.alias("ids"))
+
+
+def _rareness(rare: DataFrame) -> DataFrame:
+    """(id, lone, lone_weight, few, few_weight): shingles no other candidate has, and those at most two others have.
+
+    They bound similarities from above. A text of which over a fifth is lone has no partner at all. Two texts
+    that have no rare shingle in common share at most what is not rare; those that have one are paired
+    by it. And those with fewest rare shingles stand nearest to the middle of their group.
+    """
+    each = rare.select("n", "w", F.explode("ids").alias("id"))
+    lone = F.col("n") == 1
+    return each.groupBy("id").agg(
+        F.count_if(lone).alias("lone"), F.sum(F.when(lone, F.col("w")).otherwise(0.0)).alias("lone_weight"), F.count("*").alias("few"), F.sum("w").alias("few_weight"))
+
+
+def _rare_pairs(rare: DataFrame, possible: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) with a rare shingle in common: one or three for each such shingle."""
+    ids = F.col("ids")
+    pairs = F.when(F.col("n") == 2, F.array(F.struct(ids[1].alias("a"), ids[0].alias("b")))).otherwise(F.array(
+        F.struct(F.greatest(ids[0], ids[1]).alias("a"), F.least(ids[0], ids[1]).alias("b")),
+        F.struct(F.greatest(F.get(ids, F.lit(1)), F.get(ids, F.lit(2))).alias("a"), F.least(F.get(ids, F.lit(1)), F.get(ids, F.lit(2))).alias("b")),
+        F.struct(F.greatest(ids[0], F.get(ids, F.lit(2))).alias("a"), F.least(ids[0], F.get(ids, F.lit(2))).alias("b"))))
+    found = rare.where("n > 1").select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+    one, other = (possible.select(F.col("id").alias(side), *[F.col(m).alias(f"{side}_{m}") for m in MEASURED]) for side in ("a", "b"))
+    reach = _may_reach(similarity, {m: F.col(f"a_{m}") for m in MEASURED}, {m: F.col(f"b_{m}") for m in MEASURED}, "lone")
+    return found.join(one, "a").join(other, "b").where(reach).select("a", "b")
+
+
+def _keys(unique: DataFrame) -> DataFrame:
+    """(id, bucket) of every band."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.slice("samples", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    each = unique.select("id", F.explode(keys).alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    return each.join(shared, "bucket")
+    return unique.select("id", F.explode(keys).alias("bucket"))
+
+
+def _members(each: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of the buckets that have several, with the number of members and the central one."""
+    placed = each.join(known, "id")
+    middle = F.struct((F.col("few") / F.col("n")).alias("share"), "id", *MEASURED)
+    full = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(middle).alias("middle")).where("size > 1")
+    return placed.join(full, "bucket")
+
+
+MEASURED = ("n", "weight", "lone", "lone_weight", "few", "few_weight")
+
+
+def _may_reach(similarity: float, one: dict[str, Column], other: dict[str, Column], unshared: str = "few") -> Column:
+    """Whether the shingles two texts may share suffice, counted or weighed."""
+    def enough(all_of: str, apart: str) -> Column:
+        most = F.least(one[all_of] - one[apart], other[all_of] - other[apart])
+        return most >= similarity * (one[all_of] + other[all_of] - most) - 1e-6
+    return enough("n", unshared) | enough("weight", f"{unshared}_weight")
 
 
-def _asked(members: DataFrame, turn: int) -> DataFrame:
+def _asked(members: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of different classes, b a leader of their bucket in this turn.
 
-    First the leader is the least id. Then leaders are those whose hash, as a share, falls into the
-    turn's range, about four times as many as before, until every member has been one.
+    First the leader is the central member. Then leaders are those whose hash, as a share, falls
+    into the turn's range, many times as many as before, until every member has been one. Pairs that
+    cannot be similar are not made; those that share a rare shingle have been found by it before.
     """
+    own = {m: F.col(m) for m in MEASURED}
     if turn == 0:
-        pairs = members.where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
+        reach = _may_reach(similarity, own, {m: F.col(f"middle.{m}") for m in MEASURED})
+        pairs = members.where((F.col("id") != F.col("middle.id")) & reach).select(F.col("id").alias("x"), F.col("middle.id").alias("y"))
     else:
-        share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 20)) / F.lit(1 << 20) * F.col("n")
-        begin, end = (4**(turn - 1) if turn > 1 else 0), 4**turn
-        leaders = members.where((share >= begin) & (share < end)).select("bucket", F.col("id").alias("b"), F.col("root").alias("of_b"))
-        pairs = members.join(leaders, "bucket").where("root <> of_b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
-    return pairs.distinct()
+        share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 20)) / F.lit(1 << 20) * F.col("size")
+        begin, end = (MORE_LEADERS**(turn - 1) if turn > 1 else 0), MORE_LEADERS**turn
+        leaders = members.where((share >= begin) & (share < end)).select(
+            F.col("bucket").alias("_b"), F.col("id").alias("_id"), F.col("root").alias("_root"), *[F.col(m).alias(f"_{m}") for m in MEASURED])
+        reach = _may_reach(similarity, own, {m: F.col(f"_{m}") for m in MEASURED})
+        pairs = members.join(leaders, (F.col("bucket") == F.col("_b")) & (F.col("root") != F.col("_root")) & reach).select(F.col("id").alias("x"), F.col("_id").alias("y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
@@ -282,27 +359,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rare: float
     weights = shingle_weights(docs, rare)
     signed = settle(signatures(docs, weights), "signatures")
     unique = settle(signed.where("n_words > 0 and doc_id is not null").groupBy("w1", "w2")
-                    .agg(F.min("doc_id").alias("id"), F.first("samples").alias("samples")), "unique")
-    members = settle(_buckets(unique), "buckets")
-    wanted = members.select("id").distinct()
-    found = docs.select(F.col("doc_id").cast("bigint").alias("id"), as_bytes("text").alias("text")).join(wanted, "id")
-    texts = settle(found.join(unique.groupBy("id").agg(F.first("samples").alias("samples")), "id"), "texts")
-    root = wanted.select("id", F.col("id").alias("root"))
+                    .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("samples", "n", "weight")]), "unique")
+    each = settle(_keys(unique), "bands")
+    together = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    wanted = each.join(together, "bucket", "left_semi").select("id").distinct()
+    # an id that is repeated counts once, or its shingles would not look rare
+    found = docs.select(F.col("doc_id").cast("bigint").alias("id"), as_bytes("text").alias("text")).join(wanted, "id").dropDuplicates(["id"])
+    texts = settle(found.join(unique.select("id", "samples", "n", "weight").dropDuplicates(["id"]), "id"), "texts")
+    rare = settle(_rare_shingles(texts, weights), "rare")
+    known = texts.select("id", "n", "weight").dropDuplicates(["id"]).join(_rareness(rare), "id", "left").fillna(0, ["lone", "lone_weight", "few", "few_weight"])
+    possible = settle(known.where((F.col("n") - F.col("lone") >= similarity * F.col("n"))
+                                  | (F.col("weight") - F.col("lone_weight") >= similarity * F.col("weight") - 1e-6)), "possible")
+    members = settle(_members(each, possible), "members")
+    root = possible.select("id", F.col("id").alias("root"))
     turn, tried = 0, None
     while True:
-        placed = members.join(root, "id") if turn else members
+        placed = members
         if turn:
-            mixed_up = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-            placed = settle(placed.join(mixed_up, "bucket", "left_semi"), "open-buckets")
-            if not placed.where(f"n > {4**(turn - 1) if turn > 1 else 2}").limit(1).count():
+            placed = members.join(root, "id")
+            apart = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
+            beyond = MORE_LEADERS**(turn - 1) if turn > 1 else 2
+            placed = settle(placed.where(F.col("size") > beyond).join(apart, "bucket", "left_semi"), "open-buckets")
+            if not placed.limit(1).count():
                 break
-        pairs = _asked(placed, turn)
+        pairs = _asked(placed, turn, similarity) if turn else _asked(placed, turn, similarity).union(_rare_pairs(rare, possible, similarity)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
         links = settle(_verified(pairs, texts, weights, similarity), "similar")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        root = settle(_joined_classes(root, links), "roots")
+        if links.limit(1).count():
+            root = settle(_joined_classes(root, links), "roots")
         turn += 1
     classes = unique.select("w1", "w2", "id").join(root, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("class_id"))
     # a group of copies is as skewed a key as the data has: Spark splits it, the other side being one row per group
