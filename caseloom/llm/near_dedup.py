@@ -291,9 +291,9 @@ def _rare_pairs(rare: DataFrame, possible: DataFrame, similarity: float) -> Data
 
 
 def _keys(unique: DataFrame) -> DataFrame:
-    """(id, bucket) of every band."""
+    """(id, band, bucket) of every band."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.slice("samples", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    return unique.select("id", F.explode(keys).alias("bucket"))
+    return unique.select("id", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _members(each: DataFrame, known: DataFrame) -> DataFrame:
@@ -330,9 +330,13 @@ def _asked(members: DataFrame, turn: int, similarity: float) -> DataFrame:
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 20)) / F.lit(1 << 20) * F.col("size")
         begin, end = (MORE_LEADERS**(turn - 1) if turn > 1 else 0), MORE_LEADERS**turn
         leaders = members.where((share >= begin) & (share < end)).select(
-            F.col("bucket").alias("_b"), F.col("id").alias("_id"), F.col("root").alias("_root"), *[F.col(m).alias(f"_{m}") for m in MEASURED])
+            F.col("bucket").alias("_b"), F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("samples").alias("_samples"),
+            *[F.col(m).alias(f"_{m}") for m in MEASURED])
+        # a pair meets in every band it agrees on, and is made in the first of them
+        before = F.exists(F.array(*[F.lit(k) for k in range(BANDS)]), lambda k: (k < F.col("band")) & (
+            F.slice("samples", k * ROWS + 1, F.lit(ROWS)) == F.slice("_samples", k * ROWS + 1, F.lit(ROWS))))
         reach = _may_reach(similarity, own, {m: F.col(f"_{m}") for m in MEASURED})
-        pairs = members.join(leaders, (F.col("bucket") == F.col("_b")) & (F.col("root") != F.col("_root")) & reach).select(F.col("id").alias("x"), F.col("_id").alias("y"))
+        pairs = members.join(leaders, (F.col("bucket") == F.col("_b")) & (F.col("root") != F.col("_root")) & reach & ~before).select(F.col("id").alias("x"), F.col("_id").alias("y"))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -376,7 +380,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rare: float
     while True:
         placed = members
         if turn:
-            placed = members.join(root, "id")
+            placed = members.join(root, "id").join(unique.select("id", "samples").dropDuplicates(["id"]), "id")
             apart = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
             beyond = MORE_LEADERS**(turn - 1) if turn > 1 else 2
             placed = settle(placed.where(F.col("size") > beyond).join(apart, "bucket", "left_semi"), "open-buckets")
