@@ -416,7 +416,12 @@ def one_per_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Documents without words and rows without an id stay. Columns are those that came.
     """
-    alone = near_duplicates(docs, similarity).where("class_id = doc_id").select(F.col("doc_id").alias("_alone")).distinct()
-    found = docs.join(alone, docs["doc_id"] == alone["_alone"], "left_semi")
+    rows = near_duplicates(docs, similarity).groupBy("doc_id").agg(F.max(F.col("class_id") == F.col("doc_id")).alias("alone"), F.count("*").alias("n"))
+    alone = settle(rows.where("alone").select(F.col("doc_id").alias("_alone"), (F.col("n") > 1).alias("_many")), "alone")
+
+    def of(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs["doc_id"] == ids["_alone"], "left_semi")
+    # only texts of repeated ids are sorted
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return found.withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))
+    repeated = of(alone.where("_many")).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return of(alone.where("not _many")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
