@@ -9,12 +9,14 @@ commutative enough to be done by parts, so the tasks fold pages into partial wra
 wrappers of a host meet afterwards: a host with a third of all pages is spread over many tasks.
 
 Extraction parses the page again and drops what the tags say is not article (menus, footers,
-forms, scripts, ...), then what the wrapper says is template: texts outside the article's
-container that are fixed on the host.
+forms, scripts, ...) and, inside an article's container as well as outside, what the wrapper says
+is template: texts that are fixed on the host. Pages of one host with the same text count once, so
+copies of an article do not make it a template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -219,6 +221,12 @@ def folded(blocks: Iterable[Block]) -> list[tuple[Token, list[int]]]:
     return out
 
 
+def content(blocks: list[Block]) -> int:
+    """Identity of what a page says, whatever surrounds it: copies of an article are one page of evidence."""
+    texts = [b.text for b in blocks if b.inside and not b.around] or [b.text for b in blocks if not b.around]
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def aligned(one: Wrapper, other: Wrapper) -> Wrapper:
     """The wrapper both fit: common tokens stay, others become optional, unlike texts become slots."""
     if not one.pages or not other.pages:
@@ -258,6 +266,18 @@ def grown(wrapper: Wrapper, page: list[tuple[Token, list[int]]]) -> Wrapper:
     return aligned(wrapper, Wrapper([t for t, _ in page], 1))
 
 
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, identity and tokens of each page, without its texts."""
+    for batch in batches:
+        hosts, contents, tokens = [], [], []
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            blocks = parse(page.as_py().decode("utf-8", "replace"))
+            hosts.append(split_url(url)[0])
+            contents.append(content(blocks))
+            tokens.append(Wrapper([t for t, _ in folded(blocks)], 1).packed())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(tokens, pa.binary())], names=["host", "content", "tokens"])
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial wrappers of the hosts a task meets; handed on whenever there are many."""
     held: dict[str, Wrapper] = {}
@@ -266,9 +286,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([w.packed() for w in held.values()], pa.binary())], names=["host", "wrapper"])
 
     for batch in batches:
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host = split_url(url)[0]
-            held[host] = grown(held.get(host) or Wrapper(), folded(parse(page.decode("utf-8", "replace"))))
+        for host, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held[host] = grown(held.get(host) or Wrapper(), [(t, []) for t in Wrapper.unpacked(tokens).tokens])
         if len(held) > 2_000:
             yield out()
             held.clear()
@@ -302,11 +321,15 @@ def _hosts(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
 def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     """(host, wrapper) of every host, from all its pages. The pages of unreadable urls are one host, ``""``.
 
-    Pages fold where they lie; only wrappers move, a host's first to ``salts`` tasks, then to one.
+    Pages move without their texts, to meet their copies. What is left folds where it lies; then only wrappers
+    move, a host's first to ``salts`` tasks, then to one.
     """
     kind = "host string, wrapper binary"
     read = pages.select(F.col("url").cast("string").alias("url"), as_bytes("html").alias("html"))
-    partial = read.mapInArrow(_partial, kind)
+    pages = read.mapInArrow(_skeletons, "host string, content bigint, tokens binary")
+    # of copies the least is taken, so that a task that runs again meets the same tokens
+    distinct = pages.groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
+    partial = distinct.select("host", "tokens").mapInArrow(_partial, kind)
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).repartition("host", "salt").sortWithinPartitions("host", "salt")
     fewer = salted.select("host", "wrapper").mapInArrow(_merged, kind)
     return fewer.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, kind)
@@ -315,24 +338,33 @@ def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
 def main_text(page: str, wrapper: Wrapper | None) -> str:
     """The article's blocks joined by blank lines.
 
-    With an article container, its blocks; without one, what the host's wrapper shows to vary, or
-    with too few pages of the host, whatever the tags do not exclude.
+    What the tags exclude and what is fixed on the host goes. If an article container holds some of
+    the rest, the article is what it holds; else it is all the rest. A host with too few pages has
+    nothing fixed.
     """
     blocks = parse(page)
     wanted = [not b.around for b in blocks]
+    if wrapper is not None and wrapper.pages >= LEAST_PAGES:
+        own = folded(blocks)
+        for known, (token, numbers) in _places(wrapper, own):
+            if known.text is not None and known.text == token.text and known.pages >= LEAST_PAGES:
+                for i in numbers:
+                    wanted[i] = False
     if any(w and b.inside for w, b in zip(wanted, blocks, strict=True)):
         wanted = [w and b.inside for w, b in zip(wanted, blocks, strict=True)]
-    elif wrapper is not None and wrapper.pages >= LEAST_PAGES:
-        own = folded(blocks)
-        matcher = SequenceMatcher(None, [t.label for t in wrapper.tokens], [t.label for t, _ in own], autojunk=False)
-        for a, b, n in matcher.get_matching_blocks():
-            for known, (token, numbers) in zip(wrapper.tokens[a:a + n], own[b:b + n], strict=True):
-                if known.text is not None and known.text == token.text and known.pages >= LEAST_PAGES:
-                    for i in numbers:
-                        wanted[i] = False
     return "\n\n".join(b.text for b, w in zip(blocks, wanted, strict=True) if w)
 
 
+def _places(wrapper: Wrapper, page: list[tuple[Token, list[int]]]) -> Iterator[tuple[Token, tuple[Token, list[int]]]]:
+    """Tokens of the wrapper beside those of a page that take their places."""
+    if _fits(wrapper, page):
+        yield from zip(wrapper.tokens, page, strict=True)
+        return
+    matcher = SequenceMatcher(None, [t.label for t in wrapper.tokens], [t.label for t, _ in page], autojunk=False)
+    for a, b, n in matcher.get_matching_blocks():
+        yield from zip(wrapper.tokens[a:a + n], page[b:b + n], strict=True)
+
+
 def _extract(pages: pa.Array, wrappers: pa.Array) -> pa.Array:
     texts, sizes, known, last = [], [], None, None
     for page, packed in zip(pages.to_pylist(), wrappers.to_pylist(), strict=True):

@@ -192,6 +192,19 @@ def test_wrapper_drops_what_a_host_repeats(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_wrapper_decides_inside_an_article_too(spark):
+    def page(i, story):
+        return f"<nav>N{i}</nav><article><div>Join our club</div><h1>Title {story}</h1><p>Story {story}</p><section>Call 555</section></article><div>Other {i}</div>"
+    # the copies of one article alone have a table, and a host of nothing but copies keeps its article
+    copied = "<article><h1>Twice told</h1><table><tr><td>cell</table></article>"
+    rows = [(i, "http://h.example/x", page(i, i)) for i in range(6)] + [(10 + i, "http://h.example/y", f"<nav>{i}</nav>{copied}") for i in range(4)]
+    rows += [(20 + i, "http://copies.example/", page(i, 0)) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got[3] == "Title 3\n\nStory 3"
+    assert all(got[10 + i] == "Twice told\n\ncell" for i in range(4))
+    assert all(got[20 + i] == "Join our club\n\nTitle 0\n\nStory 0\n\nCall 555" for i in range(5))
+
+
 def test_wrappers_merge_by_parts():
     def page(i):
         return html_extract.folded(html_extract.parse(f"<div>Menu</div><h1>T{i}</h1>" + "<p>x</p>" * (i % 4) + ("<table><tr><td>opt</table>" if i % 2 else "") + "<div class=f>End</div>"))
