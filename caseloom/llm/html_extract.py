@@ -12,6 +12,10 @@ Extraction parses the page again and drops what the tags say is not article (men
 forms, scripts, ...) and, inside an article's container as well as outside, what the wrapper says
 is template: texts that are fixed on the host. Pages of one host with the same text count once, so
 copies of an article do not make it a template.
+
+A wrapper holds a bounded number of tokens. What is fixed on a host is also counted in a table
+without bounds: for each place, an element with its neighbours or without, on how many pages it is
+and on how many of them a text stands there. So long pages lose no menu or footer to the bound.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from caseloom.llm.url_filter import split_url
 #: Partial wrappers of one host; bounds what one task folds of it, not what is folded.
 SALTS = 64
 #: Tokens of a wrapper. Longer alignments would add optional groups that hardly any page shares; such a
-#: wrapper keeps the tokens that most pages had.
+#: wrapper keeps the tokens that most pages had; fixed texts beyond them come from the table of places.
 MOST_TOKENS = 400
 #: Pages a text must be on, in the same place, to count as fixed.
 LEAST_PAGES = 3
+#: Share of the pages with a place that have one text there, for the text to count as fixed.
+FIXED_SHARE = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
@@ -177,6 +183,8 @@ class Token:
     repeated: bool = False
     optional: bool = False
     pages: int = 1
+    #: Of a page's token, the texts of its blocks.
+    held: list[int] = field(default_factory=list, compare=False)
 
 
 @dataclass
@@ -185,7 +193,7 @@ class Wrapper:
     pages: int = 0
 
     def packed(self) -> bytes:
-        rows = [f"{t.label}\t{'' if t.text is None else t.text}\t{int(t.repeated)}{int(t.optional)}\t{t.pages}" for t in self.tokens]
+        rows = [f"{t.label}\t{'' if t.text is None else t.text}\t{int(t.repeated)}{int(t.optional)}\t{t.pages}\t{','.join(map(str, t.held))}" for t in self.tokens]
         return zlib.compress("\n".join([str(self.pages), *rows]).encode(), 1)
 
     @staticmethod
@@ -193,8 +201,8 @@ class Wrapper:
         first, *rows = zlib.decompress(data).decode().split("\n")
         tokens = []
         for row in rows:
-            label, text, flags, pages = row.split("\t")
-            tokens.append(Token(label, int(text) if text else None, flags[0] == "1", flags[1] == "1", int(pages)))
+            label, text, flags, pages, held = row.split("\t")
+            tokens.append(Token(label, int(text) if text else None, flags[0] == "1", flags[1] == "1", int(pages), [int(h) for h in held.split(",")] if held else []))
         return Wrapper(tokens, int(first))
 
 
@@ -217,7 +225,23 @@ def folded(blocks: Iterable[Block]) -> list[tuple[Token, list[int]]]:
             out.append((Token(label, None), [i]))
             texts.append([b.text])
     for (token, _), held in zip(out, texts, strict=True):
-        token.text = hashed("\n".join(held))
+        token.held = [hashed(text) for text in held]
+        token.text = token.held[0] if len(held) == 1 else hashed("\n".join(held))
+    return out
+
+
+def _number(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b("\t".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def places(tokens: list[Token]) -> set[tuple[int, int | None]]:
+    """(place, text) of a page, and (place, None) of each place it has. A run of like elements stands between its
+    neighbours, each of its blocks wherever the page has such an element. A text's number covers its element."""
+    out: set[tuple[int, int | None]] = set()
+    for before, t, after in zip(["", *[t.label for t in tokens[:-1]]], tokens, [*[t.label for t in tokens[1:]], ""], strict=False):
+        between, anywhere = _number(before, t.label, after), _number(t.label)
+        out |= {(between, None), (anywhere, None), (between, _number(t.label, t.text))}
+        out.update((anywhere, _number(t.label, text)) for text in t.held)
     return out
 
 
@@ -287,7 +311,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[host] = grown(held.get(host) or Wrapper(), [(t, []) for t in Wrapper.unpacked(tokens).tokens])
+            held[host] = grown(held.get(host) or Wrapper(), [(Token(t.label, t.text, t.repeated), []) for t in Wrapper.unpacked(tokens).tokens])
         if len(held) > 2_000:
             yield out()
             held.clear()
@@ -295,6 +319,35 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and texts of the pages a task meets."""
+    for batch in batches:
+        hosts, at, texts = [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(at, pa.int64()), pa.array(texts, pa.int64())], names=["host", "place", "text"])
+
+        for host, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for place, text in places(Wrapper.unpacked(tokens).tokens):
+                hosts.append(host)
+                at.append(place)
+                texts.append(text)
+            if len(at) > 100_000:
+                yield out()
+                hosts, at, texts = [], [], []
+        yield out()
+
+
+def _fixed(distinct: DataFrame) -> DataFrame:
+    """(host, fixed): the numbers of the texts that are fixed on a host. A place has at most one of a run and about
+    as many of blocks as a page has, so a host's row does not grow with its pages."""
+    seen = distinct.select("host", "tokens").mapInArrow(_placed, "host string, place bigint, text bigint")
+    counted = settle(seen.groupBy("host", "place", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "places")
+    whole = counted.where("text is null").select("host", "place", F.col("n").alias("pages"))
+    fixed = counted.where("text is not null").join(whole, ["host", "place"]).where(F.col("n") >= FIXED_SHARE * F.col("pages"))
+    return fixed.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("text")).cast("array<string>"), ",").alias("fixed"))
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges neighbouring wrappers of a host in sorted input; keeps one at a time."""
     host, wrapper = None, Wrapper()
@@ -319,7 +372,7 @@ def _hosts(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
 
 
 def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(host, wrapper) of every host, from all its pages. The pages of unreadable urls are one host, ``""``.
+    """(host, wrapper, fixed) of every host, from all its pages. The pages of unreadable urls are one host, ``""``.
 
     Pages move without their texts, to meet their copies. What is left folds where it lies; then only wrappers
     move, a host's first to ``salts`` tasks, then to one.
@@ -328,14 +381,15 @@ def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     read = pages.select(F.col("url").cast("string").alias("url"), as_bytes("html").alias("html"))
     pages = read.mapInArrow(_skeletons, "host string, content bigint, tokens binary")
     # of copies the least is taken, so that a task that runs again meets the same tokens
-    distinct = pages.groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
+    distinct = settle(pages.groupBy("host", "content").agg(F.min("tokens").alias("tokens")), "skeletons")
     partial = distinct.select("host", "tokens").mapInArrow(_partial, kind)
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).repartition("host", "salt").sortWithinPartitions("host", "salt")
     fewer = salted.select("host", "wrapper").mapInArrow(_merged, kind)
-    return fewer.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, kind)
+    whole = fewer.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, kind)
+    return whole.join(_fixed(distinct), "host", "left")
 
 
-def main_text(page: str, wrapper: Wrapper | None) -> str:
+def main_text(page: str, wrapper: Wrapper | None, fixed: frozenset[int] = frozenset()) -> str:
     """The article's blocks joined by blank lines.
 
     What the tags exclude and what is fixed on the host goes. If an article container holds some of
@@ -350,6 +404,12 @@ def main_text(page: str, wrapper: Wrapper | None) -> str:
             if known.text is not None and known.text == token.text and known.pages >= LEAST_PAGES:
                 for i in numbers:
                     wanted[i] = False
+    if fixed:
+        for token, numbers in folded(blocks):
+            whole = _number(token.label, token.text) in fixed
+            for i, text in zip(numbers, token.held, strict=True):
+                if whole or _number(token.label, text) in fixed:
+                    wanted[i] = False
     if any(w and b.inside for w, b in zip(wanted, blocks, strict=True)):
         wanted = [w and b.inside for w, b in zip(wanted, blocks, strict=True)]
     return "\n\n".join(b.text for b, w in zip(blocks, wanted, strict=True) if w)
@@ -365,12 +425,14 @@ def _places(wrapper: Wrapper, page: list[tuple[Token, list[int]]]) -> Iterator[t
         yield from zip(wrapper.tokens[a:a + n], page[b:b + n], strict=True)
 
 
-def _extract(pages: pa.Array, wrappers: pa.Array) -> pa.Array:
+def _extract(pages: pa.Array, wrappers: pa.Array, fixed: pa.Array) -> pa.Array:
     texts, sizes, known, last = [], [], None, None
-    for page, packed in zip(pages.to_pylist(), wrappers.to_pylist(), strict=True):
-        if packed is not None and packed != last:
-            known, last = Wrapper.unpacked(packed), packed
-        text = main_text(page.decode("utf-8", "replace"), known if packed is not None else None)
+    for page, packed, numbers in zip(pages, wrappers, fixed, strict=True):
+        host = packed.as_py(), numbers.as_py()
+        if host != last:
+            known = host[0] and Wrapper.unpacked(host[0]), frozenset(map(int, host[1].split(","))) if host[1] else frozenset()
+            last = host
+        text = main_text(page.as_py().decode("utf-8", "replace"), *known)
         texts.append(text)
         sizes.append(len(text))
     return struct_of(text=(texts, pa.string()), n_chars=(sizes, pa.int64()))
@@ -383,11 +445,11 @@ def extract_pages(pages: DataFrame, most_broadcast: int = 2_000) -> DataFrame:
     every row stays, repeated ones too. Up to ``most_broadcast`` hosts' wrappers are broadcast;
     more are joined by host, where Spark splits a host with many pages.
     """
-    pages = without(pages, "text", "n_chars", "host", "wrapper")
+    pages = without(pages, "text", "n_chars", "host", "wrapper", "fixed")
     wrappers = settle(infer_wrappers(pages), "wrappers")
     host = F.translate(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")),
                        "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     known = F.broadcast(wrappers) if wrappers.count() <= most_broadcast else wrappers
     joined = pages.withColumn("host", host).join(known, "host", "left")
-    done = joined.withColumn("_t", arrow_column(_extract, "struct<text:string,n_chars:bigint>", as_bytes("html"), F.col("wrapper")))
+    done = joined.withColumn("_t", arrow_column(_extract, "struct<text:string,n_chars:bigint>", as_bytes("html"), F.col("wrapper"), F.col("fixed")))
     return done.select(*[F.col(f"`{c}`") for c in pages.columns if c != "html"], "_t.*")

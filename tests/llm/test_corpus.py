@@ -205,6 +205,16 @@ def test_wrapper_decides_inside_an_article_too(spark):
     assert all(got[20 + i] == "Join our club\n\nTitle 0\n\nStory 0\n\nCall 555" for i in range(5))
 
 
+def test_fixed_texts_of_long_pages(spark):
+    def page(i):
+        rows = "".join(f"<p>Line {i}.{k}</p>{'<pre>code</pre>' * ((i + k) % 3 == 0)}<ul><li>Item {i}.{k}</ul>" for k in range(300))
+        return f"<div>Menu</div>{rows}<div>Imprint</div>"
+    rows = [(i, "http://h.example/x", page(i)) for i in range(8)]
+    for parts in (1, 8):
+        for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect():
+            assert r.text.startswith(f"Line {r.page_id}.0") and r.text.endswith(f"Item {r.page_id}.299")
+
+
 def test_wrappers_merge_by_parts():
     def page(i):
         return html_extract.folded(html_extract.parse(f"<div>Menu</div><h1>T{i}</h1>" + "<p>x</p>" * (i % 4) + ("<table><tr><td>opt</table>" if i % 2 else "") + "<div class=f>End</div>"))
