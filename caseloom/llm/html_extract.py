@@ -54,11 +54,15 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: An opening tag of the first closes an open element of the second.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "summary", "figcaption"}
-#: Classes, ids and roles of what surrounds an article.
+#: Classes and ids of what surrounds an article. A name counts if all its parts do, beside parts that only say where
+#: or what kind of box it is: "site-footer" does, "has-sidebar" and "post-with-comments" do not.
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|respond|replies|discussion|consent|cookie|cookies|"
+    r"(?:^|(?<=\s))(?:{0}[_-]+)*(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|respond|replies|discussion|consent|cookie|cookies|"
     r"disclaimer|footer|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|promo|promoted|related|share|sharing|"
-    r"sidebar|social|sponsor|sponsored|subscribe|subscription|toolbar|widget|widgets|alert|login|signup|search|skip|hidden)(?:$|[\s_-])", re.I)
+    r"sidebar|social|sponsor|sponsored|subscribe|subscription|toolbar|widget|widgets|alert|login|signup|search|skip|hidden)(?:[_-]+(?:{0}|{1}))*(?:$|(?=\s))".format(
+        r"(?:site|page|main|global|primary|secondary|top|bottom|left|right|inner|outer|user|blog|post|article|google|[0-9]+)",
+        r"(?:ad|ads|banner|bar|block|box|button|buttons|comments|consent|container|area|content|footer|form|group|icons|item|items|link|links|list|menu|modal|nav|navigation|"
+        r"notice|panel|popup|post|posts|section|sidebar|signup|slot|text|to|unit|widget|widgets|wrap|wrapper)"), re.I)
 #: The same outside an article only: in one, they hold its title.
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|side|top|tags)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
@@ -92,23 +96,32 @@ class _Open:
     label: str
     around: bool
     inside: bool
+    #: Around by class names or ids alone, which an article or main element inside overrules.
+    guessed: bool = False
 
 
 def _element(tag: str, attributes: str, parent: _Open | None) -> _Open:
-    label, around, inside = tag, tag in SKIPPED, tag in ("article", "main")
+    label, around, inside, guessed = tag, tag in SKIPPED, tag in ("article", "main"), False
+    own = inside
     if attributes.strip():
         a = _named(attributes)
         named = f"{a.get('class', '')} {a.get('id', '')}".strip()
         if named:
             label = f"{tag}.{_SPACE.sub('.', re.sub(r'[0-9]+', '0', named))}"
         if tag not in ("article", "main", "body", "html"):
-            around = around or bool(AROUND.search(named)) or bool(HEADERS.search(named) and not (parent and parent.inside)) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" \
-                or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+            around = around or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+            guessed = not around and (bool(AROUND.search(named)) or bool(HEADERS.search(named) and not (parent and parent.inside)))
+            around = around or guessed
+        # an article may be a comment among comments
+        own = own and not AROUND.search(named)
         inside = inside or a.get("role", "").lower() in ("main", "article") or bool(ARTICLE.search(named)) and not around and tag not in ("body", "html")
     # a header inside an article holds its title; one outside is the site's
     if tag == "header" and parent is not None and parent.inside and not parent.around:
         around = False
-    return _Open(tag, label, around or bool(parent and parent.around), inside or bool(parent and parent.inside))
+    if parent is not None and parent.around and not (own and parent.guessed):
+        guessed = parent.guessed and (guessed or not around)
+        around = True
+    return _Open(tag, label, around, inside or bool(parent and parent.inside), guessed)
 
 
 def parse(page: str) -> list[Block]:
@@ -163,6 +176,8 @@ def parse(page: str) -> list[Block]:
                         break
                     if stack[i].tag in ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body") and stack[i].tag not in shut:
                         break
+            if tag in ("svg", "math") and found[3].rstrip().endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
                 stop = end.start() if end else size

@@ -179,6 +179,19 @@ def test_main_text(body, text):
     assert html_extract.main_text(PAGE % body, None) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='site has-sidebar'><article><p>Told</p></article></div>",
+    "<div class='no-sidebar'><p>Told</p></div>",
+    "<div class='post-with-comments'><main><p>Told</p></main></div><div class='site-footer'>End</div>",
+    "<div class='widget'><div><main><p>Told</p></main></div></div>",
+    "<article><svg/><p>Told</p><math display='block' /></article><svg><text>no</text></svg>",
+    "<article><p>Told</p></article><div class='comments'><article class='comment'><p>Nice</p></article></div>",
+    "<article><p>Told</p></article><div hidden><div class='ad'><article>no</article></div></div>",
+])
+def test_articles_in_boxes_named_after_their_neighbours(page):
+    assert html_extract.main_text(page, None) == "Told"
+
+
 def test_wrapper_drops_what_a_host_repeats(spark):
     def page(i):
         return f"<body><div>Welcome to us</div><div><h2>Title {i}</h2><p>Story {i}</p>{'<p>More</p>' * (i % 3)}</div><div>Call 555</div></body>"
