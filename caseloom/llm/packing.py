@@ -9,6 +9,7 @@ can be short.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,12 +24,14 @@ from caseloom.llm.common import settle, without
 VOCABULARY = "byte_bpe_50k"
 SEPARATOR = 1
 LENGTH = 2048
+#: White space on which tiktoken's backtracking could run out of stack; it does somewhere beyond 700,000 characters.
+LONG_BLANK = re.compile(r"\s{50000}")
 TOKENS = "doc_id bigint, task int, start_in_task bigint, doc_tokens bigint, ids binary"
 
 
 class _Encoder:
     """Byte-level BPE ids of whole texts: the vocabulary as ranks, and the tokenizer file itself
-    for texts that spell one of its special tokens."""
+    for texts that spell one of its special tokens or have a very long run of white space."""
 
     def __init__(self, name: str) -> None:
         import base64
@@ -45,8 +48,8 @@ class _Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        spelled = any(s in text for s in self.special)
-        return np.array(self.file.encode(text, add_special_tokens=False).ids if spelled else self.encode(text), "<u4").tobytes()
+        by_file = any(s in text for s in self.special) or len(text) >= 50000 and LONG_BLANK.search(text)
+        return np.array(self.file.encode(text, add_special_tokens=False).ids if by_file else self.encode(text), "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)

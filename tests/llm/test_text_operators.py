@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,9 @@ def test_packing(spark, docs):
         assert sorted(sequences) == list(range(len(sequences)))
     assert packing.pack_documents(docs).selectExpr("sum(length)").first()[0] > sum(map(len, want.values()))
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b"], ids=["blanks", "newlines", "both"])
+def test_very_long_white_space_is_encoded(text):
+    encoder = packing._encoder(packing.VOCABULARY)
+    assert encoder(text) == np.array(encoder.file.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
