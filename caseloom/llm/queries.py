@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from caseloom.llm import byte_bpe, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter
+from caseloom.llm import byte_bpe, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter, whitening
 from caseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.prepare(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    model = whitening.fit(rows)
+    explained = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    each = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
