@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from caseloom.llm import byte_bpe, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter, whitening
+from caseloom.llm import byte_bpe, decontaminate, hard_negatives, html_extract, licenses, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, url_filter, whitening
 from caseloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,37 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepare(table(spark, sf_dir, "embeddings"), label=label)
+    mined = hard_negatives.mine_hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+    scores = {c: F.expr(f"try_cast({c} as bigint)") for c in ("positive_score", "negative_score")}
+    return mined.withColumns(scores)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+with taken as (
+  select row_number() over () as nth, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * c::double) for c in embedding] as x
+  from embeddings
+  where label is not null and embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
+scored as (
+  select a.nth, a.vec_id as anchor_id, r.nth as other, r.vec_id as id, a.label = r.label as same, list_dot_product(a.x, r.x)::bigint as score
+  from taken a join taken r on a.nth <> r.nth
+  where a.vec_id % 50 = 0),
+positives as (
+  select nth, anchor_id, id as positive_id, other as positive, score as positive_score
+  from scored where same
+  qualify row_number() over (partition by nth order by score desc, id, other) <= 5),
+fits as (
+  select p.anchor_id, p.positive_id, s.id as negative_id, p.positive_score, s.score as negative_score,
+         row_number() over (partition by p.nth, p.positive order by s.score desc, s.id, s.other) as rank
+  from positives p join scored s on s.nth = p.nth and not s.same and 100 * s.score between 50 * p.positive_score and 95 * p.positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from fits where rank <= 3
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
