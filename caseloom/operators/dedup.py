@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.blanks import all_of, is_blank
 from caseloom.functions.numbers import money
-from caseloom.operators.spread import attach_by_key, row_total
+from caseloom.operators.spread import attach_by_key, row_total, split_repeated
 
 
 def distinct_rows(df: DataFrame, ignoring: list[str] | None = None, order: list[str] | None = None,
@@ -19,12 +19,16 @@ def distinct_rows(df: DataFrame, ignoring: list[str] | None = None, order: list[
     return keep_by_key(df, [c for c in df.columns if c not in ignoring], order or ignoring, keep)
 
 
-def keep_by_key(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
-    """One row per key (null equals null): the first or the last in ``order``."""
-    return _pick(df, keys, F.struct(*order), keep)
+def keep_by_key(df: DataFrame, keys: list[str], order: list[str], keep: str = "first", split: bool = False) -> DataFrame:
+    """One row per key (null equals null): the first or the last in ``order``; ``split`` as in ``keep_best``."""
+    return _pick(df, keys, F.struct(*order), keep, split)
 
 
-def _pick(df: DataFrame, keys: list[str], rank: Column, keep: str = "first") -> DataFrame:
+def _pick(df: DataFrame, keys: list[str], rank: Column, keep: str = "first", split: bool = False) -> DataFrame:
+    """With ``split`` only rows whose key occurs again go through the aggregation."""
+    if split:
+        alone, rivals = split_repeated(df, keys)
+        return alone.unionByName(_pick(rivals, keys, rank, keep))
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
@@ -61,12 +65,16 @@ def keys_usable_within(df: DataFrame, keys: list[str], within: list[str]) -> Col
 
 def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
               fallback_keys: list[str] | None = None, usable: Column | None = None,
-              within: list[str] | None = None) -> DataFrame:
+              within: list[str] | None = None, split: bool = False) -> DataFrame:
     """Per key the row with the highest amount, then the last form in the alphabet, then the first row.
 
     A key column that is blank on every row identifies nothing: then only ``fallback_keys``
-    count and their first row is kept. With ``within``, each group of rows decides that for itself. Row-order columns are numeric. Missing amounts and
-    forms rank last.
+    count and their first row is kept. With ``within``, each group of rows decides that for itself.
+    Row-order columns are numeric. Missing amounts and forms rank last.
+
+    With ``split`` the keys are counted first, as hashes, and rows that are alone under their key
+    pass as they are: only rivals are shuffled at full width. That reads ``df`` three times, the first time
+    its keys alone, so it pays for tables read from files in which most keys are unique.
     """
     fallback_keys = fallback_keys or order
     if usable is None:
@@ -75,11 +83,11 @@ def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, ord
     earliest = [(-F.col(c)).alias(c) for c in order]
     rank = F.struct(F.when(usable, F.struct(_summed(amounts).alias("amount"), F.col(form).alias("form")))
                     .alias("best"), *earliest)
-    return _pick(guarded, [*(within or []), *keys, "_guard"], rank, "last").drop("_guard")
+    return _pick(guarded, [*(within or []), *keys, "_guard"], rank, "last", split).drop("_guard")
 
 
 def keep_first_by_each(df: DataFrame, key_sets: list[list[str]], order: list[str],
-                       unique_on: list[str] | None = None) -> DataFrame:
+                       unique_on: list[str] | None = None, split: bool = False) -> DataFrame:
     """Keep the first row per key, for several keys in turn.
 
     Once rows are unique on some columns they are unique on every wider key, so such passes
@@ -89,7 +97,7 @@ def keep_first_by_each(df: DataFrame, key_sets: list[list[str]], order: list[str
     for keys in key_sets:
         if any(done <= set(keys) for done in settled):
             continue
-        df = keep_by_key(df, keys, order)
+        df = keep_by_key(df, keys, order, split=split)
         settled.append(set(keys))
     return df
 
@@ -111,10 +119,7 @@ def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str,
                  name: str = "_DELETED_DUP") -> DataFrame:
     """True on all rows but the best of each key; among equal amounts the form ranks ascending."""
     columns = df.columns
-    amount = _summed(amounts)
-    rank = F.struct(amount.isNull().alias("no_amount"), (-amount).alias("amount"),
-                    F.col(form).isNull().alias("no_form"), F.col(form).alias("form"),
-                    *[F.col(c) for c in order])
+    rank = F.struct(*_ascending(amounts, form, order))
     winners = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"), F.min(rank).alias("_best"))
     # rows that are alone under their key are their own winners and need no partner
     df = attach_by_key(df, winners.where("_weight > 1"), keys, "_weight", order, row_total(df))
@@ -122,19 +127,58 @@ def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str,
     return df.select(*columns, beaten.alias(name))
 
 
+def flag_groups(df: DataFrame, flags: dict[str, list[str]], row: str, deleted: str, keys: list[str], amounts: list[str],
+                form: str, order: list[str]) -> DataFrame:
+    """``flag_repeats`` for all ``flags`` and ``flag_deleted`` for ``keys`` in one go, for rows that ``row`` tells apart.
+
+    Every row is dealt out once per key set, as a hash of 128 bits and its row number, and counted. What comes
+    back is not the repeated keys but the rows that are alone under theirs, and the best row of each of
+    ``keys``: one row per key, so that a key with a third of all rows is one row per task and no join with it is
+    needed. Those marks meet per row, and then the rows themselves: three shuffles, one of them at full width.
+    """
+    best = _ascending(amounts, form, order)
+
+    def dealt(bit: int, names: list[str], rank: Column) -> Column:
+        # null and blank differ, and a null says in which column it stands
+        parts = [x for n in names for x in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+        return F.struct(F.xxhash64(F.lit(bit), *parts).alias("one"), F.xxhash64(F.lit(~bit), *parts).alias("two"),
+                        F.lit(bit).cast("byte").alias("bit"), rank.alias("rank"))
+
+    sets = [dealt(0, keys, F.struct(*best)), *[dealt(i, names, F.lit(None)) for i, names in enumerate(flags.values(), 1)]]
+    entries = df.select(F.col(row).alias("_of"), F.explode(F.array(*sets)).alias("k")).select("_of", "k.*")
+    counted = entries.groupBy("one", "two", "bit").agg(F.count(F.lit(1)).alias("n"), F.min("_of").alias("_first"),
+                                                       F.min(F.struct("rank", F.col("_of").alias("of"))).alias("_best"))
+    marked = counted.where("bit = 0 or n = 1").select(
+        F.when(F.col("bit") == 0, F.col("_best.of")).otherwise(F.col("_first")).alias(row), F.expr("shiftleft(1L, cast(bit as int))").alias("_mark"))
+    marks = marked.groupBy(row).agg(F.bit_or("_mark").alias("_marks"))
+    joined = df.join(marks, row, "left")
+
+    def unmarked(bit: int) -> Column:
+        return F.coalesce(F.getbit("_marks", F.lit(bit)), F.lit(0)) == 0
+
+    return joined.select(*[df[f"`{c}`"] for c in df.columns], unmarked(0).alias(deleted), *[unmarked(i).alias(f) for i, f in enumerate(flags, 1)])
+
+
+def _ascending(amounts: list[str], form: str, order: list[str]) -> list[Column]:
+    """What ranks the rows of a key where flags are set: the highest amount, then the first form, then the first row."""
+    amount = _summed(amounts)
+    return [amount.isNull().alias("no_amount"), (-amount).alias("amount"), F.col(form).isNull().alias("no_form"), F.col(form).alias("form"),
+            *[F.col(c) for c in order]]
+
+
 def drop_duplicates(df: DataFrame, id_col: str, violation: str, amounts: list[str], form: str,
-                    order: list[str], within: list[str] | None = None, usable: Column | None = None) -> DataFrame:
+                    order: list[str], within: list[str] | None = None, usable: Column | None = None, split: bool = False) -> DataFrame:
     """Trim ids, full-row distinct, then the best row per (id, violation), per ``within`` if given.
 
     Wider keys (with amount, names or address added) can find nothing further once rows are
     unique per (id, violation); where ids or violations are blank throughout, (id, violation,
     amount) decides and the other wider keys contain it. A full copy shares all keys, and the
     best row of a group is one of its first copies, so the full-row pass is part of the same
-    aggregation: one shuffle in all.
+    aggregation: one shuffle in all, and with ``split`` one of rivals alone.
     """
     df = df.withColumn(id_col, F.trim(id_col))
     keys = [id_col, violation]
-    return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]], usable=usable, within=within)
+    return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]], usable=usable, within=within, split=split)
 
 
 def mark_shared(df: DataFrame, keys: list[str], order: list[str], name: str = "shared") -> DataFrame:

@@ -18,6 +18,8 @@ from caseloom.functions.blanks import all_of
 
 HOT_SHARE = 0.001
 SALTS = 64
+#: Positions of the map of repeated keys: 2**26 bits are a million words, a broadcast of some 50 MB at most.
+MAP_BITS = 26
 
 
 def row_total(rows: DataFrame) -> Column:
@@ -57,6 +59,34 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight:
     )
 
 
+def split_repeated(rows: DataFrame, keys: list[str], map_bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows that are alone under their key, all others); null equals null.
+
+    Keys are counted as hashes, with partial counts. Those met again set bits in a map whose size is bounded
+    whatever the data, and which is broadcast; rows look their own bit up. A unique key that shares a
+    bit with a repeated one lands among the others, so these have to be settled as if nothing were known
+    of them; a row among the first is alone for certain. No row is shuffled here but as a hash.
+    """
+    parts = [x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]
+    hashed = F.xxhash64(*parts)
+
+    def place(h: Column) -> Column:
+        return F.pmod(h, F.lit(1 << map_bits))
+
+    def word(h: Column) -> Column:
+        return F.shiftright(place(h), 6)
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), place(h).cast("int").bitwiseAND(63))
+
+    counted = rows.select(hashed.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    words = counted.groupBy(word(F.col("_h")).alias("_word")).agg(F.bit_or(bit(F.col("_h"))).alias("_bits"))
+    looked = rows.withColumn("_h", hashed).withColumn("_at", word(F.col("_h"))).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    again = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0, F.lit(False))
+    columns = [f"`{c}`" for c in rows.columns]
+    return looked.where(~again).select(*columns), looked.where(again).select(*columns)
+
+
 def group_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column],
                  spread_by: list[str]) -> DataFrame:
     """Each row with the totals of its group, without gathering the group."""

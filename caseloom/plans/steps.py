@@ -12,7 +12,7 @@ from caseloom.functions.money import wages_owed
 from caseloom.functions.numbers import clean_number
 from caseloom.operators.agency import infer_agency
 from caseloom.operators.classify import infer_detail, infer_industry
-from caseloom.operators.dedup import drop_duplicates, drop_shared_duplicates, flag_deleted, flag_repeats, mark_shared
+from caseloom.operators.dedup import drop_duplicates, drop_shared_duplicates, flag_groups, mark_shared
 from caseloom.operators.filters import date_window, in_region, in_years, label_in, open_cases
 from caseloom.operators.flags import infer_signatories, prevailing_flag
 from caseloom.operators.impute import count_violations, fill_penalties, fill_wages, owed_amounts, wage_means
@@ -66,7 +66,7 @@ def typed(df: DataFrame, upper: list[str], zip_col: str = "zip_cd", numbers: dic
 
 
 DEDUP = ("case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
-SHARED, YEAR, DETAIL = "shared", "start_year", "industry_detail"
+SHARED, YEAR, DETAIL, DELETED = "shared", "start_year", "industry_detail", "_DELETED_DUP"
 
 
 def clean_step(df: DataFrame, loose: bool = False, flag_only: bool = False) -> DataFrame:
@@ -100,8 +100,7 @@ def with_duplicate_flags(df: DataFrame) -> DataFrame:
     flags = {**GROUP_FLAGS, **AMOUNT_FLAGS}
     case, violation, amounts, form, order = DEDUP
     df = df.withColumn(case, F.trim(case))
-    deleted = flag_deleted(df, [L.SOURCE, case, violation], amounts, form, order)
-    return flag_repeats(deleted, flags, ORDER)
+    return flag_groups(df, flags, L.ROW, DELETED, [L.SOURCE, case, violation], amounts, form, order)
 
 
 def infer_step(df: DataFrame, places: list[Place], industries: list[Rule], with_zips: bool = True) -> DataFrame:

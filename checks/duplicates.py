@@ -54,6 +54,18 @@ def dedup_keep_best(spark: SparkSession, sf: str) -> DataFrame:
     return _coarse(spark, sf, COARSE)
 
 
+# ids repeat seldom here: only the rivals are ranked, the other rows pass as they are
+RARE = {**COARSE, "case_id_1": ("", "concat(' ', case when l_orderkey % 23 = 0 then 'X' || cast(l_orderkey % 46 as varchar(20)) else "
+                                    "cast(l_orderkey as varchar(20)) || '-' || cast(l_linenumber as varchar(20)) end)")}
+
+
+@query("dedup_rivals_only", _best_sql(RARE, "case_id_1, violation"))
+def dedup_rivals_only(spark: SparkSession, sf: str) -> DataFrame:
+    df = cases(spark, sf, COARSE_COLUMNS, RARE)
+    return D.drop_duplicates(df, "case_id_1", "violation", ["bw_amt", "interest_owed"], "form", ORDER, split=True).select(
+        "case_id_1", "violation", F.coalesce("form", F.lit("none")).alias("form"), num("bw_amt"), *ORDER)
+
+
 # no violation is ever given: duplicates are not ranked, only (id, violation, amount) counts; full copies go first
 @query("dedup_blank_key", f"""WITH {cases_sql(COARSE_BLANK)}, trimmed AS (SELECT * REPLACE (trim(case_id_1) AS case_id_1) FROM cases),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id_1, violation, bw_amt ORDER BY ord1, ord2, ord3) AS rn FROM trimmed)
@@ -71,7 +83,7 @@ def dedup_wide_keys(spark: SparkSession, sf: str) -> DataFrame:
     df = cases(spark, sf, ["case_id_1", "legal_nm", "trade_nm", "street_addr", "violation", "bw_amt", *ORDER])
     keys = [["case_id_1", "violation", "bw_amt"], ["case_id_1", "trade_nm", "street_addr", "violation", "bw_amt"],
             ["case_id_1", "legal_nm", "street_addr", "violation", "bw_amt"]]
-    return D.keep_first_by_each(df, keys, ORDER).select("case_id_1", "legal_nm", "violation", num("bw_amt"), "ord3")
+    return D.keep_first_by_each(df, keys, ORDER, split=True).select("case_id_1", "legal_nm", "violation", num("bw_amt"), "ord3")
 
 
 # two sources report the same lines; the cross-source pass keeps one of each

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import dedup as D
-from caseloom.operators.spread import attach_by_key, group_totals, row_total
+from caseloom.operators.spread import attach_by_key, group_totals, row_total, split_repeated
 
 SCHEMA = "case_id_1 string, violation string, bw_amt double, interest_owed double, Businesstype string, source string, _row long"
 DEDUP = ("case_id_1", "violation", ["bw_amt", "interest_owed"], "Businesstype", ["_row"])
@@ -116,3 +116,62 @@ def test_group_totals_treat_null_as_a_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, _row long")
     got = group_totals(df, ["k"], {"n": F.count(F.lit(1))}, ["_row"]).orderBy("_row").collect()
     assert [r["n"] for r in got] == [2, 2, 1]
+
+
+def shuffled(df):
+    """What the plan shuffles at full width: lines of exchanges that no broadcast stands above."""
+    lines, hidden, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), None, []
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if hidden is not None and depth <= hidden:
+            hidden = None
+        if hidden is None and "BroadcastExchange" in line:
+            hidden = depth
+        if hidden is None and "Exchange hashpartitioning" in line:
+            out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("bits", [26, 6])
+def test_rows_alone_under_their_key_are_not_shuffled(spark, bits):
+    """With a map of 64 bits nearly all keys look repeated; then all are ranked, and the rows are the same."""
+    data = [(f"u{i}" if i % 5 else "hot", "v" if i % 7 else None, float(i % 3), 0.0, "", "a", i) for i in range(1500)]
+    df = spark.createDataFrame(data, SCHEMA)
+    alone, rivals = split_repeated(df, ["case_id_1", "violation"], bits)
+    counts = {}
+    for r in data:
+        counts[r[:2]] = counts.get(r[:2], 0) + 1
+    repeated = {r[6] for r in data if counts[r[:2]] > 1}
+    assert set(ids(rivals)) >= repeated and sorted(ids(alone) + ids(rivals)) == list(range(1500))
+    if bits == 26:
+        assert set(ids(rivals)) == repeated
+    assert not shuffled(alone) and alone.columns == df.columns
+
+
+@pytest.mark.parametrize("within", [False, True])
+@pytest.mark.parametrize("blank", [False, True])
+def test_split_keeps_the_same_rows(spark, within, blank):
+    """A third of the rows share a key; unique keys, null ids and blank violations beside it."""
+    data = [*rows(blank_violation=blank), *[(f"once{i}", "" if blank else "v", 1.0, 0.0, "", "a", 1000 + i) for i in range(300)],
+            *[(None, "" if blank else "v", 1.0, 0.0, "", "a", 2000 + i) for i in range(3)]]
+    df = spark.createDataFrame(data, SCHEMA)
+    by = ["source"] if within else None
+    whole, split = D.drop_duplicates(df, *DEDUP, within=by), D.drop_duplicates(df, *DEDUP, within=by, split=True)
+    assert ids(split) == ids(whole)
+    # one exchange of rivals; what decides whether keys count at all is a scalar or broadcast
+    assert len([x for x in shuffled(split) if "case_id_1" in x]) == 1
+    sets = [["case_id_1", "violation"], ["source", "bw_amt"]]
+    assert ids(D.keep_first_by_each(df, sets, ["_row"], split=True)) == ids(D.keep_first_by_each(df, sets, ["_row"]))
+
+
+def test_flags_in_one_go_equal_flags_one_by_one(spark):
+    data = [*rows(900, seed=8), *[(None, "v", 1.0, 0.0, "", "a", 5000), ("", "v", 1.0, 0.0, "", "a", 5001), (None, "v", 1.0, 0.0, "", "a", 5002)]]
+    df = spark.createDataFrame(data, SCHEMA)
+    flags = {"rep": ["case_id_1"], "odd name": ["source", "bw_amt", "case_id_1"], "rep3": ["violation", "Businesstype", "interest_owed", "_row"]}
+    keys, amounts = ["source", "case_id_1", "violation"], ["bw_amt", "interest_owed"]
+    once = D.flag_groups(df, flags, "_row", "_DELETED_DUP", keys, amounts, "Businesstype", ["_row"])
+    each = D.flag_repeats(D.flag_deleted(df, keys, amounts, "Businesstype", ["_row"]), flags, ["_row"])
+    assert once.columns == each.columns
+    assert sorted(map(tuple, once.collect()), key=lambda r: r[6]) == sorted(map(tuple, each.collect()), key=lambda r: r[6])
+    assert len(shuffled(once.select("*"))) == 3
+    assert once.where("false").count() == 0 and D.flag_groups(df.limit(0), flags, "_row", "d", keys, amounts, "Businesstype", ["_row"]).count() == 0

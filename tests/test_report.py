@@ -31,7 +31,7 @@ def test_requests():
                                             "YEAR_START": "2016/05/01", "YEAR_END": "today", "include_tables": "1"}
     o = options_from(request)
     assert (o.year_start, o.year_end, o.include_tables, o.target_organization) == (date(2016, 5, 1), None, True, "A|B")
-    assert labels_for(o.target_industry) == ["Real_Estate"]
+    assert labels_for(o.target_industry) == ["Real_estate"]
     with pytest.raises(ValueError, match="YEAR_END"):
         options_from({k: v for k, v in request.items() if k != "YEAR_END"})
 
