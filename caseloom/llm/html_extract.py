@@ -10,12 +10,15 @@ wrappers of a host meet afterwards: a host with a third of all pages is spread o
 
 Extraction parses the page again and drops what the tags say is not article (menus, footers,
 forms, scripts, ...) and, inside an article's container as well as outside, what the wrapper says
-is template: texts that are fixed on the host. Pages of one host with the same text count once, so
-copies of an article do not make it a template.
+is template: texts that are fixed on the host. Fixed is a share of all distinct pages of the host, not of
+the few that have such an element; pages of one host with the same text count once, so copies of an
+article do not make it a template. A fixed text goes only if something else speaks for a notice, an advert
+or a menu: it stands at the edge of the article, it is all links, or its kind of element holds nothing else on the
+page. Headings with the article's own text after them stay, whatever their share.
 
 A wrapper holds a bounded number of tokens. What is fixed on a host is also counted in a table
-without bounds: for each place, an element with its neighbours or without, on how many pages it is
-and on how many of them a text stands there. So long pages lose no menu or footer to the bound.
+without bounds: for each place, an element with its neighbours or without, on how many of the host's
+pages a text stands there. So the bound costs no page its menu or footer and no article a line.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -40,10 +44,13 @@ SALTS = 64
 #: Tokens of a wrapper. Longer alignments would add optional groups that hardly any page shares; such a
 #: wrapper keeps the tokens that most pages had; fixed texts beyond them come from the table of places.
 MOST_TOKENS = 400
-#: Pages a text must be on, in the same place, to count as fixed.
+#: Distinct pages a text must be on, in the same place, to count as fixed.
 LEAST_PAGES = 3
-#: Share of the pages with a place that have one text there, for the text to count as fixed.
-FIXED_SHARE = 0.9
+#: Share of all distinct pages of the host that have a text in one place, for it to count as fixed inside an
+#: article's container, and on pages without one.
+FIXED_SHARE = 0.8
+LOOSE_SHARE = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption summary legend figcaption".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
@@ -81,6 +88,12 @@ class Block:
     text: str
     around: bool
     inside: bool
+    #: All of its text is links.
+    linked: bool = False
+
+    @property
+    def heading(self) -> bool:
+        return bool(self.path) and self.path[-1].split(".", 1)[0] in HEADINGS
 
 
 def _named(attributes: str) -> dict[str, str]:
@@ -129,6 +142,7 @@ def parse(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[_Open] = []
     words: list[str] = []
+    plain: list[str] = []
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
@@ -136,13 +150,16 @@ def parse(page: str) -> list[Block]:
         if text:
             top = stack[-1] if stack else _Open("", "", False, False)
             held = [e for e in stack if e.tag in BLOCKS]
-            blocks.append(Block(tuple(e.label for e in held), text, top.around, top.inside))
+            blocks.append(Block(tuple(e.label for e in held), text, top.around, top.inside, not plain))
+        plain.clear()
 
     def add(text: str) -> None:
         """Text of the block, unless an element inside the block is itself around the article."""
         if stack and stack[-1].around and not next((e.around for e in reversed(stack) if e.tag in BLOCKS), False):
             return
         words.append(text)
+        if text.strip() and not plain and not any(e.tag == "a" for e in stack):
+            plain.append(text)
 
     at, size = 0, len(page)
     while at < size:
@@ -249,14 +266,13 @@ def _number(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\t".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def places(tokens: list[Token]) -> set[tuple[int, int | None]]:
-    """(place, text) of a page, and (place, None) of each place it has. A run of like elements stands between its
-    neighbours, each of its blocks wherever the page has such an element. A text's number covers its element."""
-    out: set[tuple[int, int | None]] = set()
+def places(tokens: list[Token]) -> set[tuple[int, int]]:
+    """(place, text) of a page. A run of like elements stands between its neighbours, each of its blocks wherever the
+    page has such an element. A text's number covers its element."""
+    out: set[tuple[int, int]] = set()
     for before, t, after in zip(["", *[t.label for t in tokens[:-1]]], tokens, [*[t.label for t in tokens[1:]], ""], strict=False):
-        between, anywhere = _number(before, t.label, after), _number(t.label)
-        out |= {(between, None), (anywhere, None), (between, _number(t.label, t.text))}
-        out.update((anywhere, _number(t.label, text)) for text in t.held)
+        out.add((_number(before, t.label, after), _number(t.label, t.text)))
+        out.update((_number(t.label), _number(t.label, text)) for text in t.held)
     return out
 
 
@@ -354,13 +370,15 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fixed(distinct: DataFrame) -> DataFrame:
-    """(host, fixed): the numbers of the texts that are fixed on a host. A place has at most one of a run and about
-    as many of blocks as a page has, so a host's row does not grow with its pages."""
+    """(host, fixed): the numbers of the texts that stand in one place on half of a host's pages or more, with 1 behind those
+    that do on nearly all. There are at most twice as many as a page has blocks on average, so a host's row does not
+    grow with its pages."""
     seen = distinct.select("host", "tokens").mapInArrow(_placed, "host string, place bigint, text bigint")
-    counted = settle(seen.groupBy("host", "place", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "places")
-    whole = counted.where("text is null").select("host", "place", F.col("n").alias("pages"))
-    fixed = counted.where("text is not null").join(whole, ["host", "place"]).where(F.col("n") >= FIXED_SHARE * F.col("pages"))
-    return fixed.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("text")).cast("array<string>"), ",").alias("fixed"))
+    counted = seen.groupBy("host", "place", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    whole = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    often = counted.join(whole, "host").where(F.col("n") >= LOOSE_SHARE * F.col("pages"))
+    best = often.groupBy("host", "text").agg(F.max((F.col("n") >= FIXED_SHARE * F.col("pages")).cast("int")).alias("all"))
+    return best.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "text", "all"))), ",").alias("fixed"))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,30 +422,65 @@ def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     return whole.join(_fixed(distinct), "host", "left")
 
 
-def main_text(page: str, wrapper: Wrapper | None, fixed: frozenset[int] = frozenset()) -> str:
+def main_text(page: str, wrapper: Wrapper | None, fixed: dict[int, bool] | None = None) -> str:
     """The article's blocks joined by blank lines.
 
-    What the tags exclude and what is fixed on the host goes. If an article container holds some of
-    the rest, the article is what it holds; else it is all the rest. A host with too few pages has
-    nothing fixed.
+    What the tags exclude goes, and of what is fixed on the host what looks like a template (``_template``). If an
+    article container holds some of the rest, the article is what it holds; else it is all the rest. A host with too few
+    pages has nothing fixed.
     """
     blocks = parse(page)
-    wanted = [not b.around for b in blocks]
+    own = folded(blocks)
+    # of each block: 2 fixed on nearly all pages of the host, 1 on half of them or more, 0 neither
+    share = [0] * len(blocks)
     if wrapper is not None and wrapper.pages >= LEAST_PAGES:
-        own = folded(blocks)
         for known, (token, numbers) in _places(wrapper, own):
-            if known.text is not None and known.text == token.text and known.pages >= LEAST_PAGES:
+            if known.text is not None and known.text == token.text and known.pages >= max(LEAST_PAGES, LOOSE_SHARE * wrapper.pages):
                 for i in numbers:
-                    wanted[i] = False
+                    share[i] = 2 if known.pages >= FIXED_SHARE * wrapper.pages else 1
     if fixed:
-        for token, numbers in folded(blocks):
-            whole = _number(token.label, token.text) in fixed
+        for token, numbers in own:
+            whole = fixed.get(_number(token.label, token.text))
             for i, text in zip(numbers, token.held, strict=True):
-                if whole or _number(token.label, text) in fixed:
-                    wanted[i] = False
-    if any(w and b.inside for w, b in zip(wanted, blocks, strict=True)):
-        wanted = [w and b.inside for w, b in zip(wanted, blocks, strict=True)]
-    return "\n\n".join(b.text for b, w in zip(blocks, wanted, strict=True) if w)
+                one = fixed.get(_number(token.label, text))
+                if whole is not None or one is not None:
+                    share[i] = max(share[i], 2 if whole or one else 1)
+    kept = [i for i, b in enumerate(blocks) if not b.around]
+    held = [i for i in kept if blocks[i].inside]
+    article = _without_template(blocks, held, share, 2)
+    if not any(blocks[i].inside for i in article):
+        article = _without_template(blocks, kept, share, 1)
+    return "\n\n".join(blocks[i].text for i in article)
+
+
+def _without_template(blocks: list[Block], numbers: list[int], share: list[int], least: int) -> list[int]:
+    """The numbers of blocks that stay, in order. A fixed block goes if it stands at an edge, is all links, or if all blocks of
+    its kind on the page are fixed. A fixed heading goes if nothing but such blocks follows it; where no container
+    bounds the article (``least`` 1), also if nothing else comes before it."""
+    fixed = {i for i in numbers if share[i] >= least}
+    if not fixed:
+        return numbers
+    own_kinds = {blocks[i].path for i in numbers if i not in fixed}
+    times = Counter((blocks[i].path, blocks[i].text) for i in numbers)
+    # a text of the article's own kind is a template at an edge if nearly all pages have it, and this one once
+    edged = {i for i in fixed if blocks[i].heading or blocks[i].linked or blocks[i].path not in own_kinds
+             or share[i] == 2 and times[blocks[i].path, blocks[i].text] == 1}
+    gone: set[int] = {i for i in fixed if not blocks[i].heading and (blocks[i].linked or blocks[i].path not in own_kinds)}
+    for i in numbers:  # the leading edge
+        if i not in edged:
+            break
+        if not blocks[i].heading or least == 1:
+            gone.add(i)
+    own = False  # whether a block of the article's own kinds came after
+    for i in reversed(numbers):  # the trailing edge
+        if i not in edged:
+            break
+        if not blocks[i].heading:
+            own |= blocks[i].path in own_kinds and not blocks[i].linked
+            gone.add(i)
+        elif not own:
+            gone.add(i)
+    return [i for i in numbers if i not in gone]
 
 
 def _places(wrapper: Wrapper, page: list[tuple[Token, list[int]]]) -> Iterator[tuple[Token, tuple[Token, list[int]]]]:
@@ -445,7 +498,8 @@ def _extract(pages: pa.Array, wrappers: pa.Array, fixed: pa.Array) -> pa.Array:
     for page, packed, numbers in zip(pages, wrappers, fixed, strict=True):
         host = packed.as_py(), numbers.as_py()
         if host != last:
-            known = host[0] and Wrapper.unpacked(host[0]), frozenset(map(int, host[1].split(","))) if host[1] else frozenset()
+            pairs = (x.split(":") for x in host[1].split(",")) if host[1] else ()
+            known = host[0] and Wrapper.unpacked(host[0]), {int(number): nearly == "1" for number, nearly in pairs}
             last = host
         text = main_text(page.as_py().decode("utf-8", "replace"), *known)
         texts.append(text)
