@@ -27,9 +27,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; every document stays."""
-    done = line_dedup.drop_shared_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    """Lines found in ten documents or more stay in the first one only; every document stays.
+
+    A document that would lose all it says is a copy as a whole: it keeps its text, so that the next stage can
+    choose which copy to keep, and no text is lost with all its copies.
+    """
+    done = line_dedup.drop_shared_lines(docs, keep_first=True)
+    says = F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")
+    text = F.when((F.col("n_dropped") > 0) & says, F.col("kept_text")).otherwise(F.col("text"))
     return _with_text(done.withColumn("text", text), docs.columns).select(docs.columns)
 
 

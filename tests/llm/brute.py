@@ -46,17 +46,23 @@ def quality(text: str | None) -> tuple:
             len(words) < 10 or 100 * len(repeated) > 20 * len(words))
 
 
-def shared_lines(docs: list[tuple], least: int = 10) -> dict:
+def shared_lines(docs: list[tuple], least: int = 10, keep_first: bool = False, spare_whole: bool = False) -> dict:
     def key(line: str) -> str:
         return line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(UPPER)
     seen = defaultdict(set)
     for doc_id, text in docs:
         for line in (text or "").split("\n"):
             seen[key(line)].add(doc_id)
+    first = {}
+    for doc_id, text in sorted(docs):
+        for at, line in enumerate((text or "").split("\n")):
+            first.setdefault(key(line), (doc_id, at))
     out = {}
     for doc_id, text in docs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not key(x) or len(seen[key(x)]) < least]
+        kept = [x for at, x in enumerate(lines) if not key(x) or len(seen[key(x)]) < least or keep_first and first[key(x)] == (doc_id, at)]
+        if spare_whole and not any(key(x) for x in kept):
+            kept = lines
         out[doc_id] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return out
 
