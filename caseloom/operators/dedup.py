@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,9 +183,20 @@ def drop_duplicates(df: DataFrame, id_col: str, violation: str, amounts: list[st
     return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]], usable=usable, within=within, split=split)
 
 
-def mark_shared(df: DataFrame, keys: list[str], order: list[str], name: str = "shared") -> DataFrame:
-    """True where a key occurs more than once, so that later passes can leave the rest alone."""
-    return flag_repeats(df, {name: keys}, order)
+def shared_keys(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Keys that occur more than once in all tables together, with ``_weight``, how often."""
+    narrow = reduce(DataFrame.unionByName, [t.select(*keys) for t in tables])
+    return narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight")).where("_weight > 1")
+
+
+def mark_shared(df: DataFrame, keys: list[str], order: list[str], name: str = "shared", known: DataFrame | None = None) -> DataFrame:
+    """True where a key occurs more than once, so that later passes can leave the rest alone.
+
+    ``known`` has the keys that several tables share, from ``shared_keys``; else those that repeat in ``df`` count.
+    """
+    repeated = (shared_keys([df], keys) if known is None else known).withColumn(name, F.lit(True))
+    marked = attach_by_key(df, repeated, keys, "_weight", order, row_total(df))
+    return marked.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def drop_shared_duplicates(df: DataFrame, shared: str, id_col: str, violation: str, amounts: list[str],

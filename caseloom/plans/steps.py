@@ -69,23 +69,33 @@ DEDUP = ("case_id_1", "violation", SORTED_BY, "Businesstype", ORDER)
 SHARED, YEAR, DETAIL, DELETED = "shared", "start_year", "industry_detail", "_DELETED_DUP"
 
 
+CROSS = ["case_id_1", "violation"]
+
+
 def clean_step(df: DataFrame, loose: bool = False, flag_only: bool = False) -> DataFrame:
     """Texts on one line and cleaned, types settled, duplicates within each source dropped.
 
     With ``flag_only`` every row stays: ``_DELETED_DUP`` marks those that would go, and six further
     flags name the keys they share with other rows.
-
-    Which cases several sources report is settled here as well, once per refresh: whether one
-    of them has to go depends on the sources a report uses, but which ones might does not.
     """
+    return settle_duplicates(clean_values(df, loose), flag_only)
+
+
+def clean_values(df: DataFrame, loose: bool = False) -> DataFrame:
+    """The half of the cleaning that looks at one row at a time."""
     df = clean_texts(one_line_texts(df), loose=loose)
-    df = typed(df, ["legal_nm", "trade_nm", "street_addr", "cty_nm", "st_cd"])
-    return with_duplicate_flags(df) if flag_only else drop_duplicates(df, *DEDUP, within=[L.SOURCE])
+    return typed(df, ["legal_nm", "trade_nm", "street_addr", "cty_nm", "st_cd"])
+
+
+def settle_duplicates(df: DataFrame, flag_only: bool = False, split: bool = False) -> DataFrame:
+    """The half that compares rows. ``split`` shuffles only rows that have a rival, for cleaned rows read from files."""
+    return with_duplicate_flags(df) if flag_only else drop_duplicates(df, *DEDUP, within=[L.SOURCE], split=split)
 
 
-def mark_cross_source(df: DataFrame) -> DataFrame:
-    """1 or 0, since a folder name cannot be read back as a boolean."""
-    return mark_shared(df, ["case_id_1", "violation"], ORDER, SHARED).withColumn(SHARED, F.col(SHARED).cast("int"))
+def mark_cross_source(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Which cases several sources report, settled once per refresh: whether one of them has to go depends on the
+    sources a report uses, but which ones might does not. 1 or 0, since a folder name cannot be read back as a boolean."""
+    return mark_shared(df, CROSS, ORDER, SHARED, known).withColumn(SHARED, F.col(SHARED).cast("int"))
 
 
 def across_sources(df: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def harmonise(df: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS) -> Da
         # a blank cell and a column the source lacks mean the same, or keys would not meet
         value = value.cast(kind)
         chosen.append((value if default is None else F.coalesce(value, F.lit(default).cast(kind))).alias(name))
-    keep = [F.col(c) for c in (L.SOURCE, L.ROW) if c in df.columns]
+    keep = [F.col(c) for c in (L.SOURCE, L.ROW, *L.PLACE) if c in df.columns]
     return home_state(df.select(*chosen, *keep))
 
 

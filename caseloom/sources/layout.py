@@ -9,6 +9,9 @@ TEXT, COUNT, AMOUNT = T.StringType(), T.DoubleType(), T.DecimalType(18, 2)
 # order of rows: the source's rank, then the position in its files
 ROW = "_row"
 SOURCE = "source"
+# where a landed row was read: file, part of the file, and a number that grows inside the part without gaps
+PART = ("_path", "_block")
+PLACE = (*PART, "_at")
 
 # fixed values: canonical columns with type and default
 COLUMNS: dict[str, tuple[T.DataType, object]] = {

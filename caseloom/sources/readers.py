@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.sources import layout as L
+from caseloom.sources.quoted import BYTE_ENCODINGS, read_records
+
 _OVERFLOW = "_overflow"
 
 
@@ -21,7 +24,7 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
     Lines with too many fields are dropped and short lines are padded. A spare column catches the
     extra field, so lines are told apart without reading them twice; a line whose only extra field
     is empty loses nothing and stays. ``multi_line`` allows line breaks inside quotes, at the price
-    of one task per file: a large source is best landed as several files.
+    of one task per file; ``read_placed`` reads the same rows without it.
     """
     if schema is None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
@@ -37,17 +40,37 @@ def read_plain(spark: SparkSession, path: str, rows: int | None = None) -> DataF
     return read_delimited(spark, path, rows=rows)
 
 
-def with_row_number(df: DataFrame, rank: int, name: str = "_row") -> DataFrame:
-    """A numeric row order: source rank, then path of the file, then place in the file.
+def placed(df: DataFrame) -> DataFrame:
+    """Rows straight from files with the place of each: file, part of the file, number inside the part."""
+    file, part, at = L.PLACE
+    return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(part), F.monotonically_increasing_id().alias(at))
+
+
+def number_placed(df: DataFrame, rank: int, name: str = L.ROW) -> DataFrame:
+    """A numeric row order in the place of places: source rank, then path of the file, then place in the file.
 
     Spark deals files and parts of files out by size and number of cores. Rows are therefore
     counted per part, and the parts put in the order of the files: the numbers are the same
-    however a run was split. ``df`` comes straight from files; the counts are one row per part.
+    however a run was split. The counts, one row per part, need the place columns alone.
     """
-    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-                       F.monotonically_increasing_id().alias("_at"))
-    parts = placed.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_path", "_block")) - F.col("_n")
-    offsets = parts.select("_path", "_block", (before - F.col("_first")).alias("_shift"))
-    numbered = placed.join(F.broadcast(offsets), ["_path", "_block"])
-    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.lit(rank).cast("long") * F.lit(1 << 58) + F.col("_at") + F.col("_shift")).alias(name))
+    part, at = list(L.PART), L.PLACE[-1]
+    counts = df.groupBy(*part).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*part)) - F.col("_n")
+    offsets = counts.select(*part, (before - F.col("_first")).alias("_shift"))
+    numbered = df.join(F.broadcast(offsets), part)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in L.PLACE]
+    return numbered.select(*kept, (F.lit(rank).cast("long") * F.lit(1 << 58) + F.col(at) + F.col("_shift")).alias(name))
+
+
+def with_row_number(df: DataFrame, rank: int, name: str = L.ROW) -> DataFrame:
+    """``number_placed`` for rows straight from files, which are read twice; a landed copy with its places is not."""
+    return number_placed(placed(df), rank, name)
+
+
+def read_placed(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """A source with the place of each row. Line breaks inside quotes cost no parallelism: one large file is read
+    by many tasks either way, but for encodings whose line breaks are not single bytes."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, encoding)])
+    if multi_line and encoding.upper() in BYTE_ENCODINGS:
+        return read_records(spark, path, schema, encoding)
+    return placed(read_delimited(spark, path, schema, encoding, multi_line=multi_line))

@@ -22,7 +22,7 @@ class SourceSpec:
     include: bool = True
     encoding: str = "UTF-8"
     rank: int = 0
-    #: line breaks inside quotes, as free text has them; such a source is read file by file
+    #: line breaks inside quotes, as free text has them; costs the landing two shuffles, no parallelism
     multi_line: bool = True
 
 

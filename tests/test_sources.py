@@ -186,3 +186,105 @@ def test_flag_mode_keeps_all_rows(spark):
     rows = {r["_row"]: r for r in clean_step(df, flag_only=True).collect()}
     assert [rows[i]["_DELETED_DUP"] for i in range(3)] == [True, False, False]
     assert [rows[i]["_DUP_PMT_REC"] for i in range(3)] == [True, True, False] and not any(r["_DUP_BW"] for r in rows.values())
+
+
+def _messy(rng, rows):
+    """Quoted breaks, commas, doubled and stray quotes, empty lines, fields too many and too few."""
+    fields = ["", "plain", '"a, b"', '"two\nlines"', '"say ""hi"" now"', 'in"ch 5"', '"x\n\n, ""y"",\nz"', '""', '"odd"tail', '"""start"', '"end"""']
+    out = ["id,note,more"]
+    for i in range(rows):
+        out += [f"{i},{rng.choice(fields)},{rng.choice(fields)}" + rng.choice(["", "", "", ",", ",extra", ",x,y"]), *[""] * (rng.random() < 0.1)]
+        out += [f"{i}s"] * (rng.random() < 0.1)
+    return out
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_quoted_breaks_are_read_alike_wherever_a_file_is_cut(spark, tmp_path, newline):
+    import random
+
+    from pyspark.sql import types as T
+
+    from caseloom.sources.quoted import read_records
+    from caseloom.sources.readers import number_placed
+    rng = random.Random(11)
+    for name, rows in (("a", 40), ("b", 0), ("c", 25)):
+        (tmp_path / f"{name}.csv").write_bytes("\n".join(_messy(rng, rows)).replace("\n", newline).encode() + newline.encode() * (name != "c"))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "note", "more")])
+    want = [tuple(r) for r in with_row_number(read_delimited(spark, str(tmp_path), schema, multi_line=True), 3).orderBy("_row").collect()]
+    assert len(want) > 50 and [r[3] - 3 * (1 << 58) for r in want] == list(range(len(want)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for size in ("128m", 41, 60, 97, 150):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = read_records(spark, str(tmp_path), schema)
+            assert [tuple(r) for r in number_placed(df, 3).orderBy("_row").collect()] == want, size
+            if size == 41:
+                assert df.select("_path", "_block").distinct().count() > 10  # one file, many parts
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
+def test_quoted_reading_of_other_encodings_and_open_quotes(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from caseloom.sources.quoted import read_records
+    from caseloom.sources.readers import read_placed
+    (tmp_path / "l.csv").write_bytes('id,näme\n1,"Señor\nCafé"\n2,"open\n3,x\n'.encode("ISO-8859-1"))
+    rows = read_placed(spark, str(tmp_path / "l.csv"), "ISO-8859-1", multi_line=True).orderBy("_at").collect()
+    assert [(r["id"], r["näme"]) for r in rows] == [("1", "Señor\nCafé"), ("2", "open\n3,x")]
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    with pytest.raises(ValueError, match="UTF-16"):
+        read_records(spark, str(tmp_path), schema, "UTF-16")
+    (tmp_path / "u.csv").write_bytes('id,n\n1,"a\nb"\n'.encode("UTF-16"))
+    assert read_placed(spark, str(tmp_path / "u.csv"), "UTF-16", multi_line=True).first()["n"] == "a\nb"
+
+
+def test_one_changed_source_renews_its_own_rows_and_the_marks(spark, landed, tmp_path):
+    import os
+    from pathlib import Path
+    root, day = str(tmp_path / "snap"), date(2023, 1, 10)
+    first = refresh_snapshot(spark, root, landed, day)
+    was = {s.tag: s for s in first.sources}
+
+    def touched(spec, text):
+        Path(spec.path).write_bytes(text.encode("ISO-8859-1"))
+        os.utime(spec.path, (2_000_000_000 + len(text), 2_000_000_000 + len(text)))
+
+    # a row that no other source has: the other source's files are carried over as they lie
+    touched(landed[1], STATE + "05-9,New Co,,#8,,,238160,Roofing Contractors,Issue 3,300,0,5,10,1/2/2021,,Open,,,,,Oakland,\n")
+    second = refresh_snapshot(spark, root, landed, day)
+    now = {s.tag: s for s in second.sources}
+    assert now["DOL_WHD"] == was["DOL_WHD"] and now["DIR_DLSE"].cases != was["DIR_DLSE"].cases
+    cases = {(r["case_id_1"], r["source"]): r for r in S.read_cases(spark, root).collect()}
+    assert len(cases) == 7 and cases["1001", "DOL_WHD"]["shared"] == 1 and cases["05-9", "DIR_DLSE"]["shared"] == 0
+    assert refresh_snapshot(spark, root, landed, day) == second
+
+    # the shared case goes: the other source is marked anew, not landed or cleaned again
+    touched(landed[1], STATE.replace("1001,ACME", "1099,ACME"))
+    third = refresh_snapshot(spark, root, landed, day)
+    marked = {s.tag: s for s in third.sources}["DOL_WHD"]
+    assert marked.cases != was["DOL_WHD"].cases and marked.raw == was["DOL_WHD"].raw and marked.taken_on == day
+    cases = {(r["case_id_1"], r["source"]): r for r in S.read_cases(spark, root).collect()}
+    assert cases["1001", "DOL_WHD"]["shared"] == 0 and len(cases) == 6
+    assert Path(marked.raw).exists() and Path(was["DOL_WHD"].cases).exists()  # the snapshot before still reads it
+    assert not Path(was["DIR_DLSE"].cases).exists()
+
+    # ages are those of the sources; switching one off leaves the other as it is
+    later = refresh_snapshot(spark, root, only(landed, "DOL_WHD"), date(2023, 1, 20))
+    assert later.sources == (marked,) and later.taken_on == date(2023, 1, 20)
+    assert refresh_snapshot(spark, root, only(landed, "DOL_WHD"), date(2023, 2, 11)).sources[0].taken_on == date(2023, 2, 11)
+    with pytest.raises(ValueError, match="switched on"):
+        refresh_snapshot(spark, root, only(landed, "nobody"), day)
+
+
+def test_refresh_can_flag_instead_of_delete(spark, landed, tmp_path):
+    root, day = str(tmp_path / "snap"), date(2023, 1, 10)
+    dropped = refresh_snapshot(spark, root, landed, day)
+    assert S.read_cases(spark, root).count() == 6
+    assert refresh_snapshot(spark, root, landed, day, flag_only=True) != dropped
+    rows = S.read_cases(spark, root).where("source = 'DIR_DLSE'").orderBy("_row").collect()
+    assert [(r["case_id_1"], r["_DELETED_DUP"], r["_Case_X"], r["_DUP_PMT_REC"]) for r in rows] == [
+        ("1001", False, False, False), ("05-7", True, False, True), ("05-7", False, False, True), ("05-8", False, False, False)]
+    tables = build_report(S.read_cases(spark, root), ReportOptions(target_industry="Construction", year_start=date(2019, 1, 1), year_end=day, include_summaries=True), day)
+    assert tables["summary"].first()["cases"] == 2
