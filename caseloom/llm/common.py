@@ -49,6 +49,46 @@ def arrow_column(fn: Callable[..., pa.Array], kind: str, *columns: Column) -> Co
     return F.arrow_udf(fn, kind).asNondeterministic()(*columns)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` mentions it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` makes of each array element and all before it: a running sum, a running maximum.
+
+    The distance that is combined doubles each round, so n elements take log n rounds over the array. A fold that
+    appended each result would copy all before it for each element.
+    """
+    def rounds(all_values: Column) -> Column:
+        def one(done: Column, k: Column) -> Column:
+            step = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(done, lambda x, i: F.when(i >= step, combine(F.get(done, i - step), x)).otherwise(x))
+
+        last = F.ceil(F.log2(F.greatest(F.size(all_values), F.lit(2)))).cast("int") - 1
+        return F.aggregate(F.sequence(F.lit(0), last), all_values, one)
+
+    return let(values, rounds)
+
+
+def matches(text: Column, pattern: Column, group: int = 0) -> Column:
+    """Place of each match in code points, as (start, end, size): from the lengths of matches and of what is between
+    them; ``size`` is the length of the group. A text without a match is searched once."""
+    def placed(m: Column) -> Column:
+        lengths = F.zip_with(F.slice(m["between"], 1, F.size(m["whole"])), m["whole"], lambda b, w: b + w)
+        sized = F.zip_with(m["whole"], m["part"] if group else m["whole"], lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+        return F.zip_with(running(lengths, lambda a, b: a + b), sized, lambda end, x: F.struct(
+            (end - x["w"]).alias("start"), end.alias("end"), x["p"].alias("size")))
+
+    def lengths_of(no: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, pattern, F.lit(no)), F.length)
+
+    parts = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("between"), lengths_of(0).alias("whole"),
+                     *([lengths_of(group).alias("part")] if group else []))
+    none = F.array().cast("array<struct<start:int,end:int,size:int>>")
+    return F.when(F.rlike(text, pattern), let(parts, placed)).otherwise(none)
+
+
 def as_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of a text, empty for null."""
     column = F.col(text) if isinstance(text, str) else text

@@ -3,8 +3,9 @@
 A rule is a label, a rank, a keyword and a regular expression. A document is first searched for
 the keywords; only rules whose keyword it has run their expression over it. Matches are
 intervals of the text. An interval inside one of a rule of the same or a better rank is
-suppressed, so that "GNU Lesser General Public License" is not also the general one. One fold over
-the intervals in order of start decides that, since only the furthest end per rank matters.
+suppressed, so that "GNU Lesser General Public License" is not also the general one. The running
+furthest end per rank over the intervals in order of start decides that. Licenses are known by SPDX
+tags, by grants and names, by addresses, and by sentences of their own texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import without
+from caseloom.llm.common import let, matches, running, without
 
 #: The phrases of the contract and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -96,6 +97,44 @@ FAMILIES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], tuple[str, ...]], .
 )
 
 
+#: Sentences that stand in the licenses themselves or in the notices they ask for, as words.
+SENTENCES: tuple[tuple[str, str], ...] = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3", "names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2", "you may not use this file except in compliance with the license"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3", "gnu lesser general public license as published by the free software foundation either version 3"),
+    ("agpl", "redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3"),
+    ("gfdl", "copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0"),
+    ("epl-1", "made available under the terms of the eclipse public license v1 0"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("postgresql", "distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify"),
+    ("wtfpl", "changing it is allowed as long as the name is changed"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("psf", "psf is making python available to licensee on an as is basis"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("afl", "licensed under the academic free license version"),
+    ("osl", "licensed under the open software license version"),
+    ("cc0", "has dedicated the work to the public domain by waiving all of his or her rights"),
+    ("odbl", "is made available under the open database license"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
+
 #: Words too frequent to look a document up by; a rule's keyword is another word of its expression.
 FREQUENT = frozenset("the of and is are in to into by you do what want new free all license licence public version software general".split())
 
@@ -103,7 +142,7 @@ FREQUENT = frozenset("the of and is are in to into by you do what want new free
 @dataclass(frozen=True)
 class Rule:
     label: str
-    #: 0 for an SPDX tag, 1 for a base phrase or a grant, 2 for a name or an address.
+    #: 0 for an SPDX tag, 1 for a base phrase, a grant or a sentence of the license, 2 for a name or an address.
     rank: int
     #: A word that stands, whole, in every match.
     keyword: str
@@ -147,21 +186,11 @@ def rules() -> list[Rule]:
         for name in names:
             out.append(Rule(label, 1, _keyword(name), _bounded(_loose(_GRANTS + name))))
             out.append(Rule(label, 2, _keyword(name), _bounded(_loose(name))))
+        out += [Rule(label, 1, _keyword(words), phrase(words)) for of, words in SENTENCES if of == label]
         out += [Rule(label, 2, _keyword(u.split("/")[0].rsplit(".", 1)[0].replace(".", " ")), _bounded(re.escape(u))) for u in urls]
     return out
 
 
-def _places(text: Column, pattern: Column) -> Column:
-    """Start and end of each match, in code points: lengths of matches and of what is between."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(b.alias("b"), f.alias("f")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
-    return F.aggregate(pairs, start, lambda a, p: F.struct(
-        (a["at"] + p["b"] + p["f"]).alias("at"),
-        F.concat(a["all"], F.array(F.struct((a["at"] + p["b"]).alias("start"), (a["at"] + p["b"] + p["f"]).alias("end")))).alias("all")))["all"]
-
-
 def _table(of: list[Rule]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("no"), F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.keyword).alias("keyword"),
                               F.lit("(?i)" + r.pattern).alias("pattern"), F.lit(r.base).alias("base")) for i, r in enumerate(of)])
@@ -182,22 +211,26 @@ def scan_licenses(docs: DataFrame, of: list[Rule] | None = None, text: str = "te
     counted = docs.withColumn("_words", F.regexp_extract_all(F.lower(shown), F.lit(WORDS), F.lit(0)))
     counted = counted.withColumns({"n_words": F.size("_words").cast("bigint"), "_words": F.array_intersect("_words", keywords)})
     asked = F.filter(_table(of), lambda r: F.array_contains("_words", r["keyword"]))
-    places = F.array_sort(F.flatten(F.transform(asked, lambda r: F.transform(_places(shown, r["pattern"]), lambda p: F.struct(
+    places = F.array_sort(F.flatten(F.transform(asked, lambda r: F.transform(matches(shown, r["pattern"]), lambda p: F.struct(
         p["start"].alias("start"), (-p["end"]).alias("stop"), r["rank"].alias("rank"), r["no"].alias("no"), p["end"].alias("end"),
         r["label"].alias("label"), r["base"].alias("base"))))))
     none = F.array().cast("array<struct<start:int,stop:int,rank:int,no:int,end:int,label:string,base:boolean>>")
     found = counted.withColumn("_found", F.when(F.size("_words") > 0, places).otherwise(none))
     kind = "array<struct<start:int,end:int,rank:int,label:string>>"
-    begin = F.struct(F.array(*[F.lit(-1) for _ in SURE]).alias("reach"), F.array().cast(kind).alias("kept"))
 
-    def step(a: Column, d: Column) -> Column:
-        """``reach``: the furthest end so far of intervals of each rank or a better one."""
-        inside = F.element_at(a["reach"], d["rank"] + 1) >= d["end"]
-        return F.struct(
-            F.transform(a["reach"], lambda x, i: F.when(i >= d["rank"], F.greatest(x, d["end"])).otherwise(x)).alias("reach"),
-            F.when(inside, a["kept"]).otherwise(F.concat(a["kept"], F.array(_notice(d)))).alias("kept"))
+    def apart(all_found: Column) -> Column:
+        """Intervals that none before them, of the same or a better rank, reaches over."""
+        ends = F.transform(all_found, lambda d: F.struct(*[F.when(d["rank"] <= k, d["end"]).otherwise(-1).alias(f"r{k}") for k in range(len(SURE))]))
+        furthest = running(ends, lambda a, b: F.struct(*[F.greatest(a[f"r{k}"], b[f"r{k}"]).alias(f"r{k}") for k in range(len(SURE))]))
+
+        def judged(reach: Column) -> Column:
+            before = F.transform(all_found, lambda d, i: F.struct(d.alias("d"), F.get(reach, i - 1).alias("r")))
+            own = lambda x: F.coalesce(F.array(*[x["r"][f"r{k}"] for k in range(len(SURE))])[x["d"]["rank"]], F.lit(-1))
+            return F.transform(F.filter(before, lambda x: own(x) < x["d"]["end"]), lambda x: _notice(x["d"]))
+
+        return let(furthest, judged)
 
-    kept = F.when(F.size("_found") > 0, F.aggregate("_found", begin, step)["kept"]).otherwise(F.array().cast(kind))
+    kept = F.when(F.size("_found") > 0, apart(F.col("_found"))).otherwise(F.array().cast(kind))
     base = F.transform(F.filter("_found", lambda d: d["base"]), _notice)
     judged = found.withColumns({"notices": kept, "base": base}).drop("_words", "_found")
     ranked = F.transform(F.concat("notices", "base"), lambda d: d["rank"])

@@ -3,12 +3,14 @@
 Measures of each document go into mergeable quantile sketches per language and source: integer
 histograms whose buckets are exact for small values and logarithmic above. A sketch is a set of
 counts, so partial sketches of tasks, sources and languages merge by adding. Groups with few
-documents fall back on the merged sketch of their language, then of the corpus. A document is
-rejected where a measure lies far outside what its group shows.
+documents fall back on the merged sketch of their language, then of the corpus. Documents that the
+fixed rules reject anyway shape no threshold. A document is rejected where a measure lies further from
+its group's median than several times the distance of an upper (or lower) quantile of the group.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,26 +31,31 @@ _WEIGHS[list(SYMBOLS)] = 1
 
 @dataclass(frozen=True)
 class Fence:
-    """How far a measure may lie from its group's median: ``reach`` quartile distances.
+    """How far a measure may lie from its group's median: ``reach`` times the distance of the ``share`` quantile.
 
-    ``least`` is the smallest quartile distance that counts, so that a measure which is
-    nearly constant in a group does not reject ordinary variation.
+    Where that distance is nothing, as the measure is constant in the group up to this quantile,
+    ``least`` stands in for it.
     """
 
     measure: str
     value: str
     least: int
-    reach: int = 8
+    reach: int
+    share: float = 0.75
     below: bool = False
 
 
-#: Measures as integers: a value per 100 words or per 1000, or in tenths.
+#: Measures as integers: hundredths of a character, symbols per 100 words, lines and words per 1000. Junk is a
+#: few in a hundred of a source, so quartiles are taken where its values are extreme, and the 95th percentile where the
+#: fixed rules have rejected the extreme ones and what is left of the measure lies in the tail.
 FENCES = (
-    Fence("word_length", "m.word_chars * 10 div greatest(m.n_words, 1)", least=5, below=True),
-    Fence("symbols", "m.n_symbols * 100 div greatest(m.n_words, 1)", least=3),
-    Fence("dup_lines", "m.n_dup_lines * 1000 div greatest(m.n_lines, 1)", least=40),
-    Fence("repeats", "m.n_repeat_words * 1000 div greatest(m.n_words, 1)", least=25),
+    Fence("word_length", "m.word_chars * 100 div greatest(m.n_words, 1)", least=10, reach=12, below=True),
+    Fence("symbols", "m.n_symbols * 100 div greatest(m.n_words, 1)", least=3, reach=8),
+    Fence("dup_lines", "m.n_dup_lines * 1000 div greatest(m.n_lines, 1)", least=60, reach=4, share=0.95),
+    Fence("repeats", "m.n_repeat_words * 1000 div greatest(m.n_words, 1)", least=30, reach=4, share=0.95),
 )
+#: Values kept exactly, and buckets to each doubling beyond.
+EXACT, STEPS = 1024, 128
 
 
 def _repeated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +98,13 @@ def measures(text: str = "text") -> Column:
 
 
 def _bucket(value: Column) -> Column:
-    """Exact to 64, then 16 buckets to each doubling: relative error below 5 %."""
-    return F.when(value < 64, value).otherwise((F.log2(value) * 16).cast("bigint") - 32).cast("int")
+    """Exact to ``EXACT``, then ``STEPS`` buckets to each doubling: relative error below 0.6 %."""
+    return F.when(value < EXACT, value).otherwise(F.lit(EXACT) + F.floor((F.log2(value) - math.log2(EXACT)) * STEPS)).cast("int")
 
 
 def _floor_of(bucket: Column) -> Column:
     """The smallest value of a bucket."""
-    return F.when(bucket < 64, bucket.cast("double")).otherwise(F.pow(F.lit(2.0), (bucket + 32) / 16.0))
+    return F.when(bucket < EXACT, bucket.cast("double")).otherwise(F.pow(F.lit(2.0), (bucket - EXACT) / STEPS) * EXACT)
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -106,24 +113,31 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     ``measured`` has the struct of ``measures`` as column ``m``.
     """
     each = F.array(*[F.struct(F.lit(f.measure).alias("measure"), _bucket(F.expr(f.value)).alias("bucket")) for f in FENCES])
-    return (measured.where("m.n_words > 0").select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(each).alias("s"))
+    return (measured.where(F.expr("m.n_words > 0") & ~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(each).alias("s"))
             .groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count("*").alias("n")))
 
 
 def _quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Median and quartiles of each measure of a group, from merged counts. The counts of one
-    group are as many as there are buckets, however many documents it has."""
+    """Median, and the quantile of each measure's fence on both sides, of a group, from merged counts. The counts of
+    one group are as many as there are buckets, however many documents it has."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     held = merged.groupBy(*by, "measure").agg(F.sum("n").alias("docs"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
 
-    def at(share: float) -> Column:
+    upper = _of_measure("share")
+
+    def at(share: Column) -> Column:
         need = F.col("docs") * share
         found = F.aggregate(
             "counts", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("bucket")),
             lambda a, x: F.when(a["sum"] >= need, a).otherwise(F.struct((a["sum"] + x["n"]).alias("sum"), x["bucket"].alias("bucket"))))
         return _floor_of(found["bucket"])
 
-    return held.select(*by, "measure", "docs", at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    return held.select(*by, "measure", "docs", at(1 - upper).alias("q1"), at(F.lit(0.5)).alias("q2"), at(upper).alias("q3"))
+
+
+def _of_measure(name: str) -> Column:
+    """A number of the fence that a row's measure belongs to."""
+    return F.create_map(*[F.lit(x) for f in FENCES for x in (f.measure, getattr(f, name))])[F.col("measure")]
 
 
 def thresholds(sketch: DataFrame, min_docs: int = 200) -> DataFrame:
@@ -145,12 +159,12 @@ def thresholds(sketch: DataFrame, min_docs: int = 200) -> DataFrame:
     # the narrowest sketch that is large enough; where even the corpus is small, the corpus
     rank = F.when(F.col("docs") >= min_docs, F.col("level")).otherwise(F.lit(20) - F.col("level"))
     chosen = offered.groupBy("lang", "source", "measure").agg(F.min_by(F.struct("q1", "q2", "q3"), rank).alias("q"))
-    least = F.create_map(*[F.lit(x) for f in FENCES for x in (f.measure, f.least)])[F.col("measure")]
-    reach = F.create_map(*[F.lit(x) for f in FENCES for x in (f.measure, f.reach)])[F.col("measure")]
-    return chosen.select(
-        "lang", "source", "measure",
-        (F.col("q.q2") - reach * F.greatest(F.col("q.q2") - F.col("q.q1"), least)).alias("low"),
-        (F.col("q.q2") + reach * F.greatest(F.col("q.q3") - F.col("q.q2"), least)).alias("high"))
+
+    def spread(distance: Column) -> Column:
+        return _of_measure("reach") * F.when(distance > 0, distance).otherwise(_of_measure("least"))
+
+    return chosen.select("lang", "source", "measure", (F.col("q.q2") - spread(F.col("q.q2") - F.col("q.q1"))).alias("low"),
+                         (F.col("q.q2") + spread(F.col("q.q3") - F.col("q.q2"))).alias("high"))
 
 
 def by_group(limits: DataFrame) -> DataFrame:
