@@ -67,9 +67,21 @@ def split_repeated(rows: DataFrame, keys: list[str], map_bits: int = MAP_BITS) -
     bit with a repeated one lands among the others, so these have to be settled as if nothing were known
     of them; a row among the first is alone for certain. No row is shuffled here but as a hash.
     """
-    parts = [x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]
-    hashed = F.xxhash64(*parts)
+    counted = rows.select(_hashed(keys).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    return _split(rows, keys, counted.where("_n > 1"), map_bits)
 
+
+def split_listed(rows: DataFrame, keys: list[str], listed: DataFrame, map_bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is not in ``listed`` for certain, rows whose key may be): as ``split_repeated``, for a list
+    of keys of the same columns and types. What a shuffle join has to look at are the second ones alone."""
+    return _split(rows, keys, listed.select(_hashed(keys).alias("_h")), map_bits)
+
+
+def _hashed(keys: list[str]) -> Column:
+    return F.xxhash64(*[x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))])
+
+
+def _split(rows: DataFrame, keys: list[str], hashes: DataFrame, map_bits: int) -> tuple[DataFrame, DataFrame]:
     def place(h: Column) -> Column:
         return F.pmod(h, F.lit(1 << map_bits))
 
@@ -79,10 +91,10 @@ def split_repeated(rows: DataFrame, keys: list[str], map_bits: int = MAP_BITS) -
     def bit(h: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), place(h).cast("int").bitwiseAND(63))
 
-    counted = rows.select(hashed.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    words = counted.groupBy(word(F.col("_h")).alias("_word")).agg(F.bit_or(bit(F.col("_h"))).alias("_bits"))
-    looked = rows.withColumn("_h", hashed).withColumn("_at", word(F.col("_h"))).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
-    again = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_h"))) != 0, F.lit(False))
+    h = F.col("_h")
+    words = hashes.groupBy(word(h).alias("_word")).agg(F.bit_or(bit(h)).alias("_bits"))
+    looked = rows.withColumn("_h", _hashed(keys)).withColumn("_at", word(h)).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    again = F.coalesce(F.col("_bits").bitwiseAND(bit(h)) != 0, F.lit(False))
     columns = [f"`{c}`" for c in rows.columns]
     return looked.where(~again).select(*columns), looked.where(again).select(*columns)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import dedup as D
-from caseloom.operators.spread import attach_by_key, group_totals, row_total, split_repeated
+from caseloom.operators.spread import attach_by_key, group_totals, row_total, split_listed, split_repeated
 
 SCHEMA = "case_id_1 string, violation string, bw_amt double, interest_owed double, Businesstype string, source string, _row long"
 DEDUP = ("case_id_1", "violation", ["bw_amt", "interest_owed"], "Businesstype", ["_row"])
@@ -148,6 +148,17 @@ def test_rows_alone_under_their_key_are_not_shuffled(spark, bits):
     assert not shuffled(alone) and alone.columns == df.columns
 
 
+@pytest.mark.parametrize("bits", [26, 6])
+def test_rows_that_are_not_listed_are_not_shuffled(spark, bits):
+    df = spark.createDataFrame([(i if i % 50 else None, f"x{i}") for i in range(2000)], "k int, v string")
+    listed = spark.createDataFrame([(3 * i,) for i in range(100)] + [(3,)], "k int")
+    out, maybe = split_listed(df, ["k"], listed, bits)
+    assert not shuffled(out) and out.columns == df.columns
+    out, maybe = ({r.v for r in part.collect()} for part in (out, maybe))
+    assert maybe >= {f"x{3 * i}" for i in range(100) if 3 * i % 50} and len(out) + len(maybe) == 2000 and not out & maybe
+    assert bits < 26 or len(maybe) < 110
+
+
 @pytest.mark.parametrize("within", [False, True])
 @pytest.mark.parametrize("blank", [False, True])
 def test_split_keeps_the_same_rows(spark, within, blank):
