@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import FOLD, arrow_column, as_bytes, blocks, mixed, settle, shingles, struct_of, word_hashes
+from caseloom.llm.common import FOLD, arrow_column, as_bytes, blocks, mixed, release, settle, shingles, struct_of, word_hashes
+from caseloom.operators.spread import split_listed
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -40,9 +41,10 @@ RARE, LEAST_DOCS = 0.05, 20
 SKETCH_BITS = 16
 #: Entries of the tables the samples' random numbers come from.
 TABLE_BITS = 14
-#: Share of agreeing samples below which a candidate cannot be similar: at a weighted similarity of 0.8,
-#: fewer than half of 64 samples agree once in 10**7 pairs, at 0.73 once in 10**4.
-LEAST_AGREEING = 0.5
+#: Share of agreeing samples below which a candidate cannot be similar: fewer than 25 of 64 samples agree once in
+#: 10**12 pairs at a weighted similarity of 0.8, once in 10**5 at 0.66, which is what a plain 0.8 may come to
+#: where half of all texts are one group.
+LEAST_AGREEING = 0.4
 #: Shingles keep this many bits of their hash; the rest of 64 numbers the texts of a block.
 KEY_BITS = 52
 #: Leaders of a bucket in the turns after the first grow by this factor.
@@ -131,6 +133,7 @@ def shingle_weights(docs: DataFrame, rare: float = RARE) -> Weights:
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     counted = read.mapInArrow(_frequent(shared), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = counted.toPandas()
+    release(sketch)
     return Weights(n_docs, found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), rare)
 
 
@@ -201,10 +204,16 @@ def _signer(shared):
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, a 128-bit hash of the words in order, the numbers of words and of shingles, their weight, and the samples."""
+    """doc_id, a hash of the text as it stands, a 128-bit hash of its words in order, the numbers of words and of
+    shingles, their weight, and the samples."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, Sampler(weights.top)))
     signed = arrow_column(_signer(shared), "struct<w1:bigint,w2:bigint,n_words:bigint,n:bigint,weight:double,samples:array<int>>", as_bytes("text"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), signed.alias("s")).select("doc_id", "s.*")
+    return docs.select(*_own(), signed.alias("s")).select("doc_id", "t", "s.*")
+
+
+def _own() -> list[Column]:
+    """What a row is known by: its id and a hash of its text, since an id may be repeated with different texts."""
+    return [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t")]
 
 
 def _similar(shared, least: float):
@@ -231,14 +240,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     label of their label, so chains shorten by half each time."""
     both = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
     label = settle(nodes.select("id", F.col("id").alias("root")), "labels")
+    known = label
     while True:
         near = both.join(label.withColumnsRenamed({"id": "v", "root": "r"}), "v").groupBy("u").agg(F.min("r").alias("near"))
         passed = label.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
         jump = passed.select(F.col("id").alias("new"), F.col("new").alias("over"))
         after = settle(passed.join(jump, "new", "left").select("id", F.least("new", F.coalesce("over", "new")).alias("root"), F.col("root").alias("old")), "labels")
         changed = after.where("root <> old").limit(1).count()
-        label = after.select("id", "root")
+        release(known)
+        known, label = after, after.select("id", "root")
         if not changed:
+            release(both)
             return label
 
 
@@ -356,49 +368,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rare: float = RARE) -> DataFrame:
     """(doc_id, class_id) per row: the least doc_id of its class of copies and near copies.
 
-    Texts with the same words in the same order are copies. Texts without words are alone. Rows of
-    one doc_id share a class; rows without a doc_id get a null class. Other columns stay behind.
+    Texts with the same words in the same order are copies. Texts without words are alone. Rows that share a
+    doc_id and differ in text are texts of their own, each with the class it belongs to; rows without a doc_id get
+    a null class. Other columns stay behind.
     """
-    docs = docs.select("doc_id", "text")
+    signed, classes = _classified(docs.select("doc_id", "text"), similarity, rare)
+    # a group of copies is as skewed a key as the data has: Spark splits it, the other side being one row per group
+    joined = signed.select("doc_id", "n_words", "w1", "w2").join(classes.select("w1", "w2", F.col("first.doc_id").alias("class_id")), ["w1", "w2"], "left")
+    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+
+
+def _classified(docs: DataFrame, similarity: float, rare: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (w1, w2, first) of every text with words: ``first`` is the least doc_id of its
+    class, with the hash of that row's text."""
     weights = shingle_weights(docs, rare)
     signed = settle(signatures(docs, weights), "signatures")
-    unique = settle(signed.where("n_words > 0 and doc_id is not null").groupBy("w1", "w2")
-                    .agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("samples", "n", "weight")]), "unique")
+    # a text is known by its words, and numbered once they have been written
+    grouped = signed.where("n_words > 0 and doc_id is not null").groupBy("w1", "w2").agg(
+        F.min(F.struct("doc_id", "t")).alias("own"), *[F.first(c).alias(c) for c in ("samples", "n", "weight")])
+    unique = settle(grouped.withColumn("id", F.monotonically_increasing_id()), "unique")
     each = settle(_keys(unique), "bands")
     together = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    wanted = each.join(together, "bucket", "left_semi").select("id").distinct()
-    # an id that is repeated counts once, or its shingles would not look rare
-    found = docs.select(F.col("doc_id").cast("bigint").alias("id"), as_bytes("text").alias("text")).join(wanted, "id").dropDuplicates(["id"])
-    texts = settle(found.join(unique.select("id", "samples", "n", "weight").dropDuplicates(["id"]), "id"), "texts")
-    rare = settle(_rare_shingles(texts, weights), "rare")
-    known = texts.select("id", "n", "weight").dropDuplicates(["id"]).join(_rareness(rare), "id", "left").fillna(0, ["lone", "lone_weight", "few", "few_weight"])
+    wanted = unique.join(each.join(together, "bucket", "left_semi").select("id").distinct(), "id", "left_semi")
+    wanted = settle(wanted.select("own.*", "id", "samples", "n", "weight"), "wanted")
+    # of all texts only those that may be wanted move; a repeated row counts once, or its shingles would not look rare
+    _, maybe = split_listed(docs.select(*_own(), as_bytes("text").alias("text")), ["doc_id", "t"], wanted)
+    texts = settle(maybe.join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).drop("doc_id", "t"), "texts")
+    rare_ones = settle(_rare_shingles(texts, weights), "rare")
+    known = texts.select("id", "n", "weight").join(_rareness(rare_ones), "id", "left").fillna(0, ["lone", "lone_weight", "few", "few_weight"])
     possible = settle(known.where((F.col("n") - F.col("lone") >= similarity * F.col("n"))
                                   | (F.col("weight") - F.col("lone_weight") >= similarity * F.col("weight") - 1e-6)), "possible")
     members = settle(_members(each, possible), "members")
-    root = possible.select("id", F.col("id").alias("root"))
-    turn, tried = 0, None
+    release(each)
+    root, known_roots = possible.select("id", F.col("id").alias("root")), None
+    turn, tried, asked = 0, None, []
     while True:
         placed = members
         if turn:
-            placed = members.join(root, "id").join(unique.select("id", "samples").dropDuplicates(["id"]), "id")
+            placed = members.join(root, "id").join(wanted.select("id", "samples"), "id")
             apart = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
             beyond = MORE_LEADERS**(turn - 1) if turn > 1 else 2
             placed = settle(placed.where(F.col("size") > beyond).join(apart, "bucket", "left_semi"), "open-buckets")
             if not placed.limit(1).count():
+                release(placed)
                 break
-        pairs = _asked(placed, turn, similarity) if turn else _asked(placed, turn, similarity).union(_rare_pairs(rare, possible, similarity)).distinct()
+        pairs = _asked(placed, turn, similarity) if turn else _asked(placed, turn, similarity).union(_rare_pairs(rare_ones, possible, similarity)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
+        release(placed if turn else rare_ones)
         links = settle(_verified(pairs, texts, weights, similarity), "similar")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried, asked = pairs if tried is None else tried.unionByName(pairs), [*asked, pairs]
         if links.limit(1).count():
-            root = settle(_joined_classes(root, links), "roots")
+            before = known_roots
+            root = known_roots = settle(_joined_classes(root, links), "roots")
+            if before is not None:
+                release(before)
+        release(links)
         turn += 1
-    classes = unique.select("w1", "w2", "id").join(root, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("class_id"))
-    # a group of copies is as skewed a key as the data has: Spark splits it, the other side being one row per group
-    joined = signed.select("doc_id", "n_words", "w1", "w2").join(classes, ["w1", "w2"], "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    numbered = unique.select("w1", "w2", "own", "id").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    firsts = numbered.groupBy("root").agg(F.min("own").alias("first"))
+    classes = settle(numbered.join(firsts, "root").select("w1", "w2", "first"), "classes")
+    release(texts, wanted, unique, members, possible, *asked, *([known_roots] if known_roots is not None else []))
+    return signed, classes
 
 
 def _joined_classes(root: DataFrame, links: DataFrame) -> DataFrame:
@@ -411,17 +443,21 @@ def _joined_classes(root: DataFrame, links: DataFrame) -> DataFrame:
     return root.join(merged, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
 
 
-def one_per_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one of least id, and one row of that id.
+def one_per_class(docs: DataFrame, similarity: float = SIMILARITY, rare: float = RARE) -> DataFrame:
+    """One document of each class, the one of least id, and one row of it.
 
-    Documents without words and rows without an id stay. Columns are those that came.
+    Documents without words and rows without an id stay; texts that share an id stay or go each with their own class.
+    Columns are those that came. Only rows that may have to go are shuffled.
     """
-    rows = near_duplicates(docs, similarity).groupBy("doc_id").agg(F.max(F.col("class_id") == F.col("doc_id")).alias("alone"), F.count("*").alias("n"))
-    alone = settle(rows.where("alone").select(F.col("doc_id").alias("_alone"), (F.col("n") > 1).alias("_many")), "alone")
-
-    def of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, docs["doc_id"] == ids["_alone"], "left_semi")
-    # only texts of repeated ids are sorted
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    repeated = of(alone.where("_many")).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return of(alone.where("not _many")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    signed, classes = _classified(docs.select("doc_id", "text"), similarity, rare)
+    judged = signed.where("n_words > 0 and doc_id is not null").select("doc_id", "t", "w1", "w2").join(classes, ["w1", "w2"])
+    rows = judged.groupBy("doc_id", "t").agg(F.max(F.struct("doc_id", "t") == F.col("first")).alias("_stays"), F.count("*").alias("_n"))
+    listed = settle(rows.where("not _stays or _n > 1"), "listed")
+    release(signed, classes)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_own())
+    clear, maybe = split_listed(own, ["doc_id", "t"], listed)
+    looked = maybe.join(listed, ["doc_id", "t"], "left")
+    single = looked.where("_n is null or (_stays and _n = 1)")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "t").orderBy("t"))
+    repeated = looked.where("_stays and _n > 1").withColumn("_nth", nth).where("_nth = 1")
+    return clear.select("_row.*").unionByName(single.select("_row.*")).unionByName(repeated.select("_row.*"))

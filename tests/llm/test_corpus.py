@@ -63,6 +63,36 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_texts_of_their_own(spark):
+    """One id with three texts, each with copies or near copies of its own; none goes but for a partner."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=80)) for _ in range(4)]
+    near = texts[1].split(" ")
+    near[40] = "changed"
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (3, texts[0].upper()), (9, " ".join(near)), (11, texts[3]), (None, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(7, 3), (7, 7), (7, 7), (7, 7), (3, 3), (9, 7), (11, 11), (None, None)], key=repr)
+    left = sorted(((r.doc_id, r.text) for r in near_dedup.one_per_class(df).collect()), key=repr)
+    assert left == sorted([(3, texts[0].upper()), (7, texts[1]), (7, texts[2]), (11, texts[3]), (None, texts[3])], key=repr)
+
+
+@pytest.mark.parametrize("share", [2, 3])
+def test_recall_against_exact_pairs_in_large_groups(spark, share):
+    """Half, or a third, of all texts are one group; members at a plain similarity of 0.8 or more of another one
+    belong to its class, whatever their weights have become."""
+    rng = random.Random(17)
+    base, rows = rng.choices(WORDS, k=90), []
+    for i in range(240):
+        words = list(base) if i % share == 0 else rng.choices(WORDS, k=90)
+        if i % share == 0:
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(90)] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+
+
 def test_a_large_group_of_near_copies_stays_together(spark):
     """A third of all rows are near copies, so their shingles are frequent and weigh less."""
     rng = random.Random(9)
