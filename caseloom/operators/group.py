@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.blanks import KEY_BLANKS, is_blank
+from caseloom.functions.blanks import KEY_BLANKS, all_of, is_blank
 
 MEASURES = ("bw_amt", "violtn_cnt", "ee_violtd_cnt", "ee_pmt_recv")
 
@@ -45,6 +45,35 @@ def repeat_groups(df: DataFrame, key: str, order: list[str],
     return group_by_key(df, key, order, measures, carry).where("records > 1")
 
 
+def repeat_tables(df: DataFrame, keys: list[str], order: list[str], n: int,
+                  measures: tuple[str, ...] = (*MEASURES, "backwage_owed")) -> DataFrame:
+    """The ``n`` groups with most records of ``repeat_groups`` for each of several keys, in one pass over the rows.
+
+    A row is dealt out once per key it has and partially summed in its task; with the sums goes only what
+    tells the first row of a group, by ``order``, whose columns identify rows. Attributes are then fetched for the
+    winners, of which there are ``n`` per key. Columns: ``kind`` (the key's name), ``value`` (in capitals), ``records``, the
+    columns of the first row, summed measures in the place of its own. Of equally many records the lesser value wins.
+    """
+    df = df.withColumns({m: F.lit(0) for m in measures if m not in df.columns})
+    first = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    sides = F.array(*[F.struct(F.lit(i).alias("no"), F.when(~is_blank(k, KEY_BLANKS), F.upper(k)).alias("value")) for i, k in enumerate(keys)])
+    dealt = df.select(F.explode(F.filter(sides, lambda s: s["value"].isNotNull())).alias("_k"), *measures, *order).select("_k.*", *measures, *order)
+    groups = dealt.groupBy("no", "value").agg(F.count(F.lit(1)).alias("records"), *[total(m).alias(m) for m in measures], first.alias("_first"))
+    nth = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("records"), "value"))
+    won = groups.where("records > 1").withColumn("_nth", nth).where(F.col("_nth") <= n)
+    won = won.select("no", "value", "records", F.struct(*measures).alias("_sums"), *[
+        (F.col("_first") if len(order) == 1 else F.col("_first")[c]).alias(f"_at_{c}") for c in order])
+    # at most n rows per key
+    rows = df.join(F.broadcast(won), all_of([df[c].eqNullSafe(F.col(f"_at_{c}")) for c in order])).dropDuplicates(["no", "value"])
+    kept = [F.col("_sums")[c].alias(c) if c in measures else df[f"`{c}`"] for c in df.columns]
+    return rows.select(F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("no") + 1).alias("kind"), "value", "records", *kept)
+
+
+def repeats_of(tables: DataFrame, key: str) -> DataFrame:
+    """The groups of one key, as ``repeat_groups`` has them."""
+    return tables.where(F.col("kind") == key).withColumn(key, F.col("value")).drop("kind", "value")
+
+
 def multi_agency(df: DataFrame, employer: str, agency: str, order: list[str],
                  measures: tuple[str, ...] = MEASURES, carry: list[str] | None = None,
                  within: list[str] | None = None) -> DataFrame:

@@ -172,6 +172,13 @@ def presented(filled: DataFrame, o: ReportOptions, lookups: Lookups) -> tuple[Da
     return rows, shown(filled.where(organisation(NAMES, o.target_organization))) if o.target_organization else rows
 
 
+#: Tables of repeat groups: the key they are grouped by and what they show.
+REPEATS = {
+    "repeat_addresses": ("street_addr", REPEAT_HEADER), "repeat_legal_names": ("legal_nm", REPEAT_HEADER),
+    "repeat_trade_names": ("trade_nm", REPEAT_HEADER), "repeat_agencies": ("juris_or_proj_nm", AGENCY_HEADER),
+    "repeat_owners": ("Jurisdiction_region_or_General_Contractor", OWNER_HEADER),
+}
+
 #: What the tables show or group by of an employer's first case.
 CARRIED = ["trade_nm", "cty_nm", "zip_cd", "industry", "naics_desc", "street_addr", "juris_or_proj_nm", "Note", "Prevailing", "Signatory",
            "backwage_owed"]
@@ -219,6 +226,14 @@ def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o:
             overall.append(S.overview_and_coverage(everything, keep))
         return overall[0][part]
 
+    repeated: list[DataFrame] = []
+
+    def repeats() -> DataFrame:
+        """All five tables of repeat groups at once."""
+        if not repeated:
+            repeated.append(keep(G.repeat_tables(rows, [key for key, _ in REPEATS.values()], ORDER, K.TOP_REPEATS)))
+        return repeated[0]
+
     def two_way(df: DataFrame, outer: str, inner: str, label: str) -> DataFrame:
         return K.two_way(G.subtotals(df, outer, inner, FIGURES, label), outer, inner, label, FIGURES)
 
@@ -241,12 +256,8 @@ def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o:
     if o.include_top_tables:
         for name, by in (("top_by_amount", "bw_amt"), ("top_by_employees", "ee_violtd_cnt"), ("top_by_records", "records")):
             make[name] = lambda by=by: ranked(employers(rows), by, "legal_nm", K.TOP_VIOLATORS, HEADER)
-        for name, key, header in (
-                ("repeat_addresses", "street_addr", REPEAT_HEADER), ("repeat_legal_names", "legal_nm", REPEAT_HEADER),
-                ("repeat_trade_names", "trade_nm", REPEAT_HEADER), ("repeat_agencies", "juris_or_proj_nm", AGENCY_HEADER),
-                ("repeat_owners", "Jurisdiction_region_or_General_Contractor", OWNER_HEADER)):
-            make[name] = lambda key=key, header=header: ranked(G.repeat_groups(rows, key, ORDER), "records", key,
-                                                               K.TOP_REPEATS, header)
+        for name, (key, header) in REPEATS.items():
+            make[name] = lambda key=key, header=header: ranked(G.repeats_of(repeats(), key), "records", key, K.TOP_REPEATS, header)
         make["multi_agency"] = lambda: ranked(agencies(rows, carry=["trade_nm", "cty_nm", "naics_desc", "street_addr"]),
                                               "records", "legal_nm", K.TOP_REPEATS, MULTI_HEADER)
     for flag, wanted in (("Prevailing", o.prevailing_wage_report), ("Signatory", o.signatories_report)):

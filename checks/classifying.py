@@ -10,7 +10,7 @@ from caseloom.operators import agency as A
 from caseloom.operators import flags as FL
 from caseloom.operators.classify import infer_detail, infer_industry
 from caseloom.operators.impute import penalty_terms
-from caseloom.operators.lookup import default_amount, term_amount, unmatched_terms
+from caseloom.operators.lookup import default_amount, term_amount, term_amounts, unmatched_terms, unmatched_texts
 from caseloom.operators.places import Place, infer_zip
 from caseloom.plans.steps import infer_step
 from caseloom.rules import agency as AR
@@ -18,7 +18,7 @@ from caseloom.rules import prevailing as PR
 from caseloom.rules.book import compile_rule, name_rule
 from caseloom.rules.industries import all_details, industry_names
 from caseloom.rules.penalties import PENALTIES
-from checks.cases import cases, cases_sql, table
+from checks.cases import ORDER, cases, cases_sql, table
 from checks.registry import num, query
 
 # place names taken from the words of part names; the order matters, and some contain others
@@ -254,6 +254,32 @@ def term_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return unmatched_terms(cases(spark, sf, ["case_id_1"], TERM_TEXTS), "viol", [t for t, _ in PENALTIES])
 
 
+# a term table drawn from the part names: pieces of one to eight letters, the later one wins
+TERM_TABLE_SQL = """terms AS (SELECT substr(p_name, CAST(1 + p_partkey % 3 AS INT), CAST(1 + p_partkey % 8 AS INT)) AS term, max(p_partkey) AS ord,
+  max(p_partkey) * 1.5 AS amount FROM part GROUP BY 1),
+texts AS (SELECT DISTINCT naics_desc FROM cases),
+hits AS (SELECT naics_desc, arg_max(amount, ord) AS amount FROM texts JOIN terms ON term <> '' AND contains(upper(naics_desc), upper(term)) GROUP BY naics_desc)"""
+
+
+def _term_table(spark: SparkSession, sf: str) -> DataFrame:
+    term = F.expr("substr(p_name, cast(1 + p_partkey % 3 as int), cast(1 + p_partkey % 8 as int))")
+    return table(spark, sf, "part").groupBy(term.alias("term")).agg(F.max("p_partkey").alias("ord")).withColumn("amount", F.col("ord") * F.lit(1.5).cast("double"))
+
+
+@query("term_table_lookup", f"""WITH {cases_sql()}, {TERM_TABLE_SQL}
+SELECT case_id_1, ord3, CAST(coalesce(amount, 26.30) AS DOUBLE) AS amount FROM cases LEFT JOIN hits USING (naics_desc)""")
+def term_table_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    df = cases(spark, sf, ["case_id_1", "naics_desc", *ORDER])
+    found = term_amounts(df, "naics_desc", _term_table(spark, sf), default_amount(), "amount", ORDER)
+    return found.select("case_id_1", "ord3", F.col("amount").cast("double").alias("amount"))
+
+
+@query("term_table_unmatched", f"""WITH {cases_sql()}, {TERM_TABLE_SQL.replace("term <> ''", "length(term) = 8 AND ord % 3 = 0")}
+SELECT naics_desc FROM texts WHERE naics_desc NOT IN (SELECT naics_desc FROM hits)""")
+def term_table_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return unmatched_texts(cases(spark, sf, ["naics_desc"]), "naics_desc", _term_table(spark, sf).where((F.length("term") == 8) & (F.col("ord") % 3 == 0)))
+
+
 WORDS = ("the", "ing on", "email", "license", "http")
 
 

@@ -176,6 +176,24 @@ for _name, _key in (("top_repeat_addresses", "street_addr"), ("top_repeat_legal_
     query(_name, _repeat_sql(_key))(lambda spark, sf, key=_key: _repeat(spark, sf, key))
 
 
+REPEAT_KEYS = ("street_addr", "legal_nm", "trade_nm", "juris_or_proj_nm", "source")
+
+
+def _tables_sql() -> str:
+    tables = []
+    for key in REPEAT_KEYS:
+        inner = _group_sql(key, ("cty_nm", "violation"))
+        tables.append(f"(WITH {inner} SELECT '{key}' AS kind, {key} AS value, records, {', '.join(SUMS)}, cty_nm, violation FROM grouped "
+                      f"WHERE records > 1 ORDER BY records DESC, {key} LIMIT 24)")
+    return f"WITH {cases_sql()} " + " UNION ALL ".join(f"SELECT * FROM {t}" for t in tables)
+
+
+@query("top_repeat_tables", _tables_sql())
+def top_repeat_tables(spark: SparkSession, sf: str) -> DataFrame:
+    df = cases(spark, sf, [*SUMS, *REPEAT_KEYS, "violation", "cty_nm", *ORDER])
+    return sums(G.repeat_tables(df, list(REPEAT_KEYS), ORDER, K.TOP_REPEATS, SUMS), "kind", "value", "records", "cty_nm", "violation")
+
+
 @query("top_multi_agency", f"""WITH {cases_sql()}, {_multi_sql()}
 SELECT legal_nm, agencies, records, bw_amt, agency_names FROM multi ORDER BY records DESC, legal_nm LIMIT 24""")
 def top_multi_agency(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import random
 
 from caseloom.operators.agency import infer_agency, replace_codes
@@ -141,3 +143,51 @@ def test_vocabularies_hold_what_they_should():
     assert SECTIONS["L.C."][:3] == ("223", "1720", "1720.2") and SECTIONS["L.C."][-1] == "1861"
     assert (len(LABEL_CODES), len(COLUMN_CODES), COLUMN_CODES[0], COLUMN_CODES[-3:]) == (20, 27, "01", ("25", "35", "WC"))
     assert not [f for terms in DETAILS for f in check_terms(terms)]
+
+
+def test_a_hundred_thousand_terms_without_a_nested_loop(spark):
+    import random
+
+    from caseloom.operators.lookup import term_amounts, unmatched_texts
+    rng = random.Random(12)
+    letters = "abcdefg hijklmnop.é😀"
+
+    def piece(low, high):
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+
+    terms = [(piece(5, 12), i, float(i)) for i in range(100_000)] + [("e", 100_000, 7.5), ("Q", 100_001, 8.5), ("", 100_002, 9.5), (None, 100_003, 1.0), ("wAge claim", 200_000, 3.5)]
+    texts = [piece(0, 60) for _ in range(120)] + [terms[i][0].upper() + piece(0, 9) for i in range(0, 100_000, 2500)] + ["", None, "no WAGE claim here", "wage", "abc"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, "no WAGE claim here") for i in range(100)]
+    df = spark.createDataFrame(rows, "_row long, text string")
+    table = spark.createDataFrame(terms, "term string, ord long, amount double").repartition(5)
+    listed = [((t or "").upper(), a) for t, _, a in sorted(terms, key=lambda x: -x[1])]
+
+    def plain(text):
+        return next((a for t, a in listed if t and t in (text or "").upper()), None)
+
+    want = {t: plain(t) for t in set(texts)}
+    found = term_amounts(df, "text", table, F.lit(26.3), "amount", ["_row"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r["_row"]: r["amount"] for r in found.collect()}
+    assert got == {i: 26.3 if want[t] is None else want[t] for i, t in rows}
+    assert want["no WAGE claim here"] == 3.5 and found.columns == ["_row", "text", "amount"]
+    none = unmatched_texts(df, "text", table)
+    assert "NestedLoop" not in none._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["text"] for r in none.collect()) == sorted({t or "" for t in texts if want[t] is None})
+    assert term_amounts(df, "text", table.limit(0), F.lit(26.3), "amount", ["_row"]).where("amount <> 26.3").count() == 0
+
+
+def test_repeat_tables_equal_groups_one_by_one(spark):
+    import random
+
+    from caseloom.operators import group as G
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "A", "b", "", None, "nan", f"x{i % 90}"]), "hot" if i % 3 else f"y{i % 7}", float(i % 5) if i % 4 else None, i % 3, 1.0, 2.0, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "legal_nm string, trade_nm string, bw_amt double, violtn_cnt int, ee_violtd_cnt double, ee_pmt_recv double, _row long").repartition(5)
+    tables = G.repeat_tables(df, ["legal_nm", "trade_nm"], ["_row"], 5)
+    for key in ("legal_nm", "trade_nm"):
+        whole = G.repeat_groups(df, key, ["_row"]).orderBy(F.desc("records"), key).limit(5)
+        some = G.repeats_of(tables, key).select(whole.columns)
+        assert sorted(map(tuple, some.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    assert G.repeat_tables(df.limit(0), ["legal_nm"], ["_row"], 5).count() == 0
