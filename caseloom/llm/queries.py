@@ -58,6 +58,30 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+#: Words as the contracts of operators 3 and 4 read them, from a text whose A-Z are lower-cased.
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op3_decontamination"] = f"""
+with recursive items as (select cast(item_id as varchar) as item_id, {_WORDS_SQL} as words from benchmark),
+sized as (select item_id, words, least(len(words), 13) as size from items where len(words) > 0),
+item_windows as (
+  select distinct item_id, size, array_to_string(words[pos:pos + size - 1], ' ') as run
+  from (select item_id, words, size, unnest(range(1, len(words) - size + 2)) as pos from sized)),
+docs as (select row_number() over () as nth, doc_id, {_WORDS_SQL} as words from documents),
+sizes as (select distinct size from item_windows),
+places as (
+  select nth, size, pos, array_to_string(words[pos:pos + size - 1], ' ') as run
+  from (select nth, words, size, unnest(range(1, len(words) - size + 2)) as pos from docs join sizes on len(words) >= size)),
+met as (select nth, pos, size, item_id from places join item_windows using (size, run)),
+hit as (select nth, count(distinct word) as n_hit from (select nth, unnest(range(pos, pos + size)) as word from met) group by nth),
+named as (select nth, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from met group by nth)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from docs left join hit using (nth) left join named using (nth)
+"""
+
+
 @query
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +102,60 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+#: The fixed measures of a text, then the thresholds of its group: quantiles of bucketed values, a group of under 200
+#: documents taking its language's, a language as small the corpus's.
+ORACLES["op6_quality_rules"] = r"""
+with docs as (
+  select row_number() over () as nth, doc_id, lang, source, coalesce(text, '') as t from documents),
+words as (select nth, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from docs),
+lines as (
+  select nth, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select nth, unnest(string_split(t, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]') group by nth),
+windows as (
+  select nth, pos, array_to_string(w[pos:pos + 4], ' ') as run from (select nth, w, unnest(range(1, len(w) - 3)) as pos from words)),
+repeated as (
+  select nth, count(distinct word) as n_repeat_words from (
+    select nth, unnest(range(pos, pos + 5)) as word from (select nth, pos, count(*) over (partition by nth, run) as n from windows) where n > 1)
+  group by nth),
+base as (
+  select d.nth, doc_id, lang, source, len(w)::bigint as n_words, len(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
+  from docs d join words using (nth) left join lines using (nth) left join repeated using (nth)),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base),
+fences(measure, least, reach, share, below) as (values ('word_length', 10, 12, 0.75, true), ('symbols', 3, 8, 0.75, false), ('dup_lines', 60, 4, 0.95, false), ('repeats', 30, 4, 0.95, false)),
+measured as (
+  select nth, lang, source, base_failed, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) as measure,
+    unnest([word_chars * 100 // greatest(n_words, 1), n_symbols * 100 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_lines, 1),
+            n_repeat_words * 1000 // greatest(n_words, 1)]) as value from judged),
+bucketed as (
+  select *, case when value < 1024 then value::double else 1024 * pow(2.0, floor((log2(value) - 10) * 128) / 128) end as held
+  from measured where not base_failed and n_words > 0),
+groups as (
+  select 0 as level, lang, source, measure, count(*) as docs, list_sort(list(held)) as held from bucketed group by lang, source, measure
+  union all select 1, lang, null, measure, count(*), list_sort(list(held)) from bucketed group by lang, measure
+  union all select 2, null, null, measure, count(*), list_sort(list(held)) from bucketed group by measure),
+quantiles as (
+  select level, lang, source, g.measure, docs, least, reach, held[greatest(1, ceil(round(docs * (1 - share), 9)))::int] as low,
+    held[greatest(1, ceil(docs * 0.5))::int] as mid, held[greatest(1, ceil(round(docs * share, 9)))::int] as high
+  from groups g join fences f on g.measure = f.measure),
+chosen as (
+  select k.lang, k.source, q.measure, arg_min(q, case when q.docs >= 200 then q.level else 20 - q.level end) as q
+  from (select distinct lang, source from bucketed) k join quantiles q
+    on q.level = 2 or q.lang is not distinct from k.lang and (q.level = 1 or q.source is not distinct from k.source)
+  group by k.lang, k.source, q.measure),
+limits as (
+  select lang, source, measure, q.mid - q.reach * case when q.mid > q.low then q.mid - q.low else q.least end as lower_limit,
+    q.mid + q.reach * case when q.high > q.mid then q.high - q.mid else q.least end as upper_limit from chosen),
+outside as (
+  select m.nth, bool_or(coalesce(m.value > l.upper_limit or f.below and m.value < l.lower_limit, false)) as out
+  from measured m join fences f on m.measure = f.measure
+  left join limits l on l.measure = m.measure and l.lang is not distinct from m.lang and l.source is not distinct from m.source group by m.nth)
+select doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, not base_failed and not out as kept
+from judged join outside using (nth)
+"""
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
@@ -107,6 +185,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+ORACLES["op10_line_dedup"] = r"""
+with docs as (select row_number() over () as nth, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+cut as (select nth, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as pos from docs),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from cut),
+shared as (select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(s.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (s.key is null), '')) as kept_sha256
+from keyed k left join shared s on k.key = s.key group by nth, doc_id
+"""
+
+
 @query
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
