@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +42,22 @@ def build_session(app: str = "caseloom", master: str | None = None, **extra: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share for tables that cut lineage.
 
-    ``spark.checkpoint.dir`` as the session has it, else the folder set on the context, else one
-    inside the warehouse, which a cluster shares as well.
+    ``spark.checkpoint.dir`` as the session has it, else the folder set on the context, else one inside the
+    warehouse if that is shared. A local session shares its disk with itself; on a cluster a warehouse on local disks
+    is refused, where every executor would write to a disk of its own.
     """
-    return (spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-            or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    given = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return fallback_dir(warehouse, spark.sparkContext.master)
+
+
+def fallback_dir(warehouse: str, master: str) -> str:
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and not re.match(r"local(\[.*\])?$", master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share; {warehouse} is on local disks")
+    return f"{warehouse.rstrip('/')}/_checkpoints"
 
 
 def materialise(df: DataFrame, reliable: bool = False) -> DataFrame:

@@ -191,3 +191,36 @@ def test_repeat_tables_equal_groups_one_by_one(spark):
         some = G.repeats_of(tables, key).select(whole.columns)
         assert sorted(map(tuple, some.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
     assert G.repeat_tables(df.limit(0), ["legal_nm"], ["_row"], 5).count() == 0
+
+
+def test_many_places_agree_with_a_loop_over_the_list(spark):
+    """1,241 names, some inside others, some twice: the earliest listed one that stands in the text."""
+    import random
+    import re
+
+    from caseloom.operators.places import place_in
+    rng = random.Random(8)
+    parts = ["san", "santa", "chino", "hills", "jose", "la", "el", "monte", "park", "st. helena", "o'neil", "bay", "valley", "lake"]
+    names = ["chino", "san jose", "chino hills", "park", "san", "st.", "lake-side", "san"]
+    names += [" ".join(rng.choices(parts, k=rng.randrange(1, 4))) + rng.choice(["", "", "s", f" {rng.randrange(99)}"]) for _ in range(1241 - len(names))]
+    texts = [" ".join(rng.choices([*parts, "of", "sanjose", "chinohills", "12", "lake-side", "CHINO", "parks", "x."], k=rng.randrange(0, 7))) for _ in range(400)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    places = [Place(n.title(), "90000") for n in names]
+    got = {r["i"]: (r["w"], r["s"]) for r in df.select("i", place_in("t", places).alias("w"), place_in("t", places, whole_words=False).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        text = (text or "").lower().strip()
+        whole = next((k for k, n in enumerate(names, 1) if re.search(rf"\b{re.escape(n)}\b", text)), None)
+        part = next((k for k, n in enumerate(names, 1) if n in text), None)
+        assert got[i] == (whole, part), text
+    assert df.select(place_in("t", []).alias("p")).where("p is not null").count() == 0
+
+
+def test_checkpoints_need_a_shared_folder():
+    import pytest
+
+    from caseloom.session import fallback_dir
+    assert fallback_dir("file:/w/warehouse/", "local[4]") == "file:/w/warehouse/_checkpoints"
+    assert fallback_dir("hdfs://n/warehouse", "yarn") == "hdfs://n/warehouse/_checkpoints"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            fallback_dir("/w/warehouse", master)
