@@ -154,6 +154,63 @@ def test_toxic_documents_are_caught(spark):
     assert sum(r.kept for r in clean) > 0.98 * len(clean) and sum(not r.kept for r in toxic) > 0.6 * len(toxic)
 
 
+def ranked_right(scores, truths):
+    """Share of pairs, one true and one not, in which the true one scores higher."""
+    good, bad = (sorted(s for s, t in zip(scores, truths, strict=True) if bool(t) == side) for side in (True, False))
+    return sum(np.searchsorted(bad, g, "left") + np.searchsorted(bad, g, "right") for g in good) / (2 * len(good) * len(bad))
+
+
+def test_quality_and_toxicity_held_out(spark):
+    """Fitted on the rated documents of one half, measured on those of the other."""
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, labels.where(half).select("doc_id", grade.alias("grade")), n_grades=3)
+    held = quality_classifier.grade_documents(docs.join(labels.where(~half), "doc_id"), model).select("toxic", "quality", "tails").collect()
+    toxic, clean = [r for r in held if r.toxic], [r for r in held if not r.toxic]
+    assert len(toxic) > 20 and len(clean) > 1000
+    assert ranked_right([r.tails[0] for r in held], [not r.toxic for r in held]) > 0.9
+    assert ranked_right([r.tails[1] for r in clean], [r.quality == 1 for r in clean]) > 0.75
+    assert sum(r.tails[0] >= 0.5 for r in clean) > 0.95 * len(clean) and sum(r.tails[0] < 0.5 for r in toxic) > 0.6 * len(toxic)
+
+
+def test_the_fit_is_the_likelihood_s_maximum():
+    """A plain search, one coordinate at a time, finds no better weights or thresholds on data with one cut and few words."""
+    rng = np.random.default_rng(4)
+    n, grades = 400, None
+    has = rng.random((n, 3)) < 0.5
+    grades = (1.5 * has[:, 0] - 1.0 * has[:, 1] + rng.logistic(size=n) > 0.3).astype(np.int64) + (2.5 * has[:, 0] + rng.logistic(size=n) > 2).astype(np.int64)
+    words = np.concatenate([np.flatnonzero(row) + 10 for row in has])
+    model = quality_classifier.fit(words, has.sum(axis=1), grades, 3, bits=8)
+    used = np.flatnonzero(model.weights)
+    weight = (n / (3 * np.bincount(grades, minlength=3)))[grades]
+
+    def loss(w, t):
+        score = has @ w
+        tail = 1 / (1 + np.exp(-(score[:, None] - t[None, :])))
+        p = np.select([grades == 0, grades == 1], [1 - tail[:, 0], tail[:, 0] - tail[:, 1]], tail[:, 1])
+        return -(weight * np.log(np.maximum(p, 1e-12))).sum() / n + 0.5 * quality_classifier.RIDGE * (w ** 2).sum()
+
+    w, t = model.weights[10:13].astype(float), model.thresholds.copy()
+    assert set(used) <= {10, 11, 12} and len(used) >= 1
+    free = [k for k in range(3) if w[k]]
+    best = loss(w, t)
+    for step in (0.5, 0.1, 0.02):
+        for _ in range(40):
+            for k in (*free, 3, 4):
+                for sign in (1, -1):
+                    v, u = w.copy(), t.copy()
+                    if k < 3:
+                        v[k] += sign * step
+                    else:
+                        u[k - 3] += sign * step
+                    if np.all(np.diff(u) > 0) and loss(v, u) < best:
+                        w, t, best = v, u, loss(v, u)
+    assert loss(model.weights[10:13].astype(float), model.thresholds) < 1.01 * best
+
+
 URLS = [None, "", "no scheme", "http://", "https://EXAMPLE.net", "https://example.net/", "https://a.Example.NET/en/x?q#f", "https://example.net/en", "https://example.net/english/",
         "x://y.net?/en/", "http://example.com/de/", "http://m.example.com/de/x", "http://example.com/DE/", "http://badexample.com/de/", "http://a.org/fr/x", "http://a.org/frx",
         "http://org/fr/", "http://Ünï.org/fr/", "http://user@a.net:80/", "http://a.net:80/", "://net/", "http://a.net//", "http://a..net/x://b.org/fr/", "a\n://net/\n"]
