@@ -38,23 +38,34 @@ def stripped(c: Column, rule: FormRule, loose: bool) -> Column:
     return F.when(T.has_any(c, rule.stem), done).otherwise(c) if rule.stem else done
 
 
+def _any_form(c: Column, loose: bool) -> Column:
+    """Whether a name has any phrase of any form: if not, nothing marks it and nothing is taken out."""
+    if loose:
+        return T.has_any(c, "(?:" + "|".join(p for r in FORMS for p in (*r.marks, *(r.loose_removed or r.removed))) + ")")
+    return T.has_any(c, whole_words(tuple(dict.fromkeys(p for r in FORMS for p in (*r.marks, *r.removed)))))
+
+
 def business_type(df: DataFrame, names: list[str], target: str = "Businesstype",
                   loose: bool = False) -> DataFrame:
     """A later form overwrites an earlier one: corporation, partnership, company, individual.
 
     Forms are taken in order, each reading the names the one before it has left. A name's
     expression mentions the name before it once, so a filter that Spark moves below the
-    cleaning stays as long as the chain and does not double at every form.
+    cleaning stays as long as the chain and does not double at every form. Names without any
+    phrase of a form are searched once.
     """
     if target not in df.columns:
         df = df.withColumn(target, F.lit(""))
+    columns = df.columns
+    may = {n: f"_may_{i}" for i, n in enumerate(names)}
+    df = df.withColumns({m: _any_form(F.col(n), loose) for n, m in may.items()})
     for rule in FORMS:
-        hit = any_of([marked(F.col(n), rule, loose) for n in names])
+        hit = any_of([F.col(may[n]) & marked(F.col(n), rule, loose) for n in names])
         df = df.withColumns({
             target: F.when(hit, rule.label).otherwise(F.col(target)),
-            **{n: stripped(F.col(n), rule, loose) for n in names},
+            **{n: T.gated(F.col(n), lambda x, m=may[n]: F.col(m), lambda x, r=rule: stripped(x, r, loose)) for n in names},
         })
-    return df
+    return df.select(*[f"`{c}`" for c in columns])
 
 
 def liability_home(df: DataFrame, names: list[str], target: str = "Liabilitytype",
@@ -70,7 +81,7 @@ def liability_home(df: DataFrame, names: list[str], target: str = "Liabilitytype
     pattern = "(?:" + "|".join(phrases.removed) + ")" if loose else whole_words(phrases.removed)
     return df.withColumns({
         target: F.when(hit(HOMES), home).otherwise(""),
-        **{n: F.regexp_replace(F.col(n), "(?i)" + pattern, "") for n in names},
+        **{n: T.gated(F.col(n), lambda x: T.has_any(x, pattern), lambda x: F.regexp_replace(x, "(?i)" + pattern, "")) for n in names},
     })
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -74,6 +75,12 @@ def fold_literals(c: Column | str, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda acc, rule: swap(acc, rule[0], rule[1]), rules, _col(c))
 
 
+def gated(c: Column, test: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
+    """``then(c)`` where ``test(c)`` holds, else ``c``: many rules that seldom apply cost one search. ``c`` is mentioned
+    once, so chains of such steps stay as long as they are."""
+    return F.transform(F.array(c), lambda x: F.when(test(x), then(x)).otherwise(x))[0]
+
+
 def has_any(c: Column | str, pattern: str) -> Column:
     """Case-insensitive search that is false, not null, on null text."""
     return F.coalesce(_col(c).rlike("(?i)" + pattern), F.lit(False))
