@@ -42,7 +42,7 @@ SKETCH_BITS = 16
 #: Entries of the tables the samples' random numbers come from.
 TABLE_BITS = 14
 #: Share of agreeing samples below which a candidate cannot be similar: fewer than 25 of 64 samples agree once in
-#: 10**12 pairs at a weighted similarity of 0.8, once in 10**5 at 0.66, which is what a plain 0.8 may come to
+#: 10**12 pairs at a weighted similarity of 0.8, once in 3 * 10**5 at 0.66, which is what a plain 0.8 may come to
 #: where half of all texts are one group.
 LEAST_AGREEING = 0.4
 #: Shingles keep this many bits of their hash; the rest of 64 numbers the texts of a block.
