@@ -44,13 +44,30 @@ def coverage(df: DataFrame, amount: str = "bw_amt", start: str = "findings_start
     return one.select("first", "last", "amount", percent.alias("percent_of_total"))
 
 
+ROLLED = ("violtn_cnt", "ee_violtd_cnt", "bw_amt", "ee_pmt_recv")
+
+
+def roll_up(df: DataFrame, by: list[str]) -> DataFrame:
+    """Counts, sums and first and last dates per group. Roll-ups of parts of a table add up to that of the whole."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), *[total(m).alias(m) for m in ROLLED],
+                               F.min("findings_start_date").alias("first"), F.max("findings_start_date").alias("last"))
+
+
+def merged(rolled: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Roll-ups added up, per group or to one row."""
+    return rolled.groupBy(*(by or [])).agg(total("cases").cast("bigint").alias("cases"), *[total(m).alias(m) for m in ROLLED],
+                                           F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def overview_and_coverage(df: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda one: one) -> tuple[DataFrame, DataFrame]:
-    """Both tables from one pass over the six columns they need; ``keep`` holds on to its one row."""
-    used = df.select("bw_amt", "ee_pmt_recv", "violtn_cnt", "ee_violtd_cnt", "findings_start_date")
-    one = keep(used.agg(
-        F.count(F.lit(1)).alias("cases"), dollars(total("violtn_cnt")).alias("violations"), dollars(total("ee_violtd_cnt")).alias("employees"),
-        dollars(total("bw_amt")).alias("back_wages"), dollars(total("ee_pmt_recv")).alias("returned"),
-        F.min("findings_start_date").alias("first"), F.max("findings_start_date").alias("last")))
+    """Both tables from one pass over the columns they need; ``keep`` holds on to its one row."""
+    return overview_and_coverage_of(roll_up(df.select(*ROLLED, "findings_start_date"), []), keep)
+
+
+def overview_and_coverage_of(rolled: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda one: one) -> tuple[DataFrame, DataFrame]:
+    """The same from roll-ups."""
+    one = keep(merged(rolled).select("cases", dollars(F.col("violtn_cnt")).alias("violations"), dollars(F.col("ee_violtd_cnt")).alias("employees"),
+                                     dollars(F.col("bw_amt")).alias("back_wages"), dollars(F.col("ee_pmt_recv")).alias("returned"), "first", "last"))
     years = F.datediff("last", "first") / F.lit(float(DAYS_PER_YEAR))
     percent = F.try_divide(F.try_divide(F.col("back_wages"), years), F.lit(YEARLY_TOTAL)) * 100
     return (one.select("cases", "violations", "employees", "back_wages", "returned"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseloom.operators.dedup import shared_keys
 from caseloom.operators.places import Place
+from caseloom.operators.summary import roll_up
 from caseloom.plans.steps import CROSS, ORDER, SHARED, clean_values, infer_step, mark_cross_source, settle_duplicates
 from caseloom.rules.book import Rule
 from caseloom.rules.industries import all_industries
@@ -87,7 +89,10 @@ def refresh_snapshot(spark: SparkSession, root: str, specs: list[SourceSpec], as
             continue
         S.write_partitioned(marked, f"{cases}/{tag}", S.CASES_BY)
         taken, landed = (as_of, f"{raw}/{tag}") if tag in renewed else (old[tag].taken_on, old[tag].raw)
-        states.append(S.SourceState(tag, prints[tag], taken, f"{cases}/{tag}", landed, marked.schema.json()))
+        # a roll-up has one row per state and year, whatever the number of cases
+        rolled = S.write_rows(roll_up(spark.read.schema(marked.schema).parquet(f"{cases}/{tag}").where(F.col(SHARED) == 0), list(S.ROLLED_BY)).coalesce(1),
+                              f"{root}/rolled/{run}/{tag}")
+        states.append(S.SourceState(tag, prints[tag], taken, f"{cases}/{tag}", landed, marked.schema.json(), f"{root}/rolled/{run}/{tag}", rolled.schema.json()))
     snapshot = S.Snapshot(as_of, cases, raw, tuple(states))
     S.register(spark, root, snapshot, run)
     S.remove(spark, [work])

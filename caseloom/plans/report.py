@@ -16,7 +16,7 @@ from caseloom.operators import topk as K
 from caseloom.operators.dedup import distinct_rows
 from caseloom.operators.filters import in_state, masked, not_from, organisation, significant
 from caseloom.operators.places import region_zips
-from caseloom.plans.steps import NAMES, ORDER, across_sources, fill_step, scope_step
+from caseloom.plans.steps import NAMES, ORDER, SHARED, across_sources, fill_step, scope_step
 from caseloom.rules.book import Rule
 from caseloom.rules.industries import labels_for
 from caseloom.session import materialise
@@ -186,7 +186,8 @@ CARRIED = ["trade_nm", "cty_nm", "zip_cd", "industry", "naics_desc", "street_add
 
 def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o: ReportOptions,
                   only: set[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
-    """The tables in report order, or ``only`` some of them. Each reads ``rows`` or ``chosen``.
+    """The tables in report order, or ``only`` some of them. Each reads ``rows`` or ``chosen``, overview and coverage
+    ``everything``: the cases of the home state, or roll-ups of them.
 
     Employers are grouped once per set of rows, with the columns the tables show; ``keep`` holds on
     to what several tables read.
@@ -223,7 +224,7 @@ def report_tables(rows: DataFrame, chosen: DataFrame, everything: DataFrame, o:
 
     def whole(part: int) -> DataFrame:
         if not overall:
-            overall.append(S.overview_and_coverage(everything, keep))
+            overall.append((S.overview_and_coverage_of if "first" in everything.columns else S.overview_and_coverage)(everything, keep))
         return overall[0][part]
 
     repeated: list[DataFrame] = []
@@ -281,9 +282,12 @@ class Report(dict[str, DataFrame]):
 
 
 def build_report(cases: DataFrame, options: ReportOptions, as_of: date, lookups: Lookups | None = None,
-                 reliable: bool = False, only: set[str] | None = None) -> Report:
+                 reliable: bool = False, only: set[str] | None = None, rolled: DataFrame | None = None) -> Report:
     """Named tables of one report, in order.
 
+    ``rolled``, from ``read_rollup``, has the cases that no other source reports rolled up; with it overview and
+    coverage read some hundred rows and the cases that several sources report, not the whole home state.
+
     The cases in scope are settled once, since filling gaps reads them for its means and again
     for its rows; so are the rows on show and their employers, which two dozen aggregates read.
     ``release`` lets go of them when the tables are written.
@@ -300,7 +304,13 @@ def build_report(cases: DataFrame, options: ReportOptions, as_of: date, lookups:
     same = rows is chosen
     rows = keep(rows)
     chosen = rows if same else keep(chosen)
-    everything = across_sources(cases.where(in_state("st_cd", HOME_STATE)))
+    home = in_state("st_cd", HOME_STATE)
+    if rolled is None or SHARED not in cases.columns:
+        everything = across_sources(cases.where(home))
+    else:
+        # whether ids and violations are given at all is asked of all cases; only the marked ones are read for more
+        reported_twice = across_sources(cases.where(home)).where(F.col(SHARED) == 1)
+        everything = rolled.where(home).select("cases", *S.ROLLED, "first", "last").unionByName(S.roll_up(reported_twice, []))
     return Report(report_tables(rows, chosen, everything, o, only, keep), kept)
 
 

@@ -30,7 +30,9 @@ MAX_AGE_DAYS = 30
 CASES_BY = ("shared", "st_cd", "industry", "start_year")
 ROWS_PER_FILE = 5_000_000
 REGISTRY = ("taken_on date, cases string, raw string, run string, place int, tag string, fingerprint string, source_taken_on date, "
-            "source_cases string, source_raw string, columns string")
+            "source_cases string, source_raw string, columns string, source_rolled string, rolled_columns string")
+# what is rolled up with the snapshot: cases that one source alone reports, per source, state and year
+ROLLED_BY = (L.SOURCE, "st_cd", "start_year")
 
 
 @dataclass(frozen=True)
@@ -43,10 +45,15 @@ class SourceState:
     cases: str
     raw: str
     columns: str
+    rolled: str = ""
+    rolled_columns: str = ""
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(T.StructType.fromJson(json.loads(self.columns))).parquet(self.cases)
 
+    def read_rolled(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(T.StructType.fromJson(json.loads(self.rolled_columns))).parquet(self.rolled)
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -93,7 +100,7 @@ def fingerprint(spark: SparkSession, path: str, settings: str = "") -> str:
 
 
 def register(spark: SparkSession, root: str, snapshot: Snapshot, run: str) -> None:
-    rows = [(snapshot.taken_on, snapshot.cases, snapshot.raw, run, i, s.tag, s.fingerprint, s.taken_on, s.cases, s.raw, s.columns)
+    rows = [(snapshot.taken_on, snapshot.cases, snapshot.raw, run, i, s.tag, s.fingerprint, s.taken_on, s.cases, s.raw, s.columns, s.rolled, s.rolled_columns)
             for i, s in enumerate(snapshot.sources)]
     spark.createDataFrame(rows, REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
 
@@ -105,7 +112,7 @@ def registered(spark: SparkSession, root: str) -> list[Snapshot]:
     except AnalysisException:
         return []
     return [Snapshot(own[0].taken_on, own[0].cases, own[0].raw,
-                     tuple(SourceState(r.tag, r.fingerprint, r.source_taken_on, r.source_cases, r.source_raw, r.columns) for r in own))
+                     tuple(SourceState(r.tag, r.fingerprint, r.source_taken_on, r.source_cases, r.source_raw, r.columns, r.source_rolled, r.rolled_columns) for r in own))
             for own in (list(rows_of) for _, rows_of in groupby(rows, key=lambda r: r.run))]
 
 
@@ -123,9 +130,9 @@ def expire(spark: SparkSession, root: str, keep: int = 2) -> None:
     """Folders of all but the newest snapshots go, one before the current being kept for readers under way; folders
     that a kept snapshot has carried over stay."""
     known = registered(spark, root)
-    used = {f for s in known[:max(keep, 1)] for state in s.sources for f in (state.cases, state.raw)}
+    used = {f for s in known[:max(keep, 1)] for state in s.sources for f in (state.cases, state.raw, state.rolled)}
     for old in known[max(keep, 1):]:
-        remove(spark, [f for state in old.sources for f in (state.cases, state.raw) if f not in used])
+        remove(spark, [f for state in old.sources for f in (state.cases, state.raw, state.rolled) if f and f not in used])
         remove(spark, [f for f in (old.cases, old.raw) if f and not any(u.startswith(f"{f}/") for u in used)])
 
 
@@ -143,6 +150,15 @@ def read_cases(spark: SparkSession, root: str, off: list[str] | None = None) ->
     return cases.where(~F.col(L.SOURCE).isin(*off)) if off else cases
 
 
+def read_rollup(spark: SparkSession, root: str, off: list[str] | None = None) -> DataFrame:
+    """The roll-ups of the current snapshot, for ``build_report``."""
+    current = latest(spark, root)
+    if current is None:
+        raise FileNotFoundError(f"no snapshot is registered under {root}")
+    rolled = stack([state.read_rolled(spark) for state in current.sources])
+    return rolled.where(~F.col(L.SOURCE).isin(*off)) if off else rolled
+
+
 def reduced(cases: DataFrame, as_of: date, state: str = "CA", industry: str = "Construction",
             years: int = 9) -> DataFrame:
     """The recent slice most reports ask for, by partition columns and date."""

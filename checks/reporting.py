@@ -41,6 +41,13 @@ def headline(spark: SparkSession, sf: str) -> DataFrame:
     return S.headline(G.repeat_groups(cases(spark, sf, ["bw_amt", "trade_nm"]), "trade_nm", [], ("bw_amt",), []))
 
 
+@query("overview_of_rollups", f"WITH {cases_sql()} SELECT {OVERVIEW_SQL}, CAST(sum(ee_pmt_recv) AS DOUBLE) AS returned FROM cases")
+def overview_of_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source and year rolled up, sources merged per year, then all."""
+    df = cases(spark, sf, [*SUMS, "source", "findings_start_date"]).withColumn("year", F.year("findings_start_date"))
+    return S.overview_and_coverage_of(S.merged(S.roll_up(df, ["source", "year"]), ["year"]))[0]
+
+
 @query("coverage", f"""WITH {cases_sql()}, one AS (SELECT min(findings_start_date) AS first, max(findings_start_date) AS last,
   CAST(sum(bw_amt) AS DOUBLE) AS amount FROM cases)
 SELECT CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, amount,

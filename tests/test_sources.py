@@ -288,3 +288,24 @@ def test_refresh_can_flag_instead_of_delete(spark, landed, tmp_path):
         ("1001", False, False, False), ("05-7", True, False, True), ("05-7", False, False, True), ("05-8", False, False, False)]
     tables = build_report(S.read_cases(spark, root), ReportOptions(target_industry="Construction", year_start=date(2019, 1, 1), year_end=day, include_summaries=True), day)
     assert tables["summary"].first()["cases"] == 2
+
+
+def test_overviews_read_roll_ups(spark, landed, tmp_path):
+    """The figures of the full pass, from rolled-up cases and those that two sources report."""
+    root, day = str(tmp_path / "snap"), date(2023, 1, 10)
+    refresh_snapshot(spark, root, landed, day)
+    options = ReportOptions(target_industry="Construction", year_start=date(2019, 1, 1), year_end=day)
+    for off in (None, ["DIR_DLSE"]):
+        cases, rolled = S.read_cases(spark, root, off), S.read_rollup(spark, root, off)
+        whole = build_report(cases, options, day, only={"overview", "coverage"})
+        quick = build_report(cases, options, day, only={"overview", "coverage"}, rolled=rolled)
+        for name in ("overview", "coverage"):
+            assert quick[name].collect() == whole[name].collect(), name
+    assert whole["overview"].first()["cases"] == 3
+    # amounts are read of the cases that several sources report alone
+    from caseloom.plans.steps import across_sources
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = across_sources(S.read_cases(spark, root)).where("shared = 1")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "bw_amt" in line]
+    assert scans and all("shared" in line[line.index("PartitionFilters"):line.index("PushedFilters")] for line in scans)
