@@ -46,13 +46,13 @@ class Fence:
 
 
 #: Measures as integers: hundredths of a character, symbols per 100 words, lines and words per 1000. Junk is a
-#: few in a hundred of a source, so quartiles are taken where its values are extreme, and the 95th percentile where the
-#: fixed rules have rejected the extreme ones and what is left of the measure lies in the tail.
+#: few in a hundred of a source, so quartiles are taken where its values are extreme, and a percentile of the tail where
+#: the fixed rules have rejected the extreme ones and what is left of the measure lies there.
 FENCES = (
     Fence("word_length", "m.word_chars * 100 div greatest(m.n_words, 1)", least=10, reach=12, below=True),
     Fence("symbols", "m.n_symbols * 100 div greatest(m.n_words, 1)", least=3, reach=8),
-    Fence("dup_lines", "m.n_dup_lines * 1000 div greatest(m.n_lines, 1)", least=60, reach=4, share=0.95),
-    Fence("repeats", "m.n_repeat_words * 1000 div greatest(m.n_words, 1)", least=30, reach=4, share=0.95),
+    Fence("dup_lines", "m.n_dup_lines * 1000 div greatest(m.n_lines, 1)", least=60, reach=5, share=0.95),
+    Fence("repeats", "m.n_repeat_words * 1000 div greatest(m.n_words, 1)", least=30, reach=3, share=0.98),
 )
 #: Values kept exactly, and buckets to each doubling beyond.
 EXACT, STEPS = 1024, 128

