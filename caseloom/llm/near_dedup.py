@@ -393,7 +393,9 @@ def _classified(docs: DataFrame, similarity: float, rare: float) -> tuple[DataFr
     wanted = settle(wanted.select("own.*", "id", "samples", "n", "weight"), "wanted")
     # of all texts only those that may be wanted move; a repeated row counts once, or its shingles would not look rare
     _, maybe = split_listed(docs.select(*_own(), as_bytes("text").alias("text")), ["doc_id", "t"], wanted)
-    texts = settle(maybe.join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).drop("doc_id", "t"), "texts")
+    # texts are few bytes beside the shingles made of them, so they are not gathered into as few tasks as their size allows
+    dealt = maybe.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "t")
+    texts = settle(dealt.join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).drop("doc_id", "t"), "texts")
     rare_ones = settle(_rare_shingles(texts, weights), "rare")
     known = texts.select("id", "n", "weight").join(_rareness(rare_ones), "id", "left").fillna(0, ["lone", "lone_weight", "few", "few_weight"])
     possible = settle(known.where((F.col("n") - F.col("lone") >= similarity * F.col("n"))
