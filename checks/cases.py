@@ -71,20 +71,28 @@ def cases(spark: SparkSession, sf: str, columns: list[str] | None = None,
     """The case table with the given columns; ``extra`` adds or replaces some, written the same way."""
     defined = {**COLUMNS, **(extra or {})}
     columns = [*(columns or list(COLUMNS)), *[c for c in (extra or {}) if c not in (columns or COLUMNS)]]
-    needed: list[str] = []
+    needed: set[str] = set()
 
     def need(name: str) -> None:
-        if name and name not in needed:
+        if name:
+            needed.add(name)
             need(_JOINS[name][2])
-            needed.append(name)
+
+    def reached(name: str) -> DataFrame:
+        """A table with all that is looked up through it, so that these columns are shuffled with its rows and not
+        with the lines, of which there are several to each. Orders grow with the lines, so the two meet in a shuffle at
+        any size: neither is ever broadcast."""
+        rows = table(spark, sf, name or "lineitem")
+        for other, (own, reached_by, holder) in _JOINS.items():
+            if other in needed and holder == name:
+                side = reached(other)
+                rows = rows.join(side.hint("merge") if other == "orders" else side, F.col(reached_by) == F.col(own))
+        return rows
 
     for c in columns:
         for name in defined[c][0].split():
             need(name)
-    joined = table(spark, sf, "lineitem")
-    for name in needed:
-        own, reached_by, _ = _JOINS[name]
-        joined = joined.join(table(spark, sf, name), F.col(reached_by) == F.col(own))
+    joined = reached("")
     return joined.select(*[F.expr(defined[c][1]).alias(c) for c in columns])
 
 
