@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.blanks import KEY_BLANKS, all_of, is_blank
+from caseloom.functions.blanks import KEY_BLANKS, is_blank
 
 MEASURES = ("bw_amt", "violtn_cnt", "ee_violtd_cnt", "ee_pmt_recv")
 
@@ -47,26 +47,32 @@ def repeat_groups(df: DataFrame, key: str, order: list[str],
 
 def repeat_tables(df: DataFrame, keys: list[str], order: list[str], n: int,
                   measures: tuple[str, ...] = (*MEASURES, "backwage_owed")) -> DataFrame:
-    """The ``n`` groups with most records of ``repeat_groups`` for each of several keys, in one pass over the rows.
+    """The ``n`` groups with most records of ``repeat_groups`` for each of several keys, in two passes over the rows.
 
-    A row is dealt out once per key it has and partially summed in its task; with the sums goes only what
-    tells the first row of a group, by ``order``, whose columns identify rows. Attributes are then fetched for the
-    winners, of which there are ``n`` per key. Columns: ``kind`` (the key's name), ``value`` (in capitals), ``records``, the
+    The first counts: a row is dealt out once per key it has, as key and number, and with the counts goes the least of the
+    first column of ``order``. That settles which groups win, of which there are ``n`` per key. The second reads the rows of
+    these alone and sums them where they lie; a row is only kept whole if it may be the first of its group by ``order``, whose
+    columns identify rows. Columns: ``kind`` (the key's name), ``value`` (in capitals), ``records``, the
     columns of the first row, summed measures in the place of its own. Of equally many records the lesser value wins.
     """
     df = df.withColumns({m: F.lit(0) for m in measures if m not in df.columns})
-    first = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
     sides = F.array(*[F.struct(F.lit(i).alias("no"), F.when(~is_blank(k, KEY_BLANKS), F.upper(k)).alias("value")) for i, k in enumerate(keys)])
-    dealt = df.select(F.explode(F.filter(sides, lambda s: s["value"].isNotNull())).alias("_k"), *measures, *order).select("_k.*", *measures, *order)
-    groups = dealt.groupBy("no", "value").agg(F.count(F.lit(1)).alias("records"), *[total(m).alias(m) for m in measures], first.alias("_first"))
+    dealt = df.withColumn("_k", F.explode(F.filter(sides, lambda s: s["value"].isNotNull())))
+    groups = dealt.select("_k.*", F.col(order[0]).alias("_lead")).groupBy("no", "value").agg(
+        F.count(F.lit(1)).alias("records"), F.min("_lead").alias("_lead"), F.count("_lead").alias("_leads"))
     nth = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("records"), "value"))
     won = groups.where("records > 1").withColumn("_nth", nth).where(F.col("_nth") <= n)
-    won = won.select("no", "value", "records", F.struct(*measures).alias("_sums"), *[
-        (F.col("_first") if len(order) == 1 else F.col("_first")[c]).alias(f"_at_{c}") for c in order])
-    # at most n rows per key
-    rows = df.join(F.broadcast(won), all_of([df[c].eqNullSafe(F.col(f"_at_{c}")) for c in order])).dropDuplicates(["no", "value"])
-    kept = [F.col("_sums")[c].alias(c) if c in measures else df[f"`{c}`"] for c in df.columns]
-    return rows.select(F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("no") + 1).alias("kind"), "value", "records", *kept)
+    # a missing value comes before all others; at most n rows per key
+    won = won.select(F.col("no").alias("_no"), F.col("value").alias("_value"), F.when(F.col("_leads") == F.col("records"), F.col("_lead")).alias("_lead"))
+    rows = dealt.join(F.broadcast(won), (F.col("_k.no") == F.col("_no")) & (F.col("_k.value") == F.col("_value")))
+    may_lead = F.when(F.col(order[0]).eqNullSafe(F.col("_lead")), F.struct(*[df[f"`{c}`"] for c in df.columns]))
+    parts = rows.select("_k.*", may_lead.alias("_row"), *measures).groupBy("no", "value", "_row").agg(
+        F.count(F.lit(1)).alias("records"), *[total(m).alias(m) for m in measures])
+    first = F.min_by("_row", F.struct(F.col("_row").isNull(), *[F.col("_row")[c] for c in order])).alias("_row")
+    won = parts.groupBy("no", "value").agg(F.sum("records").alias("records"), *[
+        F.sum(m).cast(parts.schema[m].dataType).alias(m) for m in measures], first)
+    kept = [F.col(c) if c in measures else F.col("_row")[c].alias(c) for c in df.columns]
+    return won.select(F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("no") + 1).alias("kind"), "value", "records", *kept)
 
 
 def repeats_of(tables: DataFrame, key: str) -> DataFrame:

@@ -193,6 +193,26 @@ def test_repeat_tables_equal_groups_one_by_one(spark):
     assert G.repeat_tables(df.limit(0), ["legal_nm"], ["_row"], 5).count() == 0
 
 
+def test_repeat_tables_shuffle_counts_and_winners_alone(spark):
+    """No measure and no attribute is shuffled for a group that does not win; a first row is found by several columns, with gaps."""
+    from caseloom.operators import group as G
+    rows = [(f"x{i % 40}", float(i), None if i % 7 == 0 else i % 3, -i, f"note {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "legal_nm string, bw_amt double, a int, b int, note string").repartition(4)
+    tables = G.repeat_tables(df, ["legal_nm"], ["a", "b"], 3, ("bw_amt",))
+    plan = tables._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(no" in line and "value" in line]
+    assert wide and plan.count("SortMergeJoin") == 0
+    got = {r["value"]: (r["records"], r["bw_amt"], r["a"], r["b"], r["note"]) for r in tables.collect()}
+    want = {}
+    for value in ("X0", "X1", "X10"):  # 40 groups of ten: the lesser value wins
+        own = [r for r in rows if r[0].upper() == value]
+        lead = min(own, key=lambda r: (r[2] is not None, r[2] or 0, r[3]))
+        want[value] = (10, sum(r[1] for r in own), *lead[2:])
+    assert got == want
+    counted = G.repeat_tables(df, ["legal_nm"], ["a", "b"], 3, ("bw_amt",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(" in counted and "dropDuplicates" not in counted and counted.count("min(struct(") == 0
+
+
 def test_many_places_agree_with_a_loop_over_the_list(spark):
     """1,241 names, some inside others, some twice: the earliest listed one that stands in the text."""
     import random
