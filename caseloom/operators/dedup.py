@@ -26,16 +26,22 @@ def keep_by_key(df: DataFrame, keys: list[str], order: list[str], keep: str = "f
     return _pick(df, keys, F.struct(*order), keep, split)
 
 
-def _pick(df: DataFrame, keys: list[str], rank: Column, keep: str = "first", split: bool = False) -> DataFrame:
-    """With ``split`` only rows whose key occurs again go through the aggregation."""
+def _pick(df: DataFrame, keys: list[str], rank: Column, keep: str = "first", split: bool = False,
+          wanted: Column | None = None) -> DataFrame:
+    """With ``split`` only rows whose key occurs again go through the aggregation. Of rows that are not ``wanted`` only
+    key and rank are shuffled: they beat others, and are dropped if they win."""
     if split:
         alone, rivals = split_repeated(df, keys)
-        return alone.unionByName(_pick(rivals, keys, rank, keep))
+        return (alone if wanted is None else alone.where(wanted)).unionByName(_pick(rivals, keys, rank, keep, wanted=wanted))
     rest = [c for c in df.columns if c not in keys]
     if not rest:
-        return df.distinct()
+        return (df if wanted is None else df.where(wanted)).distinct()
     pick = F.min_by if keep == "first" else F.max_by
-    won = df.groupBy(*keys).agg(pick(F.struct(*rest), rank).alias("_won"))
+    if wanted is None:
+        won = df.groupBy(*keys).agg(pick(F.struct(*rest), rank).alias("_won"))
+    else:
+        shown = df.select(*keys, F.when(wanted, F.struct(*rest)).alias("_shown"), rank.alias("_rank"))
+        won = shown.groupBy(*keys).agg(pick("_shown", "_rank").alias("_won")).where(F.col("_won").isNotNull())
     return won.select(*[F.col(c) if c in keys else F.col("_won")[c].alias(c) for c in df.columns])
 
 
@@ -48,12 +54,9 @@ def _summed(amounts: list[str]) -> Column:
 
 
 def keys_usable(df: DataFrame, keys: list[str]) -> Column:
-    """Whether every key column holds a value somewhere: each task stops at the first one it meets."""
-    def used(key: str) -> Column:
-        seen = df.where(~is_blank(key, ("",))).select(F.lit(1).alias("one")).limit(1)
-        return seen.agg(F.count("one") > 0).scalar()
-
-    return all_of([used(key) for key in keys])
+    """Whether every key column holds a value somewhere, asked of all of them in one pass that keeps a row per task."""
+    seen = df.agg(*[F.coalesce(F.max(~is_blank(key, ("",))), F.lit(False)).alias(f"_k{i}") for i, key in enumerate(keys)])
+    return seen.select(all_of([F.col(f"_k{i}") for i in range(len(keys))])).scalar()
 
 
 def keys_usable_within(df: DataFrame, keys: list[str], within: list[str]) -> Column:
@@ -67,7 +70,7 @@ def keys_usable_within(df: DataFrame, keys: list[str], within: list[str]) -> Col
 
 def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
               fallback_keys: list[str] | None = None, usable: Column | None = None,
-              within: list[str] | None = None, split: bool = False) -> DataFrame:
+              within: list[str] | None = None, split: bool = False, wanted: Column | None = None) -> DataFrame:
     """Per key the row with the highest amount, then the last form in the alphabet, then the first row.
 
     A key column that is blank on every row identifies nothing: then only ``fallback_keys``
@@ -77,6 +80,9 @@ def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, ord
     With ``split`` the keys are counted first, as hashes, and rows that are alone under their key
     pass as they are: only rivals are shuffled at full width. That reads ``df`` three times, the first time
     its keys alone, so it pays for tables read from files in which most keys are unique.
+
+    ``wanted`` looks at one row at a time and leaves what ``where(wanted)`` after this would leave; the other rows
+    are shuffled by key and rank alone.
     """
     fallback_keys = fallback_keys or order
     if usable is None:
@@ -85,7 +91,7 @@ def keep_best(df: DataFrame, keys: list[str], amounts: list[str], form: str, ord
     earliest = [(-F.col(c)).alias(c) for c in order]
     rank = F.struct(F.when(usable, F.struct(_summed(amounts).alias("amount"), F.col(form).alias("form")))
                     .alias("best"), *earliest)
-    return _pick(guarded, [*(within or []), *keys, "_guard"], rank, "last", split).drop("_guard")
+    return _pick(guarded, [*(within or []), *keys, "_guard"], rank, "last", split, wanted).drop("_guard")
 
 
 def keep_first_by_each(df: DataFrame, key_sets: list[list[str]], order: list[str],
@@ -169,18 +175,19 @@ def _ascending(amounts: list[str], form: str, order: list[str]) -> list[Column]:
 
 
 def drop_duplicates(df: DataFrame, id_col: str, violation: str, amounts: list[str], form: str,
-                    order: list[str], within: list[str] | None = None, usable: Column | None = None, split: bool = False) -> DataFrame:
+                    order: list[str], within: list[str] | None = None, usable: Column | None = None, split: bool = False,
+                    wanted: Column | None = None) -> DataFrame:
     """Trim ids, full-row distinct, then the best row per (id, violation), per ``within`` if given.
 
     Wider keys (with amount, names or address added) can find nothing further once rows are
     unique per (id, violation); where ids or violations are blank throughout, (id, violation,
     amount) decides and the other wider keys contain it. A full copy shares all keys, and the
     best row of a group is one of its first copies, so the full-row pass is part of the same
-    aggregation: one shuffle in all, and with ``split`` one of rivals alone.
+    aggregation: one shuffle in all, and with ``split`` one of rivals alone. ``wanted`` as in ``keep_best``.
     """
     df = df.withColumn(id_col, F.trim(id_col))
     keys = [id_col, violation]
-    return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]], usable=usable, within=within, split=split)
+    return keep_best(df, keys, amounts, form, order, fallback_keys=[*keys, amounts[0]], usable=usable, within=within, split=split, wanted=wanted)
 
 
 def shared_keys(tables: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -200,7 +207,7 @@ def mark_shared(df: DataFrame, keys: list[str], order: list[str], name: str = "s
 
 
 def drop_shared_duplicates(df: DataFrame, shared: str, id_col: str, violation: str, amounts: list[str],
-                           form: str, order: list[str]) -> DataFrame:
+                           form: str, order: list[str], wanted: Column | None = None) -> DataFrame:
     """``drop_duplicates`` for a table marked with ``mark_shared`` on (id, violation).
 
     Rows that share their key with no other row cannot be duplicates: they go straight
@@ -208,5 +215,6 @@ def drop_shared_duplicates(df: DataFrame, shared: str, id_col: str, violation: s
     """
     usable = keys_usable(df, [id_col, violation])
     marked = F.col(shared).cast("boolean")
-    rivals = drop_duplicates(df.where(marked), id_col, violation, amounts, form, order, usable=usable)
-    return df.where(~marked).unionByName(rivals.select(*df.columns))
+    rivals = drop_duplicates(df.where(marked), id_col, violation, amounts, form, order, usable=usable, wanted=wanted)
+    alone = df.where(~marked) if wanted is None else df.where(~marked & wanted)
+    return alone.unionByName(rivals.select(*df.columns))

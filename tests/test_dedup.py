@@ -76,6 +76,30 @@ def test_marked_tables_lose_the_same_rows(spark):
     assert ids(D.drop_shared_duplicates(some, "shared", *DEDUP)) == ids(D.drop_duplicates(df.where("source <> 'a'"), *DEDUP))
 
 
+@pytest.mark.parametrize("blank", [False, True])
+def test_rows_that_are_not_wanted_still_displace_others(spark, blank):
+    """As a filter after the duplicates are settled; what is not wanted is shuffled without its columns."""
+    data = rows(600, seed=9, blank_violation=blank)
+    df = spark.createDataFrame(data, SCHEMA).withColumn("note", F.concat(F.lit("n"), "_row"))
+    wanted = (F.col("source") == "a") & (F.col("bw_amt") > 1)
+    after = D.drop_duplicates(df, *DEDUP).where(wanted)
+    for split in (False, True):
+        within = D.drop_duplicates(df, *DEDUP, split=split, wanted=wanted)
+        assert within.columns == after.columns and after.count()
+        assert sorted(map(tuple, within.collect()), key=repr) == sorted(map(tuple, after.collect()), key=repr)
+    marked = D.mark_shared(df, ["case_id_1", "violation"], ["_row"])
+    some = D.drop_shared_duplicates(marked, "shared", *DEDUP, wanted=wanted)
+    assert ids(some) == ids(D.drop_shared_duplicates(marked, "shared", *DEDUP).where(wanted))
+
+
+def test_whether_keys_hold_values_is_one_pass(spark):
+    df = spark.createDataFrame([("a", ""), (None, None), ("", "")], "x string, y string")
+    assert [df.select(D.keys_usable(df, k).alias("u")).first()["u"] for k in (["x"], ["y"], ["x", "y"])] == [True, False, False]
+    assert spark.range(1).select(D.keys_usable(df.limit(0), ["x", "y"]).alias("u")).first()["u"] is False
+    plan = df.select(D.keys_usable(df, ["x", "y"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery") == 1
+
+
 def test_flags(spark):
     data = rows()
     counts = {}
