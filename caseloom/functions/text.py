@@ -34,8 +34,8 @@ def trim_edges(c: Column, chars: str = EDGE) -> Column:
 
 
 def one_line(c: Column | str) -> Column:
-    """Every whitespace character becomes a blank."""
-    return F.regexp_replace(_col(c), r"\s", " ")
+    """Every whitespace character becomes a blank; those that are one are not looked for."""
+    return F.regexp_replace(_col(c), r"[\t\n\x0B\f\r]", " ")
 
 
 def address_punctuation(c: Column | str) -> Column:
@@ -81,6 +81,11 @@ def gated(c: Column, test: Callable[[Column], Column], then: Callable[[Column],
     return F.transform(F.array(c), lambda x: F.when(test(x), then(x)).otherwise(x))[0]
 
 
+def holds(c: Column, parts: list[str]) -> Column:
+    """Whether a text holds one of some literals; false, not null, on null text. Far cheaper than a regular expression."""
+    return F.coalesce(reduce(lambda a, b: a | b, [c.contains(p) for p in parts]), F.lit(False))
+
+
 def has_any(c: Column | str, pattern: str) -> Column:
     """Case-insensitive search that is false, not null, on null text."""
     return F.coalesce(_col(c).rlike("(?i)" + pattern), F.lit(False))

@@ -34,15 +34,21 @@ def _spellings(short: str) -> str:
 
 
 def street_rules(whole_words: bool) -> list[tuple[str, str]]:
-    """(pattern, replacement) pairs; a full stop or comma is swallowed, a blank is kept."""
+    """(pattern, replacement) pairs; a full stop or comma is swallowed, a blank is kept. The first letter is looked at
+    before anything else."""
     edge = r"\b" if whole_words else ""
     ending = r"(?:[.,]|(?= ))"
-    rules = [(edge + _spellings(short) + ending, word) for short, word in STREET_WORDS.items()]
-    rules.append((f"{edge}(?:{'|'.join(SUITE_WORDS)})" + r"(?:\.|(?= ))", "Suite"))
-    rules.append((edge + "Unit" + (r"\b" if whole_words else ""), "Suite"))
+    rules = [(f"(?={short[0]})" + edge + _spellings(short) + ending, word) for short, word in STREET_WORDS.items()]
+    rules.append((f"(?=[SA]){edge}(?:{'|'.join(SUITE_WORDS)})" + r"(?:\.|(?= ))", "Suite"))
+    rules.append((f"(?=U){edge}Unit" + (r"\b" if whole_words else ""), "Suite"))
     return rules
 
 
+def street_parts() -> list[list[str]]:
+    """For each of the street rules the literals of which its pattern needs one."""
+    return [*[[short] if short == "PLZ" else [short, short.capitalize()] for short in STREET_WORDS], list(SUITE_WORDS), ["Unit"]]
+
+
 # fixed values: marks for a number within a building
 NUMBER_MARKS = [("# ", "Suite "), ("#", "Suite ")]
 
@@ -57,4 +63,4 @@ def lone_compass() -> list[tuple[str, str]]:
 
 def ordinal_rules(whole_words: bool) -> list[tuple[str, str]]:
     edge = r"\b" if whole_words else ""
-    return [(f"(?i){edge}{short} ", f"{word} ") for short, word in ORDINALS.items()]
+    return [(f"(?i)(?={short[0]}){edge}{short} ", f"{word} ") for short, word in ORDINALS.items()]

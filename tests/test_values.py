@@ -126,3 +126,34 @@ def test_masks_leak_no_name(spark):
     df = spark.createDataFrame([("A", 1), ("B", 0)], "legal_nm string, Signatory int")
     assert {r["legal_nm"] for r in masked(df, "Signatory", ["legal_nm", "absent"]).collect()} == {"masked", "B"}
     assert F is not None
+
+
+def test_searches_for_forms_leave_out_what_others_find():
+    """A shorter list of patterns finds just the texts the whole list finds, and the literals stand in all of them."""
+    import re
+
+    from caseloom.functions import business as B
+    from caseloom.rules.names import FORMS, HOMES
+    for rule in (*FORMS, *HOMES):
+        for loose in (False, True):
+            listed = tuple(dict.fromkeys((*rule.marks, *((loose and rule.loose_removed) or rule.removed))))
+            whole = "(?:" + "|".join(listed) + ")" if loose else B.whole_words(listed)
+            fewer = B._search(listed, loose)
+            assert len(B._needed(listed, loose)) <= len(listed)
+            cores = [core for core in (B._core(p, loose) for p in B._needed(listed, loose))]
+            for phrase in ("", "Lincoln", "San Francisco", "Co", "x co ", "l-l-c- y", "ALLCO", *(f(p.replace("\\b", "").replace("\\", "").replace("$", ""))
+                           for p in (*listed, *FORMS[0].marks, *FORMS[2].marks) for f in (str.upper, str.lower, "a {} b".format, "x{}y".format))):
+                found = re.search(whole, phrase, re.I | re.A)
+                assert bool(found) == bool(re.search(fewer, phrase, re.I | re.A)), (phrase, fewer)
+                assert not found or any(core in phrase.lower() for core in cores)
+
+
+def test_address_rules_are_tried_where_their_literals_stand():
+    import re
+
+    from caseloom.rules import address as R
+    for whole in (False, True):
+        assert len(R.street_rules(whole)) == len(R.street_parts())
+        for (find, _), parts in zip(R.street_rules(whole), R.street_parts()):
+            for text in ("12 MAIN ST., STE 4", "1 Oak Ave, Apt. 2", "9 PLZ Dr Unit 7", "EAST Ct CTR Wy. RD LN ", "PROSPECT RDS"):
+                assert not re.search(find, text) or any(p in text for p in parts)
