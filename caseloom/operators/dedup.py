@@ -113,14 +113,42 @@ def keep_first_by_each(df: DataFrame, key_sets: list[list[str]], order: list[str
 def flag_repeats(df: DataFrame, flags: dict[str, list[str]], order: list[str]) -> DataFrame:
     """Per flag, true on every member of a group that has more than one row.
 
-    All counts are taken from the table as given, not from the output of the flag before.
+    All counts are taken from the table as given, not from the output of the flag before. Rows are known by a hash of
+    96 bits of ``order`` and all keys: rows that agree in these have the same flags. What meets the rows again is which
+    of them are alone under their keys, so no group is gathered and the rows are shuffled once for all flags. ``df`` is
+    read twice, and best settled where it is dear.
     """
-    flagged, everything = df, row_total(df)
-    for name, keys in flags.items():
-        repeated = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
-                    .where("_weight > 1").withColumn(name, F.lit(True)))
-        flagged = attach_by_key(flagged, repeated, keys, "_weight", order, everything)
-    return flagged.select(*df.columns, *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags])
+    one, two = _hashes(0, list(dict.fromkeys([*order, *[k for keys in flags.values() for k in keys]])))
+    known = df.withColumns({"_at": one, "_by": F.shiftright(two, 32).cast("int")})
+    marks = _alone(known, flags, ["_at", "_by"]).groupBy("_at", "_by").agg(F.bit_or("_mark").alias("_marks"))
+    joined = known.join(marks, ["_at", "_by"], "left")
+    return joined.select(*[known[f"`{c}`"] for c in df.columns], *[_unmarked(i).alias(f) for i, f in enumerate(flags, 1)])
+
+
+def _hashes(salt: int, names: list[str]) -> tuple[Column, Column]:
+    """Two hashes of 64 bits; null and blank differ, and a null says in which column it stands."""
+    parts = [x for n in names for x in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    return F.xxhash64(F.lit(salt), *parts), F.xxhash64(F.lit(~salt), *parts)
+
+
+def _alone(df: DataFrame, flags: dict[str, list[str]], of: list[str]) -> DataFrame:
+    """(of, _mark): the rows that are alone under the keys of a flag, by number from 1, as a bit.
+
+    A row is dealt out once per flag, as a hash of 96 bits with the flag's number beside it, and counted. All that is
+    counted has a fixed width, so tasks add up in a hash map and sort nothing.
+    """
+    def dealt(bit: int, names: list[str]) -> Column:
+        one, two = _hashes(bit, names)
+        return F.struct(one.alias("one"), two.bitwiseAND(F.lit(0xFFFFFFFF00)).bitwiseOR(F.lit(bit).cast("bigint")).alias("two"))
+
+    sets = F.explode(F.array(*[dealt(i, names) for i, names in enumerate(flags.values(), 1)]))
+    entries = df.select(*of, sets.alias("_k")).select(*of, "_k.one", "_k.two")
+    counted = entries.groupBy("one", "two").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in of])
+    return counted.where("_n = 1").select(*of, F.expr("shiftleft(1L, cast(two & 255 as int))").alias("_mark"))
+
+
+def _unmarked(bit: int) -> Column:
+    return F.coalesce(F.getbit("_marks", F.lit(bit)), F.lit(0)) == 0
 
 
 def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str, order: list[str],
@@ -136,35 +164,45 @@ def flag_deleted(df: DataFrame, keys: list[str], amounts: list[str], form: str,
 
 
 def flag_groups(df: DataFrame, flags: dict[str, list[str]], row: str, deleted: str, keys: list[str], amounts: list[str],
-                form: str, order: list[str]) -> DataFrame:
+                form: str, order: list[str], apart: bool = False) -> DataFrame:
     """``flag_repeats`` for all ``flags`` and ``flag_deleted`` for ``keys`` in one go, for rows that ``row`` tells apart.
 
     Every row is dealt out once per key set, as a hash of 128 bits and its row number, and counted. What comes
     back is not the repeated keys but the rows that are alone under theirs, and the best row of each of
     ``keys``: one row per key, so that a key with a third of all rows is one row per task and no join with it is
     needed. Those marks meet per row, and then the rows themselves: three shuffles, one of them at full width.
+
+    A best row is found by sorting, and in one aggregation the entries of all flags are sorted with it, which spills
+    where tasks are large. With ``apart`` the best rows have an aggregation of their own, and a fourth shuffle; ``df`` is
+    read three times then, and best settled where it is dear.
     """
     best = _ascending(amounts, form, order)
+    marked = _best(df, row, keys, best).unionByName(_alone(df, flags, [row])) if apart else _marked(df, flags, row, keys, best)
+    marks = marked.groupBy(row).agg(F.bit_or("_mark").alias("_marks"))
+    joined = df.join(marks, row, "left")
+    return joined.select(*[df[f"`{c}`"] for c in df.columns], _unmarked(0).alias(deleted), *[_unmarked(i).alias(f) for i, f in enumerate(flags, 1)])
+
+
+def _best(df: DataFrame, row: str, keys: list[str], best: list[Column]) -> DataFrame:
+    """(row, _mark): the best row of each of ``keys``, marked as number 0."""
+    one, two = _hashes(0, keys)
+    ranked = df.select(one.alias("one"), two.alias("two"), F.struct(F.struct(*best).alias("rank"), F.col(row).alias("of")).alias("_rank"))
+    won = ranked.groupBy("one", "two").agg(F.min("_rank").alias("_best"))
+    return won.select(F.col("_best.of").alias(row), F.lit(1).cast("bigint").alias("_mark"))
+
 
+def _marked(df: DataFrame, flags: dict[str, list[str]], row: str, keys: list[str], best: list[Column]) -> DataFrame:
+    """The best rows and those that are alone, from one aggregation."""
     def dealt(bit: int, names: list[str], rank: Column) -> Column:
-        # null and blank differ, and a null says in which column it stands
-        parts = [x for n in names for x in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
-        return F.struct(F.xxhash64(F.lit(bit), *parts).alias("one"), F.xxhash64(F.lit(~bit), *parts).alias("two"),
-                        F.lit(bit).cast("byte").alias("bit"), rank.alias("rank"))
+        one, two = _hashes(bit, names)
+        return F.struct(one.alias("one"), two.alias("two"), F.lit(bit).cast("byte").alias("bit"), rank.alias("rank"))
 
     sets = [dealt(0, keys, F.struct(*best)), *[dealt(i, names, F.lit(None)) for i, names in enumerate(flags.values(), 1)]]
     entries = df.select(F.col(row).alias("_of"), F.explode(F.array(*sets)).alias("k")).select("_of", "k.*")
     counted = entries.groupBy("one", "two", "bit").agg(F.count(F.lit(1)).alias("n"), F.min("_of").alias("_first"),
                                                        F.min(F.struct("rank", F.col("_of").alias("of"))).alias("_best"))
-    marked = counted.where("bit = 0 or n = 1").select(
+    return counted.where("bit = 0 or n = 1").select(
         F.when(F.col("bit") == 0, F.col("_best.of")).otherwise(F.col("_first")).alias(row), F.expr("shiftleft(1L, cast(bit as int))").alias("_mark"))
-    marks = marked.groupBy(row).agg(F.bit_or("_mark").alias("_marks"))
-    joined = df.join(marks, row, "left")
-
-    def unmarked(bit: int) -> Column:
-        return F.coalesce(F.getbit("_marks", F.lit(bit)), F.lit(0)) == 0
-
-    return joined.select(*[df[f"`{c}`"] for c in df.columns], unmarked(0).alias(deleted), *[unmarked(i).alias(f) for i, f in enumerate(flags, 1)])
 
 
 def _ascending(amounts: list[str], form: str, order: list[str]) -> list[Column]:

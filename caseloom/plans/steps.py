@@ -111,7 +111,7 @@ def with_duplicate_flags(df: DataFrame) -> DataFrame:
     flags = {**GROUP_FLAGS, **AMOUNT_FLAGS}
     case, violation, amounts, form, order = DEDUP
     df = df.withColumn(case, F.trim(case))
-    return flag_groups(df, flags, L.ROW, DELETED, [L.SOURCE, case, violation], amounts, form, order)
+    return flag_groups(df, flags, L.ROW, DELETED, [L.SOURCE, case, violation], amounts, form, order, apart=True)
 
 
 def infer_step(df: DataFrame, places: list[Place], industries: list[Rule], with_zips: bool = True) -> DataFrame:

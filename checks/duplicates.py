@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +113,8 @@ SELECT _row, row_number() OVER (PARTITION BY source, id, violation ORDER BY (bw_
   AS "_DELETED_DUP", """ + ", ".join(f'count(*) OVER (PARTITION BY {keys}) > 1 AS "{name}"' for name, keys in SIX_KEYS.items()) + " FROM t")
 def dedup_six_flags(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["source", "legal_nm", "trade_nm", "street_addr", "violation", "bw_amt", "ee_pmt_recv"]
-    flagged = with_duplicate_flags(cases(spark, sf, columns, SIX))
+    # the rows are read several times; on disk they take no memory from the counting
+    flagged = with_duplicate_flags(cases(spark, sf, columns, SIX).persist(StorageLevel.DISK_ONLY))
     return flagged.select("_row", "_DELETED_DUP", *[f"`{name}`" for name in SIX_KEYS])
 
 
@@ -124,7 +126,7 @@ FLAGS = {"dup_case": ["case_id_1", "violation", "ee_pmt_recv"], "dup_pay": ["cas
     f"count(*) OVER (PARTITION BY {', '.join(keys)}) > 1 AS {name}" for name, keys in FLAGS.items()) + " FROM cases")
 def dedup_flags(spark: SparkSession, sf: str) -> DataFrame:
     df = cases(spark, sf, ["case_id_1", "legal_nm", "trade_nm", "violation", "bw_amt", "ee_pmt_recv", *ORDER])
-    return D.flag_repeats(df, FLAGS, ORDER).select(*ORDER, *FLAGS)
+    return D.flag_repeats(df.persist(StorageLevel.DISK_ONLY), FLAGS, ORDER).select(*ORDER, *FLAGS)
 
 
 @query("dedup_flag_deleted", f"""WITH {cases_sql(COARSE)}

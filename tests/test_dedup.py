@@ -210,3 +210,40 @@ def test_flags_in_one_go_equal_flags_one_by_one(spark):
     assert sorted(map(tuple, once.collect()), key=lambda r: r[6]) == sorted(map(tuple, each.collect()), key=lambda r: r[6])
     assert len(shuffled(once.select("*"))) == 3
     assert once.where("false").count() == 0 and D.flag_groups(df.limit(0), flags, "_row", "d", keys, amounts, "Businesstype", ["_row"]).count() == 0
+
+
+def test_rows_are_shuffled_once_for_all_flags(spark):
+    """Also where ``order`` does not tell rows apart: 0 and 1 share a number, and 2 is there twice."""
+    data = [*rows(900, seed=9), *[(c, "v", a, 0.0, "", "a", n) for c, a, n in
+                                  ((None, 1.0, 7000), ("", 1.0, 7000), ("x2", 7.5, 7001), ("x2", 7.5, 7001), ("x3", None, 7002), (" x3", 8.5, 7003))]]
+    df = spark.createDataFrame(data, SCHEMA)
+    flags = {"rep": ["case_id_1"], "rep2": ["source", "bw_amt", "case_id_1"], "rep 3": ["violation", "bw_amt"]}
+    got = D.flag_repeats(df, flags, ["_row"])
+    assert got.columns == [*df.columns, *flags] and len(shuffled(got)) == 3
+    found = [r.asDict() for r in got.collect()]
+    seen = {f: {} for f in flags}
+    for f, keys in flags.items():
+        for r in found:
+            key = tuple(r[k] for k in keys)
+            seen[f][key] = seen[f].get(key, 0) + 1
+    assert len(found) == len(data)
+    assert all(r[f] == (seen[f][tuple(r[k] for k in keys)] > 1) for f, keys in flags.items() for r in found)
+
+
+def test_best_rows_apart_leave_nothing_to_sort_in_the_counts(spark):
+    data = [*rows(900, seed=10), (None, "v", 1.0, 0.0, "", "a", 5000), ("", "v", 1.0, 0.0, None, "a", 5001), (None, "v", None, 0.0, "", "a", 5002)]
+    df = spark.createDataFrame(data, SCHEMA)
+    flags = {"rep": ["case_id_1"], "odd name": ["source", "bw_amt", "case_id_1"], "rep3": ["violation", "Businesstype", "interest_owed", "_row"]}
+    rest = (flags, "_row", "_DELETED_DUP", ["source", "case_id_1", "violation"], ["bw_amt", "interest_owed"], "Businesstype", ["_row"])
+    apart, together = D.flag_groups(df, *rest, apart=True), D.flag_groups(df, *rest)
+    assert sorted(map(tuple, apart.collect()), key=lambda r: r[6]) == sorted(map(tuple, together.collect()), key=lambda r: r[6])
+    sorting = [line for line in apart._jdf.queryExecution().executedPlan().toString().splitlines() if "SortAggregate" in line]
+    assert sorting and all("count(" not in line and "min(_rank" in line for line in sorting)
+
+
+@pytest.mark.parametrize("name", ["dedup_flags", "dedup_six_flags"])
+def test_case_table_is_joined_once_for_all_flags(spark, name):
+    from checks.catalogue import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # every reading of the rows is one of the table kept on disk
+    assert "lineitem" not in "".join(line for line in plan.splitlines() if line.strip(" :+-").startswith("Relation")) and plan.count("InMemoryRelation") >= 2
