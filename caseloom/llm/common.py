@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,7 +57,32 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def arrow_column(fn: Callable[..., pa.Array], kind: str, *columns: Column) -> Column:
     """An Arrow-batched column, evaluated once per row: no filter is pushed below it."""
-    return F.arrow_udf(fn, kind).asNondeterministic()(*columns)
+    @functools.wraps(fn)
+    def tidied(*arrays: pa.Array) -> pa.Array:
+        try:
+            return fn(*arrays)
+        finally:
+            give_back()
+
+    return F.arrow_udf(tidied, kind).asNondeterministic()(*columns)
+
+
+def give_back() -> None:
+    """Hands memory that is free inside this process back to the system. Python workers outlive their tasks, and what
+    they hold while idle counts for their executor as much as what a running task needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``, which gives its memory back once its task has ended."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return run
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

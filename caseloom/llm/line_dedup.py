@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import BLANKS, arrow_column, as_bytes, settle, struct_of, without
+from caseloom.llm.common import BLANKS, arrow_column, as_bytes, settle, struct_of, tidy, without
 
 #: What names a document here: its id, whether that is null, and a hash of its text.
 KEY = ("k_id", "k_null", "k_text")
@@ -138,9 +138,9 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     of one id and text are one document. Keys of under ``min_chars`` code points stay.
     """
     read = docs.select(*_key_columns(text), as_bytes(text).alias("text"))
-    lines = settle(read.mapInArrow(_lines_of(min_chars), LINES), "lines")
+    lines = settle(read.mapInArrow(tidy(_lines_of(min_chars)), LINES), "lines")
     ranged = lines.repartitionByRange("h1", "h2", *KEY).sortWithinPartitions("h1", "h2", *KEY, "pos")
-    found = settle(ranged.mapInArrow(_decide(min_docs), FOUND), "line-runs")
+    found = settle(ranged.mapInArrow(tidy(_decide(min_docs)), FOUND), "line-runs")
     sums = found.where("kind = 'edge'").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
     rest = found.where("kind = 'open'").join(sums.select("h1", "h2"), ["h1", "h2"], "left_semi")
     dropped = found.where("kind = 'drop'").unionByName(rest)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import FOLD, arrow_column, as_bytes, blocks, mixed, release, settle, shingles, struct_of, word_hashes
+from caseloom.llm.common import FOLD, arrow_column, as_bytes, blocks, mixed, release, settle, shingles, struct_of, tidy, word_hashes
 from caseloom.operators.spread import split_listed
 
 WIDTH = 5
@@ -124,14 +124,14 @@ def shingle_weights(docs: DataFrame, rare: float = RARE) -> Weights:
     document / rare of them, whatever the number of documents.
     """
     read = docs.select(as_bytes("text").alias("text"))
-    sketch = settle(read.mapInArrow(_hashed_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "shingle-counts")
+    sketch = settle(read.mapInArrow(tidy(_hashed_counts), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")), "shingle-counts")
     n_docs = sketch.where("slot = -1").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_DOCS, n_docs * rare)
     slots = np.array([r[0] for r in sketch.where((F.col("slot") >= 0) & (F.col("n") >= least)).select("slot").collect()], np.int64)
     heavy = np.zeros(1 << SKETCH_BITS, bool)
     heavy[slots] = True
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    counted = read.mapInArrow(_frequent(shared), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = read.mapInArrow(tidy(_frequent(shared)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     found = counted.toPandas()
     release(sketch)
     return Weights(n_docs, found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), rare)
@@ -269,7 +269,7 @@ def _exploded(shared):
 def _rare_shingles(texts: DataFrame, weights: Weights) -> DataFrame:
     """(key, n, w, ids): the candidates of each shingle that at most three candidates have."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
-    keyed = texts.select("id", "text").mapInArrow(_exploded(shared), "key bigint, id bigint, w double")
+    keyed = texts.select("id", "text").mapInArrow(tidy(_exploded(shared)), "key bigint, id bigint, w double")
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("w").alias("w"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all"))
     middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
     ids = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array("low", middle, "high"))
